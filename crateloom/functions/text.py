@@ -47,16 +47,18 @@ def normalizer(form: str):
     return run
 
 
-def _non_ascii(c: Column) -> Column:
-    return c.rlike("[^\\x00-\\x7F]")
+def _only_non_ascii(c: Column) -> Column:
+    """Python functions run on every row of a batch whatever the condition around them, so plain
+    ASCII values are sent as nulls, which cost next to nothing."""
+    return F.when(c.rlike("[^\\x00-\\x7F]"), c)
 
 
 def nfc(c: Column) -> Column:
-    return F.when(_non_ascii(c), normalizer("NFC")(c)).otherwise(c)
+    return F.coalesce(normalizer("NFC")(_only_non_ascii(c)), c)
 
 
 def nfd(c: Column) -> Column:
-    return F.when(_non_ascii(c), normalizer("NFD")(c)).otherwise(c)
+    return F.coalesce(normalizer("NFD")(_only_non_ascii(c)), c)
 
 
 def norm_key(c: Column) -> Column:
@@ -64,7 +66,7 @@ def norm_key(c: Column) -> Column:
     @F.pandas_udf(T.StringType())
     def casefolded(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v).casefold())
-    return F.when(_non_ascii(c), casefolded(c)).otherwise(F.lower(c))
+    return F.coalesce(casefolded(_only_non_ascii(c)), F.lower(c))
 
 
 def basename(path: Column) -> Column:

@@ -218,11 +218,11 @@ def additions(added: DataFrame, catalog: DataFrame, now: dt.date, months: int =
     last = now.replace(day=1)
     spine = spark.range(months).select(
         F.date_format(F.add_months(F.lit(last), -F.col("id").cast("int")), "yyyy-MM").alias("month"))
-    totals = per_month.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("with_date")).crossJoin(
-        catalog.agg(F.count("*").alias("_all")))            # one row each
-    return (spine.join(per_month, "month", "left").crossJoin(totals)
-            .select("month", F.coalesce("_n", F.lit(0)).alias("tracks"), "with_date",
-                    (F.col("_all") - F.col("with_date")).alias("without_date")))
+    with_date = per_month.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    everything = catalog.agg(F.count("*")).scalar()
+    return (spine.join(per_month, "month", "left")
+            .select("month", F.coalesce("_n", F.lit(0)).alias("tracks"), with_date.alias("with_date"),
+                    (everything - with_date).alias("without_date")))
 
 
 def catalog_summary(catalog: DataFrame, verdict: str = "verdict", status: str = "status") -> DataFrame:

@@ -41,8 +41,8 @@ SELECT p_partkey AS track_id,
        p_partkey % 13 = 0 AS dup_ok,
        CASE WHEN p_partkey % 5 = 0 THEN 'lossless' WHEN p_partkey % 5 = 1 THEN 'lossy_aac' ELSE 'lossy_mp3' END AS codec_family,
        CAST(CASE p_partkey % 6 WHEN 0 THEN 320 WHEN 1 THEN 256 WHEN 2 THEN 192 WHEN 3 THEN 271 WHEN 4 THEN 128 ELSE 320 END AS INT) AS declared_kbps,
-       CAST(14000 + (p_partkey * 37) % 8050 AS DOUBLE) AS cutoff_hz,
-       CAST(14000 + (p_partkey * 41) % 8050 AS DOUBLE) AS raw_cutoff_hz,
+       CAST(14000 + ((p_partkey * 37) % 806) * 10 AS DOUBLE) AS cutoff_hz,
+       CAST(14000 + ((p_partkey * 41) % 806) * 10 AS DOUBLE) AS raw_cutoff_hz,
        CAST((p_partkey * 7) % 60 AS DOUBLE) AS steepness_db,
        CAST(CASE WHEN p_partkey % 4 = 0 THEN 19500 ELSE 0 END AS INT) AS lame_lowpass_hz,
        CASE WHEN p_partkey % 9 = 0 THEN 'Lavf58.1' ELSE 'LAME3.100' END AS encoder,
@@ -79,6 +79,35 @@ SELECT user_id AS track, event_id, ts, value AS level FROM events
 """
 
 
+# the catalog with stamps and fingerprints, and a later walk over the same files
+CATALOG = """
+SELECT *, 1.7e9 + track_id AS mtime, concat('a', CAST(track_id % 900 AS STRING)) AS audio_hash FROM tracks
+"""
+
+INVENTORY = """
+SELECT track_id,
+       CASE WHEN track_id % 9 = 4 THEN upper(path)
+            WHEN track_id % 31 = 0 THEN concat('/lib/new/', CAST(track_id AS STRING), '.mp3') ELSE path END AS path,
+       CASE WHEN track_id % 10 = 1 THEN size + 1 ELSE size END AS size,
+       1.7e9 + track_id + CASE WHEN track_id % 10 = 2 THEN 5 ELSE 0 END AS mtime
+FROM tracks WHERE track_id % 23 <> 0
+"""
+
+# list contents: an order is a list, its parts are the tracks
+ITEMS = """
+SELECT l_orderkey AS list_id, l_partkey AS path, l_returnflag AS flag, l_linestatus AS state,
+       l_linenumber AS o1, l_suppkey AS o2, l_quantity AS o3, l_extendedprice AS o4
+FROM lineitem
+"""
+
+TREE = """
+SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN CAST(floor(p_partkey / 2) AS BIGINT) END AS parent_id,
+       concat(p_name, '#', CAST(p_partkey % 50 AS STRING)) AS name,
+       CASE WHEN p_partkey % 5 = 0 THEN 'folder' WHEN p_partkey % 7 = 0 THEN 'smart' ELSE 'playlist' END AS kind
+FROM part
+"""
+
+
 def _view(spark: SparkSession, sf: str, base: str, sql: str) -> DataFrame:
     """Run ``sql`` over one base table, without leaving temp views behind."""
     return spark.sql(sql.replace(f"FROM {base}", "FROM {src}"), src=table(spark, sf, base))
@@ -100,15 +129,36 @@ def beats(spark: SparkSession, sf: str) -> DataFrame:
     return _view(spark, sf, "events", BEATS)
 
 
+def on_tracks(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+    return spark.sql(sql.replace("FROM tracks", "FROM {src}"), src=tracks(spark, sf))
+
+
+def catalog(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tracks(spark, sf, CATALOG)
+
+
+def inventory(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tracks(spark, sf, INVENTORY)
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    return _view(spark, sf, "lineitem", ITEMS)
+
+
+def tree(spark: SparkSession, sf: str) -> DataFrame:
+    return _view(spark, sf, "part", TREE)
+
+
 def with_ctes(body: str, **extra: str) -> str:
     """Oracle text: the bindings named in ``body`` as CTEs, then ``body``."""
-    known = {"tracks": TRACKS, "plays": PLAYS, "year_plays": YEAR_PLAYS, "beats": BEATS} | extra
+    known = {"tracks": TRACKS, "plays": PLAYS, "year_plays": YEAR_PLAYS, "beats": BEATS, "catalog": CATALOG,
+             "inventory": INVENTORY, "items": ITEMS, "tree": TREE} | extra
     used: list[str] = []
 
     def need(text: str) -> None:
         for name, sql in known.items():
             if name not in used and re.search(rf"\b{name}\b", text):
-                if name in extra:
+                if sql is not text:
                     need(sql)
                 used.append(name)
 

@@ -72,6 +72,8 @@ def main():
     from crateloom.session import build_session
     spark = build_session("check")
     spark.sparkContext.setLogLevel("ERROR")
+    import logging
+    logging.disable(logging.CRITICAL)
     sf_dir = f"/root/testdata/sf{a.sf}"
     con = duck(sf_dir)
     oracle = entry.oracle_sql()
