@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
-from crateloom.functions.text import _ACCENTED, _BASE, fold_py, strip_accents_py
+from crateloom.functions.text import _ACCENTED, _BASE, fold_py, let, strip_accents_py
 
 LETTER = "[\\p{L}\\p{N}]"
 _FORMS: dict[str, str] = {}
@@ -101,4 +101,4 @@ def has_term(c: Column, rule: Rule) -> Column:
 def apply_rule(c: Column, rule: Rule) -> Column:
     """Value after one rule; a result without content is never written."""
     new = F.trim(replace_terms(c, rule.terms, rule.replacement, rule.case_sensitive, rule.accent_sensitive))
-    return F.when(new != "", new).otherwise(c)
+    return let(new, lambda n: F.when(n != "", n).otherwise(c))

@@ -21,6 +21,14 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _BASE = _accent_table()
 
 
+def let(value: Column, body) -> Column:
+    """Use ``value`` several times in ``body`` without repeating its expression.
+
+    Chains of rules would otherwise double in size with every step that mentions its input
+    twice; the lambda variable keeps them linear, also when the optimizer inlines them."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_accents(c: Column) -> Column:
     """Drop accents; letters without a decomposition (ß ø æ ł) stay as they are."""
     return F.regexp_replace(F.translate(c, _ACCENTED, _BASE), "[\\u0300-\\u036F]", "")

@@ -273,7 +273,7 @@ def t25(spark, sf):
 def measured(spark, sf):
     """Tracks with edges per segment: half of the segments at one cutoff, half at another."""
     t = tracks(spark, sf)
-    seg = "transform(sequence(0, 3 + CAST(track_id % 6 AS INT)), i -> named_struct('hz', 15000.0D + 500 * ((track_id + i) % 9), 'db', CAST((track_id * 3 + i * 11) % 50 AS DOUBLE)))"
+    seg = "transform(sequence(0, 3 + CAST(track_id % 6 AS INT)), i -> named_struct('hz', 15000.0D + 2000 * ((track_id + i) % 3), 'db', CAST((track_id * 3 + i * 11) % 50 AS DOUBLE)))"
     return t.withColumn("edge_segments", F.when(F.expr("track_id % 3 > 0"), F.expr(seg)))
 
 
@@ -327,7 +327,7 @@ def t28(spark, sf):
 
 
 SEG_SQL = """
-, s AS (SELECT track_id, 4 + track_id % 6 AS n, i, 15000.0 + 500 * ((track_id + i) % 9) AS hz, CAST((track_id * 3 + i * 11) % 50 AS DOUBLE) AS db
+, s AS (SELECT track_id, 4 + track_id % 6 AS n, i, 15000.0 + 2000 * ((track_id + i) % 3) AS hz, CAST((track_id * 3 + i * 11) % 50 AS DOUBLE) AS db
   FROM tracks, range(0, 9) r(i) WHERE track_id % 3 > 0 AND i <= 3 + track_id % 6),
  e AS (SELECT *, hz - lag(hz) OVER (PARTITION BY track_id ORDER BY hz) AS gap FROM s WHERE db >= 15),
  g AS (SELECT *, sum(CASE WHEN gap <= 300 THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY hz ROWS UNBOUNDED PRECEDING) AS grp FROM e),
