@@ -78,7 +78,7 @@ def median_gap(beats: DataFrame, keys: Sequence[str], idx: str, ms: str) -> Data
     """Length of a beat in seconds: the upper median of the positive gaps, 0.5 without any."""
     keys = list(keys)
     gaps = halo_window(beats, keys, idx, 1, 0, lambda w: {"_gap": F.col(ms) - F.lag(ms).over(w)}).filter("_gap > 0")
-    ranked = index_rows(gaps.select(*keys, "_gap"), keys, ["_gap"], "_i", "_n")
+    ranked = index_rows(gaps.select(*keys, "_gap", idx), keys, ["_gap", idx], "_i", "_n")
     mid = ranked.filter(F.col("_i") == F.floor(F.col("_n") / 2)).select(*keys, (F.col("_gap") / 1000.0).alias("beat_s"))
     return beats.select(*keys).distinct().join(mid, keys, "left").fillna(0.5, ["beat_s"])
 

@@ -124,8 +124,10 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     Unlike the built-in ``percentile`` aggregate no task has to hold all values of a key.
     """
     keys = list(keys)
-    ranked = index_rows(df.filter(F.col(value).isNotNull()).select(*keys, value),
-                        keys, [F.col(value)], "_i", "_n")
+    # the other columns break ties, so that one frequent value can be split over partitions
+    others = [f.name for f in df.schema if f.dataType.typeName() != "map"]
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, F.xxhash64(*others).alias("_tie"))
+    ranked = index_rows(rows, keys, [F.col(value), F.col("_tie")], "_i", "_n")
     aggs = []
     for name, q in quantiles.items():
         pos = F.lit(float(q)) * (F.col("_n") - 1)

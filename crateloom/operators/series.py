@@ -152,15 +152,16 @@ def beat_tempo(beats: DataFrame, keys: Keys, idx: str, ms: str, out: str = "bpm"
             .withColumn(out, F.when(regular, fixed).otherwise(moving)).select(*beats.columns, out))
 
 
-def _runs(df: DataFrame, keys: Keys, idx: str, cols: Sequence[str]) -> DataFrame:
-    """First row of every run of equal values.  Steady stretches of a series, however long,
-    become one row; what is left per series is one row per change."""
+def _runs(df: DataFrame, keys: Keys, idx: str, cols: Sequence[str], keep: Column | None = None) -> DataFrame:
+    """First row of every run of equal values (and rows ``keep`` asks for).  Steady stretches of
+    a series, however long, become one row; what is left per series is one row per change."""
     def build(w):
         same = F.lit(True)
         for c in cols:
             same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
         return {"_same": same & (F.col(idx) > 0)}
-    return halo_window(df, keys, idx, 1, 0, build).filter("NOT _same").drop("_same")
+    first = ~F.col("_same") if keep is None else ~F.col("_same") | keep
+    return halo_window(df, keys, idx, 1, 0, build).filter(first).drop("_same")
 
 
 def _middle(ordered: Column) -> Column:
@@ -179,7 +180,9 @@ def tempo_changes(beats: DataFrame, keys: Keys, idx: str, bpm: str, at: str, thr
         ahead, later = w.rowsBetween(0, 7), w.rowsBetween(4, 15)
         near, far = (F.array_sort(F.collect_list(bpm).over(f)) for f in (ahead, later))      # 8 and 12 values
         return {"_win": F.when(F.size(near) >= 4, _middle(near)), "_level": F.coalesce(_middle(far), _middle(near))}
-    marks = _runs(halo_window(beats, keys, idx, 0, 15, build), keys, idx, [bpm, "_win", "_level"])
+    # a row whose own tempo is far from the level behind it reports again even when repeated
+    again = (F.abs(F.col(bpm) - F.col("_level")) / F.col("_level") > threshold) & (F.abs(F.col("_win") - F.col("_level")) / F.col("_level") > threshold)
+    marks = _runs(halo_window(beats, keys, idx, 0, 15, build), keys, idx, [bpm, "_win", "_level"], F.coalesce(again, F.lit(False)))
     rows = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(at).alias("at"), F.col(bpm).alias("b"),
                                                 F.col("_win").alias("w"), F.col("_level").alias("l"))))
     per = marks.groupBy(*keys).agg(rows.alias("_rows"))

@@ -87,14 +87,17 @@ def top_tracks_relative(plays: DataFrame, lengths: DataFrame, n: int = 50, year:
                     F.bround(F.col("_ratio") / F.col("plays"), 3).alias("avg_ratio")))
 
 
-def top_groups(plays: DataFrame, field: str, n: int = 10, year: str = "y", track: str = "track_id",
-               seconds: str = "seconds") -> DataFrame:
-    """Artists, genres … by time heard; ``plays`` already carries ``field``."""
-    rows = plays.filter(~blank(F.col(field))).withColumn("_v", F.trim(field))
-    # per track first: the distinct count then is a plain count of pre-aggregated rows
-    per_track = rows.groupBy(year, "_v", track).agg(F.sum(seconds).alias("_s"), F.count("*").alias("_n"))
-    agg = per_track.groupBy(year, "_v").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("plays"),
-                                            F.count("*").alias("tracks"))
+def top_groups(plays: DataFrame, catalog: DataFrame, field: str, n: int = 10, year: str = "y",
+               track: str = "track_id", seconds: str = "seconds") -> DataFrame:
+    """Artists, genres … by time heard; blank values do not take part.
+
+    Plays shrink to one row per year and track before the catalog is joined, so a track that owns
+    most of the plays is a single row by then.
+    """
+    per_track = plays.groupBy(year, track).agg(F.sum(seconds).alias("_s"), F.count("*").alias("_n"))
+    named = catalog.filter(~blank(F.col(field))).select(track, F.trim(field).alias("_v"))
+    agg = (per_track.join(named, track).groupBy(year, "_v")
+           .agg(F.sum("_s").alias("_s"), F.sum("_n").alias("plays"), F.count("*").alias("tracks")))
     return (_top(agg, [year], [F.desc("_s"), F.asc("_v")], n)
             .select(year, "rank", F.col("_v").alias(field),
                     F.bround("_s", 0).cast("long").alias("seconds"), "plays", "tracks"))

@@ -65,8 +65,7 @@ def a4(spark, sf):
 SELECT y, CAST(rank AS INTEGER) AS rank, artist, CAST(round_even(s::DOUBLE, 0) AS BIGINT) AS seconds, plays, tracks
 FROM r WHERE rank <= 10"""))
 def a5(spark, sf):
-    p = stats.usable_plays(year_plays(spark, sf)).join(tracks(spark, sf).select("track_id", "artist"), "track_id")
-    return stats.top_groups(p, "artist")
+    return stats.top_groups(stats.usable_plays(year_plays(spark, sf)), tracks(spark, sf), "artist")
 
 
 @query("a6_top_history", with_ctes("""

@@ -101,7 +101,7 @@ def test_tempo_sections_and_changes(spark):
     if len(tempi) - start >= 8 or not sections:
         sections.append((start, len(tempi), float(np.median(tempi[start:]))))
     out = [(r.start_beat, r.end_beat, r.section_bpm) for r in se.tempo_sections(df, ["k"], "idx", "bpm").orderBy("start_beat").collect()]
-    assert out == pytest.approx(sections)
+    assert np.array(out) == pytest.approx(np.array(sections))
     cur, changes = tempi[0], []
     for i, b in enumerate(tempi):
         win = tempi[i:i + 8]
@@ -109,7 +109,7 @@ def test_tempo_sections_and_changes(spark):
             cur = float(np.median(tempi[i + 4:i + 16] or win))
             changes.append((float(i), cur))
     out = [(r.at, r.new_bpm) for r in se.tempo_changes(df, ["k"], "idx", "bpm", "at").orderBy("at").collect()]
-    assert out == pytest.approx(changes)
+    assert np.array(out) == pytest.approx(np.array(changes))
 
 
 def test_find_edge(spark):
