@@ -29,8 +29,8 @@ SPELLED = """SELECT track_id, path, duration_s + CAST(track_id % 3 AS DOUBLE) AS
 
 @query("d2_loose_duplicates", with_ctes("""
 , k AS (SELECT path, duration_s, a0 || '|' || t0 AS key FROM spelled),
- l AS (SELECT *, CASE WHEN duration_s - lag(duration_s) OVER (PARTITION BY key ORDER BY duration_s) <= 3 THEN 0 ELSE 1 END AS c FROM k),
- g AS (SELECT *, sum(c) OVER (PARTITION BY key ORDER BY duration_s ROWS UNBOUNDED PRECEDING) AS grp FROM l)
+ l AS (SELECT *, CASE WHEN duration_s - lag(duration_s) OVER (PARTITION BY key ORDER BY duration_s, path) <= 3 THEN 0 ELSE 1 END AS c FROM k),
+ g AS (SELECT *, sum(c) OVER (PARTITION BY key ORDER BY duration_s, path ROWS UNBOUNDED PRECEDING) AS grp FROM l)
 SELECT path, duration_s, n AS copies FROM (SELECT *, count(*) OVER (PARTITION BY key, grp) AS n FROM g) WHERE n > 1""", spelled=SPELLED))
 def d2(spark, sf):
     return du.loose_duplicates(on_tracks(spark, sf, SPELLED)).drop("group_id")

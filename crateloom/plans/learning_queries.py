@@ -170,11 +170,11 @@ def ml13(spark, sf):
 , h AS (SELECT *, n // 2 AS drop2 FROM b), r AS (SELECT track, avg(level) AS ref FROM h WHERE idx BETWEEN drop2 AND drop2 + 7 GROUP BY 1),
  m AS (SELECT *, avg(level) {rows(0, 3)} AS mean FROM h)
 SELECT m.track, idx, round((drop2 - idx) / 8, 6) AS rel_c_phrases, (((drop2 - idx) % 8) + 8) % 8 AS rel_c_phase8, round(idx / greatest(drop2, 1), 6) AS rel_c_pos,
- round(CASE WHEN ref > 1e-9 THEN mean / ref ELSE 1 END, 5) AS level_vs_drop2 FROM m LEFT JOIN r ON r.track = m.track"""))
+ round(CASE WHEN ref > 1e-9 THEN mean / ref ELSE 1 END, 9) AS level_vs_drop2 FROM m LEFT JOIN r ON r.track = m.track"""))
 def ml13f(spark, sf):
     s = ser(spark, sf).withColumn("drop2", F.floor(F.col("n") / 2))
     out = ml.chain_features(s, K, "idx", rms="level")
-    return out.select("track", "idx", F.round("rel_c_phrases", 6).alias("rel_c_phrases"), "rel_c_phase8", F.round("rel_c_pos", 6).alias("rel_c_pos"), F.round("level_vs_drop2", 5).alias("level_vs_drop2"))
+    return out.select("track", "idx", F.round("rel_c_phrases", 6).alias("rel_c_phrases"), "rel_c_phase8", F.round("rel_c_pos", 6).alias("rel_c_pos"), F.round("level_vs_drop2", 9).alias("level_vs_drop2"))
 
 
 @query("ml14_stale_examples", "SELECT o_orderkey AS track FROM orders WHERE o_orderkey % 3 <> 0")

@@ -73,6 +73,16 @@ def t5(spark, sf):
     return cl.rename_plan(tracks(spark, sf))
 
 
+PATTERNS = """SELECT track_id, CASE track_id % 6 WHEN 0 THEN '' WHEN 1 THEN title WHEN 2 THEN concat(chr(123), 'artist', chr(125), '_', chr(123), 'nope', chr(125), title)
+  WHEN 3 THEN concat(album, '_', chr(123), 'Title', chr(125), ':') ELSE concat(chr(123), 'artist', chr(125), '_', album, '_', chr(123), 'BPM', chr(125)) END AS pattern FROM tracks"""
+
+
+@query("t6_pattern_problem", with_ctes("""
+SELECT track_id, CASE track_id % 6 WHEN 0 THEN 'empty' WHEN 1 THEN CASE WHEN trim(pattern) = '' THEN 'empty' ELSE 'no_placeholder' END WHEN 2 THEN 'unknown' WHEN 3 THEN 'bad_character' END AS problem FROM patterns""", patterns=PATTERNS))
+def t6(spark, sf):
+    return on_tracks(spark, sf, PATTERNS).select("track_id", cl.pattern_problem(F.col("pattern")).alias("problem"))
+
+
 # defects the generated names do not have
 DEFECTS = """SELECT track_id, path, artist, codec_family, CASE track_id % 8 WHEN 0 THEN concat(title, chr(7)) WHEN 1 THEN concat(title, ' ')
   WHEN 2 THEN concat('BjÃ¶rk ', title) WHEN 3 THEN concat('Café ', title) WHEN 4 THEN replace(title, ' ', chr(10)) ELSE title END AS title FROM tracks"""
@@ -329,8 +339,8 @@ def t28(spark, sf):
 SEG_SQL = """
 , s AS (SELECT track_id, 4 + track_id % 6 AS n, i, 15000.0 + 2000 * ((track_id + i) % 3) AS hz, CAST((track_id * 3 + i * 11) % 50 AS DOUBLE) AS db
   FROM tracks, range(0, 9) r(i) WHERE track_id % 3 > 0 AND i <= 3 + track_id % 6),
- e AS (SELECT *, hz - lag(hz) OVER (PARTITION BY track_id ORDER BY hz) AS gap FROM s WHERE db >= 15),
- g AS (SELECT *, sum(CASE WHEN gap <= 300 THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY hz ROWS UNBOUNDED PRECEDING) AS grp FROM e),
+ e AS (SELECT *, hz - lag(hz) OVER (PARTITION BY track_id ORDER BY hz, i) AS gap FROM s WHERE db >= 15),
+ g AS (SELECT *, sum(CASE WHEN gap <= 300 THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY hz, i ROWS UNBOUNDED PRECEDING) AS grp FROM e),
  c AS (SELECT track_id, grp, median(hz) AS hz FROM g GROUP BY track_id, grp, n HAVING count(*) >= greatest(2, 0.15 * n))
 """
 
