@@ -5,6 +5,7 @@ so the filters stay inside generated code.
 """
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 import re
 from collections.abc import Sequence
@@ -47,7 +48,7 @@ def is_empty(col: str, numeric: bool = False) -> Column:
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in conditions])
+    return reduce(lambda a, b: a | b, conditions)
 
 
 def negate(condition: Column) -> Column:
@@ -63,52 +64,59 @@ def _seconds(text: str) -> float:
     return reduce(lambda total, part: total * 60 + _number(part), text.strip().split(":"), 0.0)
 
 
-def _range(col: Column, spec: str, parse) -> Column:
+def _range(col: Column, spec: str, parse, unit: float = 0.0) -> Column:
+    """Comparison, range or value as plain bounds on the bare column, which the file reader can
+    use.  With ``unit`` a value stands for everything up to the next unit."""
     spec = str(spec).strip()
-    if spec[:1] in "<>":
+    if spec[:1] in ("<", ">"):
         bound = parse(spec.lstrip("<>=").strip())
         inclusive = "=" in spec[:2]
         if spec[0] == ">":
-            return col >= bound if inclusive else col > bound
-        return (col <= bound if inclusive else col < bound) & (col > 0)
+            return col >= bound if inclusive else (col >= bound + unit if unit else col > bound)
+        below = (col < bound + unit if unit else col <= bound) if inclusive else col < bound
+        return below & (col > 0)
     m = re.fullmatch(r"([^-]+)-([^-]+)", spec)
-    if m:
-        low, high = sorted((parse(m.group(1)), parse(m.group(2))))
-        return col.between(low, high)
-    return col == parse(spec)
+    low, high = sorted((parse(m.group(1)), parse(m.group(2)))) if m else (parse(spec), parse(spec))
+    if unit:
+        return (col >= low) & (col < high + unit)
+    return col.between(low, high) if m else col == low
 
 
 def num_cmp(col: str, spec: str) -> Column:
     """``>128``, ``<90``, ``124-128`` or a value; 0 and null mean missing and match no ``<``."""
-    return F.coalesce(_range(F.col(col), spec, _number), F.lit(False))
+    return _range(F.col(col), spec, _number)
 
 
 def duration_cmp(col: str, spec: str) -> Column:
-    """As num_cmp with ``m:ss``; a plain value means that whole second."""
-    return F.coalesce(_range(F.floor(F.col(col)), spec, _seconds), F.lit(False))
+    """As num_cmp with ``m:ss``, in whole seconds."""
+    return _range(F.col(col), spec, _seconds, unit=1.0)
+
+
+def _epoch(day: dt.date) -> int:
+    return calendar.timegm(day.timetuple())
 
 
 def added_cmp(col: str, spec: str, now: dt.date) -> Column:
-    """Added date against a day, a month, a year, ``>``/``<`` of one, or ``30d`` (within)."""
-    day = F.to_date(F.timestamp_seconds(F.col(col)))
-    known = F.coalesce(F.col(col), F.lit(0)) > 0
-    m = re.fullmatch(r"(\d+)\s*d", spec.strip())
+    """Added time (epoch seconds, UTC days) against a day, a month, a year, ``>``/``<`` of one, or
+    ``30d`` (within)."""
+    c, spec = F.col(col), spec.strip()
+    m = re.fullmatch(r"(\d+)\s*d", spec)
     if m:
-        return known & (day >= F.lit(now - dt.timedelta(days=int(m.group(1)))))
-    sign, text = (spec.strip()[:1], spec.strip().lstrip("<>")) if spec.strip()[:1] in "<>" else ("", spec.strip())
+        return (c > 0) & (c >= _epoch(now - dt.timedelta(days=int(m.group(1)))))
+    sign, text = (spec[:1], spec.lstrip("<>")) if spec[:1] in ("<", ">") else ("", spec)
     parts = [int(x) for x in text.split("-")]
     first = dt.date(parts[0], parts[1] if len(parts) > 1 else 1, parts[2] if len(parts) > 2 else 1)
     if len(parts) == 1:
-        last = dt.date(parts[0], 12, 31)
+        after = dt.date(parts[0] + 1, 1, 1)
     elif len(parts) == 2:
-        last = (first.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1)
+        after = (first.replace(day=28) + dt.timedelta(days=4)).replace(day=1)
     else:
-        last = first
+        after = first + dt.timedelta(days=1)
     if sign == ">":
-        return known & (day >= F.lit(first))
+        return (c > 0) & (c >= _epoch(first))
     if sign == "<":
-        return known & (day < F.lit(first))
-    return known & day.between(F.lit(first), F.lit(last))
+        return (c > 0) & (c < _epoch(first))
+    return (c > 0) & (c >= _epoch(first)) & (c < _epoch(after))
 
 
 def key_match(col: str, value: str) -> Column:
@@ -161,7 +169,7 @@ def ends_with(col: str, v: str) -> Column:
 
 
 def _in_last(col: str, days, now) -> Column:
-    return F.coalesce(F.col(col) >= F.unix_timestamp(F.lit(now).cast("timestamp")) - int(days) * 86400, F.lit(False))
+    return F.col(col) >= _epoch(now) - int(days) * 86400
 
 
 OPS = ("contains", "phrase", "is", "starts", "ends", "empty", "eq", "at_least", "at_most", "gt", "lt", "cmp", "duration",
@@ -181,4 +189,5 @@ def term_column(term: Term, now: dt.date | None = None) -> Column:
         "has": lambda: F.array_contains(F.col(f), v), "in_last_days": lambda: _in_last(f, v, now),
         "before_days": lambda: (F.col(f) > 0) & negate(_in_last(f, v, now))}
     cond = table[term.op]()
-    return negate(cond) if term.negate else F.coalesce(cond, F.lit(False))
+    # a filter drops unknowns by itself; wrapping them would hide the bounds from the file reader
+    return negate(cond) if term.negate else cond

@@ -250,3 +250,37 @@ def test_sync_is_symmetric(spark):
     swapped = base.replace({"a": "c", "b": "a"}, subset=["side"]).replace({"c": "b"}, subset=["side"])
     two = ls.sync_items(ls.sync_membership(own, {"a": b, "b": a}, swapped, lists), ["a", "b"]).orderBy("pos")
     assert [r.path for r in two.collect()] == ["a", "y", "x"]
+
+
+def test_hot_key_is_spread(spark):
+    """A key owning most rows must not end up in one task."""
+    df = spark.range(40000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), "id")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")      # the data is tiny
+    try:
+        idx = od.index_rows(df, ["k"], ["id"], "idx")
+        sizes = [r["count"] for r in idx.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+        out = od.halo_window(idx, ["k"], "idx", 2, 2, lambda w: {"s": F.sum("id").over(w.rowsBetween(-2, 2))}, chunk=1000)
+        per = [r["count"] for r in out.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert max(sizes) < 0.5 * sum(sizes)
+    assert sum(per) == df.filter("k = 'hot'").count() and max(per) < 0.5 * sum(per)
+
+
+def test_equal_values_are_split(spark):
+    df = spark.range(20000).select(F.lit("a").alias("k"), "id", F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id").cast("double")).alias("v"))
+    out = od.exact_percentiles(df, ["k"], "v", {"q": 0.5}).first().q
+    want = float(np.percentile([1.0 if i % 3 == 0 else float(i) for i in range(20000)], 50))
+    assert out == pytest.approx(want)
+
+
+def test_filters_reach_the_file(spark, tmp_path):
+    from crateloom.functions import predicates as pr
+    spark.range(100).select(F.col("id").cast("double").alias("bpm"), (F.col("id") * 86400).alias("added_ts"), F.lit("x").alias("other")).write.parquet(str(tmp_path / "t"))
+    import datetime as dt
+    df = spark.read.parquet(str(tmp_path / "t")).filter(pr.num_cmp("bpm", "20-30") & pr.added_cmp("added_ts", ">1970-01-05", dt.date(1970, 3, 1))).select("bpm")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(bpm,20.0)" in pushed and "added_ts" in pushed and "other" not in plan.split("ReadSchema")[1]
+    assert df.count() == 11
