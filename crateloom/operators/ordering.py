@@ -45,7 +45,8 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     cond = F.col("_pid") == F.col("_p2")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = srt.join(renamed, cond).withColumn(
+    # every row has its offset; as an outer join the long side can never be the broadcast one
+    out = srt.join(renamed, cond, "left").withColumn(
         idx, (F.col("_mid") - F.col("_first") + F.col("_off")).cast("long"))
     if total:
         out = out.withColumn(total, F.col("_total").cast("long"))
@@ -96,7 +97,7 @@ def carry_last(df: DataFrame, keys: Sequence[str], idx: str, event: str, out: st
     chunks = work.select(*keys, "_chunk").distinct().join(ends, [*keys, "_chunk"], "left")
     prior = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = chunks.select(*keys, "_chunk", F.last("_end", ignorenulls=True).over(prior).alias("_carry"))
-    return (local.join(carry, [*keys, "_chunk"])
+    return (local.join(carry, [*keys, "_chunk"], "left")
             .withColumn(out, F.coalesce("_local", "_carry"))
             .select(*[c for c in df.columns if c != out], out))
 
@@ -112,7 +113,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], idx: str, value: str, out: s
     prior = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = (work.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
             .select(*keys, "_chunk", F.sum("_sum").over(prior).alias("_base")))
-    return (local.join(base, [*keys, "_chunk"])
+    return (local.join(base, [*keys, "_chunk"], "left")
             .withColumn(out, F.coalesce("_base", F.lit(0)) + F.coalesce("_local", F.lit(0)))
             .select(*[c for c in df.columns if c != out], out))
 

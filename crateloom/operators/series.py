@@ -74,7 +74,7 @@ def robust_scale(df: DataFrame, keys: Keys, col: str, out: str) -> DataFrame:
     bounds = exact_percentiles(df, keys, col, {"_lo": 0.05, "_hi": 0.95})
     span = F.col("_hi") - F.col("_lo")
     scaled = F.when(span < EPS, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(col) - F.col("_lo")) / span)))
-    return df.join(bounds, list(keys)).withColumn(out, scaled).drop("_lo", "_hi")
+    return df.join(bounds, list(keys), "left").withColumn(out, scaled).drop("_lo", "_hi")
 
 
 def lag_delta(df: DataFrame, keys: Keys, idx: str, col: str, lags: Sequence[int] = (1, 2, 4, 8)) -> DataFrame:
