@@ -5,13 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crateloom.llm import bands, langid, lengths, lines, media, mixing, pieces, setjoin, shards, toxicity
+from crateloom.llm import bands, langid, lengths, lines, media, mixing, oracles, pieces, setjoin, shards, toxicity
 from crateloom.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
 CATEGORIES = ("low_quality", "toxic")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_ngram_jaccard": oracles.NGRAM_JACCARD, "op7_line_templates": oracles.LINE_TEMPLATES, "op8_mix_sources": oracles.MIX_SOURCES}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -22,8 +22,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 @query
 def op1_stratified_shards(spark: SparkSession, d: str) -> DataFrame:
     out = shards.interleave(table(spark, d, "documents"), shards=8)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source").select(
-        "doc_id", (F.col("size") + 1).alias("size"), "text_crc32", "law", "shard", "slot", "grown_shard", "source")
+    return out.select("doc_id", (F.col("size") + 1).alias("size"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
 @query
@@ -62,7 +62,7 @@ def op7_line_templates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op8_mix_sources(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), weights=(5, 2, 1), cap=3).select("doc_id", "size", "source_size", "target", "taken", "source", "per_shard")
+    return mixing.mix(table(spark, d, "documents"), weights=(5, 2, 1), cap=3).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 @query
