@@ -95,16 +95,20 @@ def segment_reasons(view: Column, segments: Column, has_edge: Column, name: Colu
     return F.filter(F.array(F.when(partial, partly), F.when(mixed, mixes)), lambda r: r.isNotNull())
 
 
+# fixed values: what counts for or against a verdict
+CONFIDENCE = {"base": 0.45, "long": 0.20, "medium": 0.12, "too_short": -0.20, "edge": 0.25, "flag_without_edge": -0.15, "header_gap": 0.15,
+              "steady_edge": 0.10, "fleeting_edge": -0.10, "many_steps": 0.10, "at_nyquist": 0.05}
+
+
 def confidence(blocks: Column, has_edge: Column, flagged: Column, header_gap: Column, presence: Column,
                steps: Column, at_nyquist: Column) -> Column:
     """How reliable a verdict is, 0.05 … 1."""
-    def points(cond: Column, value: float) -> Column:
-        return F.when(F.coalesce(cond, F.lit(False)), value).otherwise(0.0)
-    score = (F.lit(0.45)
-             + F.when(blocks >= 60, 0.20).when(blocks >= 20, 0.12).when(blocks < MIN_BLOCKS, -0.20).otherwise(0.0)
-             + F.when(has_edge, 0.25).when(flagged, -0.15).otherwise(0.0)
-             + points(header_gap, 0.15)
-             + points(has_edge & (presence >= PRESENCE_HIGH), 0.10)
-             + points(has_edge & (presence < PRESENCE_LOW), -0.10)
-             + points(steps >= 2, 0.10) + points(at_nyquist, 0.05))
+    w = CONFIDENCE
+
+    def points(cond: Column, name: str) -> Column:
+        return F.when(F.coalesce(cond, F.lit(False)), w[name]).otherwise(0.0)
+    length = F.when(blocks >= 60, w["long"]).when(blocks >= 20, w["medium"]).when(blocks < MIN_BLOCKS, w["too_short"]).otherwise(0.0)
+    edge = F.when(has_edge, w["edge"]).when(flagged, w["flag_without_edge"]).otherwise(0.0)
+    score = (F.lit(w["base"]) + length + edge + points(header_gap, "header_gap") + points(has_edge & (presence >= PRESENCE_HIGH), "steady_edge")
+             + points(has_edge & (presence < PRESENCE_LOW), "fleeting_edge") + points(steps >= 2, "many_steps") + points(at_nyquist, "at_nyquist"))
     return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.bround(score, 6))), 2)

@@ -33,9 +33,24 @@ def pool(df: DataFrame, source: DataFrame | None = None, raised: Sequence[str] =
     return out
 
 
-def energy_curve(spark: SparkSession, preset: str | Sequence[float], n: int) -> DataFrame:
-    """Target energy per slot, rounded to halves and kept within 1..10."""
-    x = F.lit(0.5) if n == 1 else F.col("id") / (n - 1)
+# fixed values: start, rise, swing and form of each preset curve over 0..1
+CURVES = {
+    "warmup": (3.0, 3.0, 0.0, "none"),
+    "build": (3.0, 6.0, 0.0, "none"),
+    "peak": (7.0, 0.0, 1.5, "hill"),
+    "wave": (5.5, 0.0, -2.5, "two waves"),
+    "cooldown": (8.0, -5.0, 0.0, "none"),
+    "balanced": (4.0, 0.0, 4.0, "early hill"),
+}
+SHAPES = {"none": lambda x: F.lit(0.0), "hill": lambda x: F.sin(x * math.pi), "two waves": lambda x: F.cos(x * 4 * math.pi),
+          "early hill": lambda x: F.sin(F.pow(x, F.lit(0.8)) * math.pi)}
+# fixed values: what each term adds to a candidate's score
+WEIGHTS = {"energy": 1 / 9, "mood": 0.6, "cohesion": 0.5, "recent_artist": 0.3, "avoided_track": 0.2}
+
+
+def energy_at(preset: str | Sequence[float], slot: Column, n: Column) -> Column:
+    """Target energy of ``slot`` (0..) of ``n``, rounded to halves and kept within 1..10."""
+    x = F.when(n == 1, 0.5).otherwise(slot / (n - 1))
     if not isinstance(preset, str):
         pts = F.array(*[F.lit(float(p)) for p in preset])
         f = x * (len(preset) - 1)
@@ -43,11 +58,15 @@ def energy_curve(spark: SparkSession, preset: str | Sequence[float], n: int) ->
         a, b = F.get(pts, i), F.get(pts, F.least(i + 1, F.lit(len(preset) - 1)))
         v = a + (b - a) * (f - i)
     else:
-        v = {"warmup": 3 + x * 3, "build": 3 + x * 6, "peak": 7 + F.sin(x * math.pi) * 1.5,
-             "wave": 5.5 - F.cos(x * 4 * math.pi) * 2.5, "cooldown": 8 - x * 5,
-             "balanced": 4 + F.sin(F.pow(x, F.lit(0.8)) * math.pi) * 4}[preset]
+        start, rise, swing, shape = CURVES[preset]
+        v = start + rise * x + swing * SHAPES[shape](x)
     half = F.floor(F.round(v * 2, 9) + 0.5) / 2
-    return spark.range(n).select(F.col("id").alias("slot"), F.least(F.lit(10.0), F.greatest(F.lit(1.0), half)).alias("energy"))
+    return F.least(F.lit(10.0), F.greatest(F.lit(1.0), half))
+
+
+def energy_curve(spark: SparkSession, preset: str | Sequence[float], n: int) -> DataFrame:
+    """One row per slot with its target energy."""
+    return spark.range(n).select(F.col("id").alias("slot"), energy_at(preset, F.col("id"), F.lit(n)).alias("energy"))
 
 
 def _similarity(styles: str, other: dict[str, float] | None) -> Column:
@@ -64,17 +83,17 @@ def _similarity(styles: str, other: dict[str, float] | None) -> Column:
 def score_candidates(df: DataFrame, target: float, knobs: dict[str, float], prev: dict | None = None, cohesion: float = 0.0,
                      recent: Sequence[str] = (), avoid: Sequence = (), mode: str = "lean", id_col: str = "track_id") -> DataFrame:
     """Lower is better.  ``rank_<mood>`` columns hold rank01 of each active knob."""
-    s = F.abs(F.col("energy") - target) / 9
+    s = F.abs(F.col("energy") - target) * WEIGHTS["energy"]
     if mode != "all":
         for mood, v in knobs.items():
             if v:
-                s = s - (F.col(f"rank_{mood}") - 0.5) * (0.6 * v)
+                s = s - (F.col(f"rank_{mood}") - 0.5) * (WEIGHTS["mood"] * v)
     if prev is not None and cohesion:
-        s = s + (1 - _similarity("styles", prev.get("styles"))) * (0.5 * cohesion)
+        s = s + (1 - _similarity("styles", prev.get("styles"))) * (WEIGHTS["cohesion"] * cohesion)
     if recent:
-        s = s + F.when((F.col("artist") != "") & F.lower("artist").isin([a.lower() for a in recent]), 0.3).otherwise(0.0)
+        s = s + F.when((F.col("artist") != "") & F.lower("artist").isin([a.lower() for a in recent]), WEIGHTS["recent_artist"]).otherwise(0.0)
     if avoid:
-        s = s + F.when(F.col(id_col).isin(list(avoid)), 0.2).otherwise(0.0)
+        s = s + F.when(F.col(id_col).isin(list(avoid)), WEIGHTS["avoided_track"]).otherwise(0.0)
     return df.withColumn("score", s)
 
 
