@@ -26,7 +26,7 @@ CONFIDENCE_BINS = ((0.0, 0.3), (0.3, 0.5), (0.5, 0.7), (0.7, 0.9), (0.9, 1.01))
 # ── labels ───────────────────────────────────────────────────────────────────────────────────
 def hand_labels(cues: DataFrame, auto: DataFrame, beat_s: DataFrame, prefixes: Sequence[str] = (), track: str = "track") -> DataFrame:
     """Cues set by hand.  Dropped are tool-named cues and cues within max(0.05 s, one beat) of an
-    automatic one (same slot for hot cues); the first cue of a slot counts.
+    automatic one (same slot for hot cues, of which the last by ``ord`` counts); the first cue of a slot counts.
 
     Positions are compared inside buckets of tolerance width, so a track's cues are never paired.
     """
@@ -37,6 +37,10 @@ def hand_labels(cues: DataFrame, auto: DataFrame, beat_s: DataFrame, prefixes: S
     slot = F.when(F.col("kind") == "hot", F.col("slot")).otherwise(0)
     mine = (cues.filter((F.col("position_s") >= 0) & ~named & ((F.col("kind") != "hot") | (F.col("slot") > 0)))
             .join(beat_s, track, "left").withColumns({"_slot": slot, "_tol": tol}).drop("beat_s"))
+    if "ord" in auto.columns:                        # of several automatic cues in a hot slot the last one counts
+        last = auto.filter("kind = 'hot'").groupBy(track, "slot").agg(F.max_by("position_s", "ord").alias("position_s"))
+        rest = auto.filter("kind <> 'hot'").select(track, "kind", "slot", "position_s")
+        auto = last.select(track, F.lit("hot").alias("kind"), "slot", "position_s").unionByName(rest)
     theirs = (auto.join(beat_s, track, "left").withColumn("_t", tol)
               .select(track, slot.alias("_slot"), F.col("position_s").alias("_auto"), F.explode(F.sequence(
                   F.floor(F.col("position_s") / F.col("_t")) - 1, F.floor(F.col("position_s") / F.col("_t")) + 1)).alias("_b")))

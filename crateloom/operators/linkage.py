@@ -12,6 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crateloom.functions.text import basename, collapse, extension, nfc, nfd, norm_key, stem
+from crateloom.operators.ordering import index_rows
 from crateloom.operators.stats import mark_flags
 from crateloom.session import cut
 
@@ -22,12 +23,13 @@ BPM_TOLERANCE = 0.05
 
 # ── denormalised row ─────────────────────────────────────────────────────────────────────────
 def track_view(catalog: DataFrame, marks: dict[str, DataFrame], moods: DataFrame,
-               min_share: float = 0.05, path: str = "path") -> DataFrame:
+               min_share: float = 0.05, path: str = "path", most_styles: int | None = None) -> DataFrame:
     """One display row per track: defaults for nulls, flags from the marks, styles above the
-    minimum share (at most five), energy and rounded moods."""
+    minimum share (with ``most_styles`` only so many), energy and rounded moods."""
     gm = moods.select(path, "styles", "energy", "moods")
     flagged = F.coalesce(F.col("verdict"), F.lit("UNKNOWN")) != "OK"
-    shown = F.filter(F.slice(F.coalesce("styles", F.array()), 1, 5), lambda s: s["p"] >= min_share)
+    styles = F.coalesce("styles", F.array())
+    shown = F.filter(styles if most_styles is None else F.slice(styles, 1, most_styles), lambda s: s["p"] >= min_share)
     return (mark_flags(catalog, marks, path).join(gm, path, "left")
             .withColumns({
                 "verdict": F.coalesce("verdict", F.lit("UNKNOWN")),
@@ -194,23 +196,13 @@ def _combination_keys(df: DataFrame, score: int, searching: bool) -> DataFrame:
 
 
 def _tier(missing: DataFrame, pool: DataFrame, score: int) -> DataFrame:
-    """Candidates agreeing in ``score`` features per missing path: their number and the five
-    smallest paths.  Pool rows are counted per key first, so a block is read, never paired."""
+    """Number and first of the candidates agreeing in ``score`` features, per missing path.  Pool rows are
+    counted per key first, so a block is read, never paired."""
     have = _combination_keys(pool, score, False).withColumn("_cd", F.when(F.col("timed"), F.col("d")))
-    w = Window.partitionBy("key", "_cd").orderBy("path")
-    firsts = (have.select("key", "_cd", "path").withColumn("_r", F.row_number().over(w)).filter("_r <= 5")
-              .groupBy("key", "_cd").agg(F.collect_list("path").alias("_paths")))      # at most five
-    table = (have.groupBy("key", "_cd").agg(F.count("*").alias("_n"))
-             .withColumnRenamed("key", "_key").withColumnRenamed("_cd", "_cd2")
-             .join(firsts, (F.col("_key") == F.col("key")) & F.col("_cd2").eqNullSafe(F.col("_cd")))
-             .select("key", "_cd", "_n", "_paths"))
+    table = have.groupBy("key", "_cd").agg(F.count("*").alias("_n"), F.min("path").alias("_first"))
     near = F.col("_cd").isNull() | (F.abs(F.col("_cd") - F.col("d")) <= DURATION_TOLERANCE)
     hits = _combination_keys(missing, score, True).join(table, "key").filter(near)
-    top = (hits.select("path", F.explode("_paths").alias("_c"))
-           .withColumn("_r", F.row_number().over(Window.partitionBy("path").orderBy("_c"))).filter("_r <= 5")
-           .groupBy("path").agg(F.array_sort(F.collect_list("_c")).alias("paths")))
-    return (hits.groupBy("path").agg(F.sum("_n").alias("n")).join(top, "path")
-            .select("path", "n", "paths", F.lit(score).alias("score")))
+    return hits.groupBy("path").agg(F.sum("_n").alias("n"), F.min("_first").alias("first")).withColumn("score", F.lit(score))
 
 
 def _best_candidates(missing: DataFrame, pool: DataFrame) -> DataFrame:
@@ -227,39 +219,55 @@ def _best_candidates(missing: DataFrame, pool: DataFrame) -> DataFrame:
     return answered
 
 
+def _listed(rows: DataFrame, pool: DataFrame, score: int) -> DataFrame:
+    """Every candidate of rows whose best score is ``score``: path, new_path."""
+    have = _combination_keys(pool, score, False).select("key", F.col("path").alias("new_path"), F.when(F.col("timed"), F.col("d")).alias("_cd"))
+    near = F.col("_cd").isNull() | (F.abs(F.col("_cd") - F.col("d")) <= DURATION_TOLERANCE)
+    return _combination_keys(rows, score, True).join(have, "key").filter(near).select("path", "new_path").distinct()
+
+
 def match_moved(missing: DataFrame, candidates: DataFrame, same_ext: bool = False,
                 path: str = "path") -> DataFrame:
-    """Where did missing files go?  One row per answered path: status ``match`` or ``ambiguous``
-    (its first five candidates).
+    """Where did missing files go?  One row per candidate of an answered path: status ``match`` or
+    ``ambiguous``, score, new_path and its rank by path (1 for a match).
 
     A candidate serves one missing row.  When several rows have it as their only best one, the
-    highest score wins, then the smallest path; the others look again without it, until nobody
-    lost a candidate in a round.
+    highest score wins, then the smallest path.  The others look again without it, and so does every row
+    that was undecided between a taken candidate and others, until a round takes none away.
     """
     def prepared(df):
         f = _features(df, path)
         return f.withColumn("_x", F.col("ext") if same_ext else F.lit("")).drop("ext")
-    open_rows, pool = cut(prepared(missing)), cut(prepared(candidates))
-    done = None
+    rows, pool = cut(prepared(missing)), cut(prepared(candidates))
+    open_rows, done, tied = rows, None, None
     while True:
         best = cut(_best_candidates(open_rows, pool))
-        unique = best.filter("n = 1").select("path", "score", F.element_at("paths", 1).alias("new_path"))
+        unique = best.filter("n = 1").select("path", "score", F.col("first").alias("new_path"))
         winner = unique.groupBy("new_path").agg(
             F.min(F.struct((-F.col("score")).alias("k"), F.col("path").alias("path"))).alias("_w"))
         settled = cut(unique.join(winner, "new_path").withColumn("_won", F.col("_w.path") == F.col("path"))
                       .drop("_w"))
-        matches = settled.filter("_won").select("path", F.lit("match").alias("status"), "score",
-                                                F.array("new_path").alias("new_paths"))
-        ties = best.filter("n > 1").select("path", F.lit("ambiguous").alias("status"), "score",
-                                           F.col("paths").alias("new_paths"))
-        part = matches.unionByName(ties)
-        done = part if done is None else done.unionByName(part)
-        losers = settled.filter("NOT _won")
-        if losers.isEmpty():
-            return done
-        open_rows = cut(open_rows.join(losers.select("path"), "path", "left_semi"))
-        taken = settled.filter("_won").select(F.col("new_path").alias("path"))
-        pool = cut(pool.join(taken, "path", "left_anti"))
+        won = settled.filter("_won").select("path", "score", "new_path")
+        done = won if done is None else done.unionByName(won)
+        ties = best.filter("n > 1").select("path", "score")
+        tied = ties if tied is None else cut(tied.unionByName(ties))
+        taken = pool.join(won.select(F.col("new_path").alias("path")), "path", "left_semi")
+        # a tie that reaches for a taken candidate is open again
+        undecided = rows.join(tied.select("path"), "path", "left_semi")
+        touched = cut(_best_candidates(undecided, taken).join(tied, ["path", "score"], "left_semi").select("path"))
+        again = cut(settled.filter("NOT _won").select("path").unionByName(touched))
+        if again.isEmpty():
+            break
+        tied = cut(tied.join(touched, "path", "left_anti"))
+        open_rows = cut(rows.join(again, "path", "left_semi"))
+        pool = cut(pool.join(taken.select("path"), "path", "left_anti"))
+    pool = pool.join(done.select(F.col("new_path").alias("path")), "path", "left_anti")
+    out = done.select("path", F.lit("match").alias("status"), "score", "new_path", F.lit(1).alias("rank"))
+    for score in (4, 3, 2):
+        which = rows.join(tied.filter(F.col("score") == score).select("path"), "path", "left_semi")
+        listed = index_rows(_listed(which, pool, score), ["path"], ["new_path"], "_i")
+        out = out.unionByName(listed.select("path", F.lit("ambiguous").alias("status"), F.lit(score).alias("score"), "new_path", (F.col("_i") + 1).cast("int").alias("rank")))
+    return out
 
 
 # ── path and entry resolution ────────────────────────────────────────────────────────────────

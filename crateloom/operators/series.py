@@ -21,6 +21,7 @@ PHRASE_BARS, SUSTAIN_BARS, RISER_BARS = 8, 16, 8
 GATE_ON, GATE_OFF = 0.45, 0.30
 TAIL_LEVEL = 0.35
 SEGMENT_SLACK_S = 0.0015
+# fixed values: limits of each strictness of the grid check
 STRICTNESS = {
     "strict": {"min_beats": 64, "interval_error": 1.5, "coverage": 0.90, "cycle_breaks": 0, "sections": 4},
     "normal": {"min_beats": 32, "interval_error": 5.0, "coverage": 0.75, "cycle_breaks": 2, "sections": 12},
@@ -28,6 +29,12 @@ STRICTNESS = {
 }
 
 
+def _shifted(c: str, idx: str, off: int, w: WindowSpec, ends: WindowSpec) -> Column:
+    """Value ``off`` rows on; where the series has no such row its border value.  A null in the series stays null."""
+    move, border = (F.lead, F.last) if off > 0 else (F.lag, F.first)
+    return F.when(move(idx, abs(off)).over(w).isNotNull(), move(c, abs(off)).over(w)).otherwise(border(c).over(ends))
+
+
 def context_lags(df: DataFrame, keys: Keys, idx: str, cols: Sequence[str], lags: Sequence[int] = CONTEXT_LAGS) -> DataFrame:
     """Values of neighbouring rows, positive offsets ahead; past the edge the border value."""
     reach = max(abs(x) for x in lags)
@@ -37,9 +44,7 @@ def context_lags(df: DataFrame, keys: Keys, idx: str, cols: Sequence[str], lags:
         out = {}
         for c in cols:
             for off in lags:
-                near = F.lead(c, off).over(w) if off > 0 else F.lag(c, -off).over(w)
-                edge = F.last(c).over(ends) if off > 0 else F.first(c).over(ends)
-                out[f"{c}@{off:+d}"] = F.coalesce(near, edge)
+                out[f"{c}@{off:+d}"] = _shifted(c, idx, off, w, ends)
         return out
     return halo_window(df, keys, idx, reach, reach, build)
 
@@ -79,8 +84,8 @@ def robust_scale(df: DataFrame, keys: Keys, col: str, out: str) -> DataFrame:
 
 def lag_delta(df: DataFrame, keys: Keys, idx: str, col: str, lags: Sequence[int] = (1, 2, 4, 8)) -> DataFrame:
     def build(w):
-        head = F.first(col).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return {f"{col}_d{n}": F.col(col) - F.coalesce(F.lag(col, n).over(w), head) for n in lags}
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        return {f"{col}_d{n}": F.col(col) - _shifted(col, idx, -n, w, upto) for n in lags}
     return halo_window(df, keys, idx, max(lags), 0, build)
 
 
@@ -139,8 +144,8 @@ def beat_tempo(beats: DataFrame, keys: Keys, idx: str, ms: str, out: str = "bpm"
     def build(w):
         ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return {"_gap": F.col(ms) - F.lag(ms).over(w),
-                "_a": F.coalesce(F.lag(ms, 4).over(w), F.first(ms).over(ends)), "_ai": F.coalesce(F.lag(idx, 4).over(w), F.lit(0)),
-                "_b": F.coalesce(F.lead(ms, 4).over(w), F.last(ms).over(ends)), "_bi": F.coalesce(F.lead(idx, 4).over(w), F.last(idx).over(ends))}
+                "_a": _shifted(ms, idx, -4, w, ends), "_ai": F.coalesce(F.lag(idx, 4).over(w), F.lit(0)),
+                "_b": _shifted(ms, idx, 4, w, ends), "_bi": F.coalesce(F.lead(idx, 4).over(w), F.last(idx).over(ends))}
     local = halo_window(beats, keys, idx, 4, 4, build)
     grid = local.groupBy(*keys).agg((F.max("_gap") - F.min("_gap")).alias("_spread"), F.count("*").alias("_n"),
                                     ((F.max(ms) - F.min(ms)) / (F.count("*") - 1)).alias("_step"))
@@ -295,10 +300,18 @@ def segment_value(points: DataFrame, segments: DataFrame, keys: Keys, pt: str, s
 
 
 def frames_to_bars(frames: DataFrame, bars: DataFrame, keys: Keys, frame: str, value: str, bar: str, at: str, rate: float, out: str) -> DataFrame:
-    """Mean of the frames inside each bar; a bar without frames takes the one at its start."""
+    """Mean of the frames inside each bar; a bar without frames takes the one at its start.
+
+    The last bar is as long as the one before it, a single bar two seconds; frames beyond belong to none.
+    """
     keys = list(keys)
     starts = bars.withColumn("_f", F.bround(F.col(at) * rate, 0))
-    spread = asof_backward(frames.select(*keys, frame, value), starts.groupBy(*keys, "_f").agg(F.max(bar).alias("_bar")), keys, frame, "_f", "_bar", bar)
+    last_at = bars.groupBy(*keys).agg(F.max(at).alias("_at"))
+    before = (bars.join(last_at, keys).filter(F.col(at) < F.col("_at")).groupBy(*keys).agg(F.max(at).alias("_prev")))
+    length = F.coalesce(F.col("_at") - F.col("_prev"), F.lit(2.0))
+    ends = last_at.join(before, keys, "left").select(*keys, F.bround((F.col("_at") + length) * rate, 0).alias("_endf"))
+    inside = frames.join(ends, keys).filter(F.col(frame) < F.col("_endf"))
+    spread = asof_backward(inside.select(*keys, frame, value), starts.groupBy(*keys, "_f").agg(F.max(bar).alias("_bar")), keys, frame, "_f", "_bar", bar)
     means = spread.filter(F.col(bar).isNotNull()).groupBy(*keys, bar).agg(F.avg(value).alias("_mean"))
     last = frames.groupBy(*keys).agg(F.max(frame).alias("_lastf"))
     at_start = frames.select(*keys, F.col(frame).cast("double").alias("_f"), F.col(value).alias("_single"))

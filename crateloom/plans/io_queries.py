@@ -28,9 +28,12 @@ def src1(spark, sf):
     return c.select("path", F.array_join("reasons", ",").alias("reasons"), F.get("edge_segments", 0)["hz"].alias("first_hz"))
 
 
-@query("src2_scan_inventory")
+@query("src2_scan_inventory", with_ctes("SELECT DISTINCT artist FROM tracks WHERE artist <> 'Brand#11'"))
 def src2(spark, sf):
-    return readers.scan_inventory(spark, [sf, sf + "/nowhere"], [".PARQUET"]).select("path", "size")
+    root = scratch(spark)
+    tracks(spark, sf).select("artist", "path").write.partitionBy("artist").text(root)
+    found = readers.scan_inventory(spark, [root, root + "/nowhere"], [".TXT"], ["artist=brand%2311"])
+    return found.select(F.url_decode(F.regexp_extract("path", "artist=([^/]*)/", 1)).alias("artist")).distinct()
 
 
 @query("src3_action_log", "SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS time, event_type AS action, CAST(user_id AS VARCHAR) AS path, props AS detail FROM events WHERE event_id % 10 <> 0")
@@ -77,14 +80,15 @@ def report_input(spark, sf):
 
 @query("snk1_report_csv", with_ctes("""
 SELECT path AS "Pfad", CASE WHEN cutoff_hz < 16000 THEN 'FAKE' WHEN cutoff_hz < 18000 THEN 'SUSPICIOUS' ELSE 'OK' END AS "Verdikt", replace(printf('%.2f', cutoff_hz / 1000), '.', ',') AS "Cutoff kHz",
- CASE WHEN steepness_db >= 25 THEN 'ja' ELSE 'nein' END AS "Brickwall", CASE WHEN lame_lowpass_hz <> 0 THEN '19,5' ELSE '' END AS lowpass, replace(printf('%.1f', integrated_lufs), '.', ',') AS lufs, 'a; b' AS reasons
-FROM tracks WHERE NOT hidden_ignored AND integrated_lufs <> 0"""))
+ CASE WHEN steepness_db >= 25 THEN 'ja' ELSE 'nein' END AS "Brickwall", CASE WHEN lame_lowpass_hz <> 0 THEN '19,5' ELSE '' END AS lowpass, CASE WHEN integrated_lufs <> 0 THEN replace(printf('%.1f', integrated_lufs), '.', ',') ELSE '' END AS lufs, 'a; b' AS reasons
+FROM tracks WHERE NOT hidden_ignored"""))
 def snk1(spark, sf):
     out = scratch(spark)
-    t = report_input(spark, sf).filter("integrated_lufs <> 0")
+    t = report_input(spark, sf)
     sinks.write_report_csv(t, out, hidden=t.filter("hidden_ignored").select("path"))
-    r = spark.read.option("header", "true").option("nullValue", "\u0000").option("emptyValue", "").csv(out)
-    return r.select("Pfad", "Verdikt", "Cutoff kHz", "Brickwall", F.coalesce("LAME-Lowpass kHz", F.lit("")).alias("lowpass"), F.col("Lautheit LUFS").alias("lufs"), F.col("Begründung").alias("reasons"))
+    names = ", ".join(f"`{n}` string" for n in sinks.REPORT_COLUMNS)
+    r = spark.read.schema(names).option("nullValue", "\u0000").option("emptyValue", "").csv(out).filter("Pfad <> 'Pfad'")
+    return r.select("Pfad", "Verdikt", "Cutoff kHz", "Brickwall", F.coalesce("LAME-Lowpass kHz", F.lit("")).alias("lowpass"), F.coalesce("Lautheit LUFS", F.lit("")).alias("lufs"), F.col("Begründung").alias("reasons"))
 
 
 @query("snk2_m3u", with_ctes("""
@@ -147,14 +151,14 @@ def st1(spark, sf):
     return spark.read.parquet(out).select("event_id", "path", "seconds", "in_library")
 
 
-@query("st2_rolling_listen", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id AS path, round(sum(value), 4) AS seconds, count(*) AS plays FROM events GROUP BY 1, 2")
+@query("st2_rolling_listen", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id AS path, round(sum(value), 4) AS seconds, count(*) AS plays FROM events
+WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""")
 def st2(spark, sf):
+    """Days are written once the watermark has passed them; the last ones are still open when the input ends."""
     out = scratch(spark)
-
-    def each(batch, _id):
-        batch.write.mode("overwrite").parquet(out)
     q = streams.rolling_listen(event_stream(spark, sf))
-    finish(q.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start())
+    finish(q.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start())
     return spark.read.parquet(out).select(F.col("day").cast("string").alias("day"), "path", F.round("seconds", 4).alias("seconds"), "plays")
 
 

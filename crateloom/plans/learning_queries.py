@@ -11,7 +11,7 @@ from crateloom.plans.series_queries import IDX, K, over, rows, ser
 CUES = """SELECT event_id, user_id AS track, CASE WHEN event_id % 3 = 0 THEN 'memory' ELSE 'hot' END AS kind, CAST(1 + event_id % 8 AS INT) AS slot,
  CAST(event_id % 400 AS DOUBLE) * 1.3 AS position_s, CASE WHEN event_id % 11 = 0 THEN 'auto: x' ELSE '' END AS name, event_id AS ord FROM events"""
 AUTO = """SELECT user_id AS track, CASE WHEN event_id % 3 = 0 THEN 'memory' ELSE 'hot' END AS kind, CAST(1 + event_id % 8 AS INT) AS slot,
- CAST(event_id % 400 AS DOUBLE) * 1.3 + 0.21 AS position_s FROM events WHERE event_id % 2 = 0"""
+ CAST(event_id % 400 AS DOUBLE) * 1.3 + 0.21 AS position_s, event_id AS ord FROM events WHERE event_id % 2 = 0"""
 BEAT = "SELECT user_id AS track, CASE WHEN user_id % 2 = 0 THEN 0.5 ELSE 0.1 END AS beat_s FROM events GROUP BY user_id"
 
 
@@ -20,7 +20,9 @@ def ev(spark, sf, sql):
 
 
 LABELS = f"""
-WITH cues AS ({CUES}), auto AS ({AUTO}), beat AS ({BEAT}),
+WITH cues AS ({CUES}), all_auto AS ({AUTO}), beat AS ({BEAT}),
+ auto AS (SELECT track, 'hot' AS kind, slot, arg_max(position_s, ord) AS position_s FROM all_auto WHERE kind = 'hot' GROUP BY track, slot
+  UNION ALL SELECT track, kind, slot, position_s FROM all_auto WHERE kind <> 'hot'),
  own AS (SELECT c.*, CASE WHEN c.kind = 'hot' THEN c.slot ELSE 0 END AS s FROM cues c JOIN beat b ON b.track = c.track WHERE name NOT LIKE 'auto%'
    AND NOT EXISTS (SELECT 1 FROM auto a WHERE a.track = c.track AND (CASE WHEN a.kind = 'hot' THEN a.slot ELSE 0 END) = (CASE WHEN c.kind = 'hot' THEN c.slot ELSE 0 END)
      AND abs(a.position_s - c.position_s) <= greatest(0.05, b.beat_s))),

@@ -47,7 +47,7 @@ def q12(spark, sf):
 
 
 NAMED = """SELECT track_id, concat('/m/', title, CASE track_id % 6 WHEN 0 THEN ' 100-128 Transition' WHEN 1 THEN ' (126 To 70 BPM)' WHEN 2 THEN ' 150-170-150 BPM'
-  WHEN 3 THEN ' 100-128' ELSE '' END, '.mp3') AS path, CASE WHEN track_id % 9 = 0 THEN bpm * 1.1 ELSE bpm END AS hi, bpm AS lo FROM tracks WHERE title NOT LIKE '%.%'"""
+  WHEN 3 THEN ' 100-128' ELSE '' END, '.mp3') AS path, CASE WHEN track_id % 9 = 0 THEN bpm * 1.1 ELSE bpm END AS hi, bpm AS lo FROM tracks"""
 
 
 @query("q13_has_tempo_change", with_ctes("""
@@ -161,15 +161,20 @@ def g1(spark, sf):
 CURVES = {"warmup": "3 + 3 * x", "build": "3 + 6 * x", "peak": "7 + 1.5 * sin(pi() * x)", "wave": "5.5 - 2.5 * cos(4 * pi() * x)", "cooldown": "8 - 5 * x", "balanced": "4 + 4 * sin(pi() * pow(x, 0.8))"}
 
 
-@query("g2_energy_curve", "WITH s AS (SELECT p_partkey AS slot, p_partkey / (SELECT greatest(count(*) - 1, 1) FROM part) AS x FROM part) " + " UNION ALL ".join(
-    f"SELECT slot, '{n}' AS preset, least(10, greatest(1, floor(round(({e}) * 2, 9) + 0.5) / 2)) AS energy FROM s" for n, e in CURVES.items()))
+PRESETS = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(CURVES))
+
+
+@query("g2_energy_curve", f"""
+WITH o AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey, CASE l_orderkey % {len(CURVES)} {PRESETS} END AS preset, slot, CASE WHEN n = 1 THEN 0.5 ELSE slot / (n - 1) END AS x FROM o, unnest(range(0, n)) AS q(slot))
+SELECT l_orderkey, preset, slot, least(10, greatest(1, floor(round((CASE preset """ + " ".join(f"WHEN '{n}' THEN {e}" for n, e in CURVES.items()) + """ END) * 2, 9) + 0.5) / 2)) AS energy FROM s""")
 def g2(spark, sf):
-    n = table(spark, sf, "part").count()
-    parts = [sb.energy_curve(spark, p, n).withColumn("preset", F.lit(p)) for p in CURVES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    lists = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    slots = lists.withColumn("preset", F.expr(f"CASE l_orderkey % {len(CURVES)} {PRESETS} END")).select("l_orderkey", "preset", "n", F.explode(F.expr("sequence(0L, n - 1)")).alias("slot"))
+    energy = F.lit(None).cast("double")
+    for name in CURVES:
+        energy = F.when(F.col("preset") == name, sb.energy_at(name, F.col("slot"), F.col("n"))).otherwise(energy)
+    return slots.select("l_orderkey", "preset", "slot", energy.alias("energy"))
 
 
 PREV = {"end_bpm": 120.0, "key": "8A", "styles": {"House": 0.6, "Dub": 0.2}}

@@ -186,7 +186,7 @@ def w21(spark, sf):
 
 @query("w22_frames_to_bars", with_ctes(IDX + """
 , bars AS (SELECT track, idx AS bar, CAST(round_even(idx * 2.6, 0) AS INT) AS a, n FROM b WHERE idx % 4 < 3),
- e AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY track ORDER BY bar), 1000000000) AS z FROM bars),
+ e AS (SELECT *, CAST(coalesce(lead(a) OVER w, round_even(bar * 2.6 + coalesce(bar * 2.6 - lag(bar * 2.6) OVER w, 2.0), 0)) AS INT) AS z FROM bars WINDOW w AS (PARTITION BY track ORDER BY bar)),
  fr AS (SELECT track, idx AS f, level FROM b)
 SELECT e.track, e.bar, round(coalesce(avg(fr.level), any_value(l.level), 0), 6) AS level FROM e LEFT JOIN fr ON fr.track = e.track AND fr.f >= a AND fr.f < z
  LEFT JOIN fr l ON l.track = e.track AND l.f = least(a, n - 1) GROUP BY 1, 2"""))

@@ -102,11 +102,11 @@ def t7(spark, sf):
 @query("t8_check_required", with_ctes("""
 , c AS (SELECT track_id, trim(title) AS t, CASE WHEN track_id % 9 = 0 THEN '' WHEN track_id % 9 = 1 THEN trim(title) ELSE artist END AS a, trim(title) AS s FROM tracks)
 SELECT track_id, 'missing_title' AS code FROM c WHERE t = '' UNION ALL SELECT track_id, 'missing_artist' FROM c WHERE trim(a) = ''
-UNION ALL SELECT track_id, 'tag_equals_filename' FROM c WHERE s <> '' AND a = s AND t = s AND NOT s LIKE '%/%' AND NOT s LIKE '%.%'"""))
+UNION ALL SELECT track_id, 'tag_equals_filename' FROM c WHERE s <> '' AND a = s AND t = s AND NOT s LIKE '%/%'"""))
 def t8(spark, sf):
     t = tracks(spark, sf).withColumns({
         "path": F.concat(F.lit("/x/"), F.trim("title"), F.lit(".mp3")),
-        "artist": F.expr("CASE WHEN track_id % 9 = 0 THEN '' WHEN track_id % 9 = 1 THEN trim(title) ELSE artist END")}).filter("title NOT LIKE '%.%' OR track_id % 9 = 0")
+        "artist": F.expr("CASE WHEN track_id % 9 = 0 THEN '' WHEN track_id % 9 = 1 THEN trim(title) ELSE artist END")})
     return t.select("track_id", F.explode(hy.check_required(F.col("path"), F.col("artist"), F.col("title"))).alias("i")).select("track_id", "i.code")
 
 
@@ -268,10 +268,10 @@ def t24(spark, sf):
 
 
 @query("t25_title_tempo_note", with_ctes("""
-, n AS (SELECT track_id, trim(p) AS p FROM (SELECT track_id, replace(title, '-', ' ') AS p FROM tracks WHERE track_id % 12 IN (0, 11)))
+, n AS (SELECT track_id, trim(p) AS p FROM (SELECT track_id, replace(album, '-', ' ') AS p FROM tracks))
 SELECT track_id, p || ' (' || CAST(100 + track_id % 20 AS VARCHAR) || ' → 128 BPM)' AS title FROM n"""))
 def t25(spark, sf):
-    t = tracks(spark, sf).filter("track_id % 12 IN (0, 11)")
+    t = tracks(spark, sf).withColumn("title", F.col("album"))
     tempo = F.expr("CAST(100 + track_id % 20 AS STRING)")
     noted = (F.when(F.expr("track_id % 3 = 0"), F.concat("title", F.lit(" ("), tempo, F.lit("-128 Transition)")))
              .when(F.expr("track_id % 3 = 1"), F.concat("title", F.lit(" "), tempo, F.lit(" To 128 BPM"))).otherwise(F.col("title")))
@@ -327,12 +327,21 @@ def t27(spark, sf):
     return quality.classify(t).select("track_id", "measured_kbps", "verdict")
 
 
-@query("t28_confidence", with_ctes(LOSSY + """
-SELECT track_id, CASE WHEN NOT ok THEN 0.0 ELSE round_even(least(1.0, greatest(0.05, round(0.45 + CASE WHEN gated_blocks >= 60 THEN 0.2 WHEN gated_blocks >= 20 THEN 0.12 WHEN gated_blocks < 8 THEN -0.2 ELSE 0 END
+LOSSLESS = f"""
+, z AS (SELECT *, steepness_db >= 10 AS wall, CASE WHEN status <> 'ok' THEN 0 WHEN steepness_db >= 10 THEN {ladder_sql('raw_cutoff_hz', 'mp3')} ELSE 0 END AS measured_kbps,
+   CASE WHEN status <> 'ok' THEN 'UNKNOWN' WHEN steepness_db < 10 THEN 'OK' WHEN raw_cutoff_hz / 1000 < 17.5 THEN 'FAKE' WHEN raw_cutoff_hz / 1000 < 19 THEN 'SUSPICIOUS' ELSE 'OK' END AS verdict
+  FROM tracks WHERE codec_family = 'lossless')
+"""
+LENGTH_POINTS = "0.45 + CASE WHEN gated_blocks >= 60 THEN 0.2 WHEN gated_blocks >= 20 THEN 0.12 WHEN gated_blocks < 8 THEN -0.2 ELSE 0 END + CASE WHEN at_nyquist <> 0 THEN 0.05 ELSE 0 END"
+
+
+@query("t28_confidence", with_ctes(LOSSY + LOSSLESS + f"""
+SELECT track_id, CASE WHEN NOT ok THEN 0.0 ELSE round_even(least(1.0, greatest(0.05, round({LENGTH_POINTS}
   + CASE WHEN wall THEN 0.25 WHEN verdict IN ('FAKE', 'SUSPICIOUS') THEN -0.15 ELSE 0 END + CASE WHEN gap THEN 0.15 ELSE 0 END
-  + CASE WHEN class_steps >= 2 THEN 0.1 ELSE 0 END + CASE WHEN at_nyquist <> 0 THEN 0.05 ELSE 0 END, 6)))::DOUBLE, 2) END AS confidence FROM d"""))
+  + CASE WHEN class_steps >= 2 THEN 0.1 ELSE 0 END, 6)))::DOUBLE, 2) END AS confidence FROM d
+UNION ALL SELECT track_id, CASE WHEN status <> 'ok' THEN 0.0 ELSE round_even(least(1.0, greatest(0.05, round({LENGTH_POINTS} + CASE WHEN wall THEN 0.25 ELSE 0 END, 6)))::DOUBLE, 2) END FROM z"""))
 def t28(spark, sf):
-    t = tracks(spark, sf).filter("codec_family <> 'lossless'").withColumn("edge_segments", F.array().cast(quality.SEGMENTS))
+    t = tracks(spark, sf).withColumn("edge_segments", F.array().cast(quality.SEGMENTS))
     return quality.classify(t).select("track_id", "confidence")
 
 
@@ -387,11 +396,11 @@ def t32(spark, sf):
     return tracks(spark, sf).select("track_id", music.energy_score(F.col("integrated_lufs"), moods).alias("energy"))
 
 
-@query("t33_reclassify_counts", with_ctes(LOSSY + """
-SELECT verdict, count(*) AS tracks, count(*) FILTER (WHERE verdict <> 'OK' OR measured_kbps <> 320) AS changed FROM d GROUP BY verdict"""))
+@query("t33_reclassify_counts", with_ctes(LOSSY + LOSSLESS + """
+SELECT verdict, count(*) AS tracks, count(*) FILTER (WHERE verdict <> 'OK' OR measured_kbps <> 320) AS changed
+FROM (SELECT verdict, measured_kbps FROM d UNION ALL SELECT verdict, measured_kbps FROM z) GROUP BY verdict"""))
 def t33(spark, sf):
-    t = tracks(spark, sf).filter("codec_family <> 'lossless'").withColumns({
-        "edge_segments": F.array().cast(quality.SEGMENTS), "verdict": F.lit("OK"), "measured_kbps": F.lit(320)})
+    t = tracks(spark, sf).withColumns({"edge_segments": F.array().cast(quality.SEGMENTS), "verdict": F.lit("OK"), "measured_kbps": F.lit(320)})
     return quality.reclassify_counts(quality.reclassify(t))
 
 

@@ -40,8 +40,11 @@ def changed_files_stream(inventory: DataFrame, catalog: Callable[[], DataFrame],
 def coalesced_rebuild(changes: DataFrame, rebuild: Callable[[DataFrame], None], checkpoint: str, every: str = "350 milliseconds", available_now: bool = False):
     """Several changes inside one trigger interval cause one rebuild, which gets their keys once."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        keys = batch.distinct()
-        if not keys.isEmpty():
-            rebuild(keys)
+        keys = batch.distinct().persist()
+        try:
+            if not keys.isEmpty():
+                rebuild(keys)
+        finally:
+            keys.unpersist()
     writer = changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

@@ -152,27 +152,29 @@ def _rounds_of_matches(missing, pool):
     def score(m, c):
         at = norm(m[3]) and norm(m[4]) and norm(m[3]) == norm(c[3]) and norm(m[4]) == norm(c[4])
         return sum((bool(m[1]) and m[1] == c[1], m[0].split("/")[-1] == c[0].split("/")[-1], bool(at), m[2] > 0 and c[2] > 0 and abs(m[2] - c[2]) <= 1))
-    open_rows, free, out = list(missing), list(pool), {}
+    def best_of(m, files):
+        scored = [(score(m, c), c[0]) for c in files]
+        top = max([s for s, _ in scored], default=0)
+        return top, sorted(p for s, p in scored if s == top)
+    open_rows, free, done, tied = list(missing), list(pool), {}, {}
     while open_rows:
         wants = {}
         for m in open_rows:
-            scored = [(score(m, c), c[0]) for c in free]
-            best = max([s for s, _ in scored], default=0)
-            hits = sorted(p for s, p in scored if s == best)
-            if best < 2:
-                continue
-            if len(hits) > 1:
-                out[m[0]] = ("ambiguous", best, hits[:5])
-            else:
+            best, hits = best_of(m, free)
+            if best >= 2 and len(hits) > 1:
+                tied[m[0]] = (best, hits)
+            elif best >= 2:
                 wants.setdefault(hits[0], []).append((-best, m[0]))
-        lost = set()
+        again = set()
         for target, ms in wants.items():
             ms.sort()
-            out[ms[0][1]] = ("match", -ms[0][0], [target])
-            lost |= {p for _, p in ms[1:]}
+            done[ms[0][1]] = {("match", -ms[0][0], target, 1)}
+            again |= {p for _, p in ms[1:]}
+        again |= {p for p, (_, hits) in tied.items() if set(hits) & wants.keys()}      # undecided between a taken file and others
+        tied = {p: t for p, t in tied.items() if p not in again}
         free = [c for c in free if c[0] not in wants]
-        open_rows = [m for m in open_rows if m[0] in lost]
-    return out
+        open_rows = [m for m in missing if m[0] in again]
+    return done | {p: {("ambiguous", best, h, i + 1) for i, h in enumerate(hits)} for p, (best, hits) in tied.items()}
 
 
 def test_match_moved(spark):
@@ -183,8 +185,15 @@ def test_match_moved(spark):
     missing, pool = rows(25, "/old"), rows(30, "/new")
     schema = "path string, size long, duration_s double, artist string, title string"
     out = match_moved(spark.createDataFrame(missing, schema), spark.createDataFrame(pool, schema))
-    have = {r.path: (r.status, r.score, list(r.new_paths)) for r in out.collect()}
+    have = {}
+    for r in out.collect():
+        have.setdefault(r.path, set()).add((r.status, r.score, r.new_path, r.rank))
     assert have == _rounds_of_matches(missing, pool)
+    same = spark.createDataFrame([("/a/A.mp3", 5, 10.0, "X", "T"), ("/a/B.mp3", 5, 10.0, "X", "T")], schema)
+    two = spark.createDataFrame([("/n/A.mp3", 5, 10.0, "X", "T"), ("/n/C.mp3", 5, 10.0, "X", "T")], schema)
+    assert {(r.path, r.status, r.new_path) for r in match_moved(same, two).collect()} == {("/a/A.mp3", "match", "/n/A.mp3"), ("/a/B.mp3", "match", "/n/C.mp3")}
+    many = spark.createDataFrame([(f"/n/{i}.mp3", 5, 10.0, "X", "T") for i in range(12)], schema)
+    assert match_moved(same.limit(1), many).count() == 12
 
 
 def test_group_fingerprints(spark):
@@ -288,3 +297,57 @@ def test_filters_reach_the_file(spark, tmp_path):
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
     assert "GreaterThanOrEqual(bpm,20.0)" in pushed and "added_ts" in pushed and "other" not in plan.split("ReadSchema")[1]
     assert df.count() == 11
+
+
+def test_nulls_inside_a_series_stay(spark):
+    """Whether a border value stands in is decided by position: a null row in the middle gives null, in every chunk."""
+    df = spark.createDataFrame([("k", i, None if i in (3, 40) else float(i)) for i in range(60)], "k string, idx long, v double")
+    build = {}
+
+    def at(chunk):
+        real = od.halo_window
+        try:
+            se.halo_window = lambda *a, **kw: real(*a, chunk=chunk, **kw)
+            lags = {r.idx: (r["v@-1"], r["v@+2"]) for r in se.context_lags(df, ["k"], "idx", ["v"], (-1, 2)).collect()}
+            deltas = {r.idx: r.v_d1 for r in se.lag_delta(df, ["k"], "idx", "v", (1,)).collect()}
+        finally:
+            se.halo_window = real
+        return lags, deltas
+    for chunk in (16, 1000):
+        build[chunk] = at(chunk)
+    assert build[16] == build[1000]
+    lags, deltas = build[16]
+    assert lags[41] == (None, 43.0) and lags[38] == (37.0, None) and lags[0] == (0.0, 2.0) and lags[59] == (58.0, 59.0) and deltas[41] is None and deltas[0] == 0.0
+
+
+def test_frames_after_the_last_bar(spark):
+    frames = spark.createDataFrame([("k", i, float(i)) for i in range(20)], "k string, f long, v double")
+    bars = spark.createDataFrame([("k", 0, 0.0), ("k", 1, 4.0), ("one", 0, 0.0)], "k string, bar long, at double")
+    out = {(r.k, r.bar): r.v for r in se.frames_to_bars(frames.unionByName(frames.withColumn("k", F.lit("one"))), bars, ["k"], "f", "v", "bar", "at", 1.0, "v").collect()}
+    assert out == {("k", 0): 1.5, ("k", 1): 5.5, ("one", 0): 0.5}
+
+
+def test_inventory_of_a_tree(spark, tmp_path):
+    from crateloom.sources import readers
+    root = tmp_path / "backup" / "music"
+    for name, data in {"a.mp3": "x", "_b.mp3": "xx", ".c.MP3": "", "sub/d.mp3": "yyy", "sub/e.txt": "z", "skip/f.mp3": "q"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(data)
+    got = {(r.path[len(str(root)) + 1:], r.size) for r in readers.scan_inventory(spark, [str(root), str(root / "nowhere")], [".mp3"], ["backup", "skip"]).collect()}
+    assert got == {("a.mp3", 1), ("_b.mp3", 2), (".c.MP3", 0), ("sub/d.mp3", 3)}
+
+
+def test_late_events_are_dropped_and_days_are_closed(spark, tmp_path):
+    from crateloom.streaming import streams
+    import datetime as dt
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def day(d, h=1):
+        return dt.datetime(2024, 1, d, h)
+    for n, rows in enumerate([[(day(1), "a", 10.0)], [(day(5), "a", 1.0)], [(day(1, 2), "a", 99.0), (day(9), "b", 2.0)], [(day(12), "b", 3.0)]]):
+        spark.createDataFrame(rows, "ts timestamp, path string, seconds double").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("ts timestamp, path string, seconds double").parquet(src)
+        q = streams.rolling_listen(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(str(r.day), r.path): (r.seconds, r.plays) for r in spark.read.parquet(out).collect()}
+    assert got == {("2024-01-01", "a"): (10.0, 1), ("2024-01-05", "a"): (1.0, 1), ("2024-01-09", "b"): (2.0, 1)}

@@ -77,6 +77,16 @@ def test_rename_collisions_and_segments(spark):
     df = spark.createDataFrame(rows, "path string, artist string, title string, bpm double, year int")
     out = {r.path: r.new_name for r in cl.rename_plan(df).collect()}
     assert out == {"/m/1.mp3": "aerzte_zu-spaet_2013.mp3", "/m/2.mp3": "aerzte_zu-spaet_2013-2.mp3", "/m/4.mp3": "aerzte_zu-spaet_100bpm_2013.mp3"}
+    # long stems that agree in front, numbers taken in the plan and on disk
+    long = [(f"/m/{i}.mp3", "x" * 210 + t, "", 0.0, 0) for i, t in enumerate(["a", "a", "b", "b"])]
+    long += [("/m/8.mp3", "A", "", 0.0, 0), ("/m/9.mp3", "A", "", 0.0, 0), ("/m/10.mp3", "A", "", 0.0, 0), ("/m/11.mp3", "A-2", "", 0.0, 0)]
+    df = spark.createDataFrame(long, "path string, artist string, title string, bpm double, year int")
+    disk = spark.createDataFrame([("/m/a-3.mp3",), ("/n/a-4.mp3",), ("/m/8.mp3",)], "path string")
+    names = {r.path: r.new_name for r in cl.rename_plan(df, "{artist}", existing=disk).collect()}
+    assert len(set(names.values())) == 8 and max(map(len, names.values())) <= 204
+    assert sorted(names[f"/m/{i}.mp3"] for i in (8, 9, 10, 11)) == ["a-2.mp3", "a-4.mp3", "a-5.mp3", "a.mp3"]
+    held = {r.new_name for r in cl.rename_plan(df, "{artist}", existing=spark.createDataFrame([("/m/a.mp3",)], "path string")).collect()}
+    assert "a.mp3" not in held and {"a-2.mp3", "a-3.mp3", "a-4.mp3", "a-5.mp3"} <= held
     for bad in ("", "plain", "{nope}", "{artist}/{title}"):
         with pytest.raises(ValueError):
             cl.validate_pattern(bad)
