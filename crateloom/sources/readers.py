@@ -1,10 +1,13 @@
 """Readers: catalog tables, file inventory, logs, histories and path lists."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from crateloom.session import cut
+
 NESTED = {"reasons": "array<string>", "spectrum": "array<struct<hz:double,db:double>>", "edge_segments": "array<struct<hz:double,db:double>>",
           "tag_issues": "array<struct<code:string,field:string,value:string,suggestion:string>>"}
 SCHEMAS = {
@@ -36,25 +39,36 @@ def read_catalog(spark: SparkSession, root: str, tables: Sequence[str] | None =
     return {t: nested(spark.read.schema(SCHEMAS[t]).parquet(f"{root}/{t}")) for t in (tables or SCHEMAS)}
 
 
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of each folder; a folder that does not exist has none."""
+    from pyarrow import fs
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            store, inner = fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+            head = folder[:len(folder) - len(inner)] if folder.endswith(inner) and not folder.startswith("file:") else ""
+            found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+            yield pa.RecordBatch.from_pydict({
+                "path": [head + i.path for i in found], "folder": [i.type == fs.FileType.Directory for i in found],
+                "size": [i.size for i in found], "mtime": [i.mtime.timestamp() if i.mtime else None for i in found]},
+                schema=pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64()), ("mtime", pa.float64())]))
+
+
 def scan_inventory(spark: SparkSession, roots: Sequence[str], exts: Sequence[str], exclude_dirs: Sequence[str] = ()) -> DataFrame:
-    """path, size, mtime of the files below ``roots`` with one of the extensions.
+    """path, size, mtime of the files below ``roots`` with one of the extensions, hidden and empty ones included.
 
-    The listing is Spark's own (distributed for many folders); contents are never read.  Spark
-    does not list names starting with ``_`` or ``.``, nor empty files.
+    The tree is listed in Spark tasks, one level a round; only the roots come from the driver.  A folder whose name is
+    excluded is not entered; folders above a root do not count.
     """
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    live = [r for r in roots if jvm.org.apache.hadoop.fs.Path(r).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(r))]
-    empty = spark.createDataFrame([], "path string, size bigint, mtime double")
-    if not live:
-        return empty
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(live))
-             .select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"),
-                     (F.unix_micros("modificationTime") / 1e6).alias("mtime")))
-    wanted = F.lower(F.regexp_extract("path", "(\\.[^./]+)$", 1)).isin([e.lower() for e in exts])
-    folders = F.transform(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda d: F.lower(d))
-    skipped = F.exists(folders, lambda d: d.isin([x.lower() for x in exclude_dirs])) if exclude_dirs else F.lit(False)
-    return files.filter(wanted & ~skipped).dropDuplicates(["path"])
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    wanted = F.regexp_extract(name, "(\\.[^.]+)$", 1).isin([e.lower() for e in exts])
+    level = spark.createDataFrame([(r.rstrip("/") or "/",) for r in roots], "path string").distinct()
+    files = spark.createDataFrame([], "path string, size bigint, mtime double")
+    while True:
+        listed = cut(level.repartition("path").mapInArrow(_list_folders, "path string, folder boolean, size bigint, mtime double"))
+        files = files.unionByName(listed.filter(~F.col("folder") & wanted).select("path", "size", "mtime"))
+        level = listed.filter(F.col("folder") & ~name.isin([x.lower() for x in exclude_dirs])).select("path")
+        if level.isEmpty():
+            return files.dropDuplicates(["path"])
 
 
 LOG_DATE = "(\\d{4}-\\d{2}-\\d{2})(?:\\.json)?(?:/part-[^/]*)?$"

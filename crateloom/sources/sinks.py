@@ -4,6 +4,8 @@ Ordered outputs are written as range-sorted part files; read in name order they
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crateloom.functions.text import stem
@@ -17,11 +19,12 @@ YES, NO = "ja", "nein"
 
 
 def _decimal(c: Column, digits: int) -> Column:
-    return F.translate(F.format_string(f"%.{digits}f", F.coalesce(c.cast("double"), F.lit(0.0))), ".", ",")
+    """With a comma; halves go to the even digit."""
+    return F.translate(F.format_string(f"%.{digits}f", F.bround(F.coalesce(c.cast("double"), F.lit(0.0)), digits)), ".", ",")
 
 
-def report_rows(df: DataFrame, hidden: DataFrame | None = None, path: str = "path") -> DataFrame:
-    """The 22 report columns as text, without hidden tracks."""
+def report_rows(df: DataFrame, hidden: DataFrame | None = None, path: str = "path", extra: Sequence[str] = ()) -> DataFrame:
+    """The 22 report columns as text, without hidden tracks, and ``extra`` columns as they are."""
     if hidden is not None:
         df = df.join(hidden.select(path), path, "left_anti")
     c = F.col
@@ -36,11 +39,15 @@ def report_rows(df: DataFrame, hidden: DataFrame | None = None, path: str = "pat
              *[F.when(measured, _decimal(c(n), 1)).otherwise("") for n in ("integrated_lufs", "true_peak_dbtp", "lra_lu")],
              F.floor(F.coalesce("duration_s", F.lit(0.0))).cast("string"), _decimal(c("size") / 1048576, 1),
              text("artist"), text("title"), text("album"), c(path), F.coalesce(F.array_join("reasons", "; "), F.lit(""))]
-    return df.select(*[x.alias(n) for x, n in zip(cells, REPORT_COLUMNS)])
+    return df.select(*[x.alias(n) for x, n in zip(cells, REPORT_COLUMNS)], *extra)
 
 
 def write_report_csv(df: DataFrame, out: str, hidden: DataFrame | None = None) -> None:
-    report_rows(df, hidden).write.mode("overwrite").option("header", "true").csv(out)
+    """By cutoff, then path, after one header line; the part files in name order are the report."""
+    order = df.withColumn("_cutoff", F.coalesce("cutoff_hz", F.lit(0.0)))
+    rows = report_rows(order, hidden, extra=["_cutoff"]).withColumn("_head", F.lit(1))
+    head = df.sparkSession.range(1).select(*[F.lit(n).alias(n) for n in REPORT_COLUMNS], F.lit(0.0).alias("_cutoff"), F.lit(0).alias("_head"))
+    head.unionByName(rows).orderBy("_head", "_cutoff", "Pfad").select(*REPORT_COLUMNS).write.mode("overwrite").csv(out)
 
 
 def playlist_lines(df: DataFrame, hidden: DataFrame | None = None, path: str = "path") -> DataFrame:
