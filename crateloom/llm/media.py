@@ -24,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crateloom.llm.common import stored
 
@@ -95,9 +95,24 @@ def feature(payload: bytes) -> str:
     return f"mean={int(x.sum() * 1000 // len(x))};power={int((x * x).sum() // len(x))};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
 
 
+def _little_endian(n: Column) -> Column:
+    """A whole number as four bytes, the lowest first."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(n, 8 * i).bitwiseAND(255)), 2, "0") for i in range(4)]))
+
+
+def media_key(text: Column) -> Column:
+    """Digest of the whole file that :func:`wave` makes of a text's payload; by it a medium is known and checked."""
+    n = F.octet_length(text).cast("long")
+    size = F.greatest(F.lit(UNIT), F.ceil(n / UNIT) * UNIT)
+    head = wave(b"")
+    parts = [F.lit(bytearray(head[:4])), _little_endian(size + 36), F.lit(bytearray(head[8:40])), _little_endian(size), text.cast("binary"),
+             F.unhex(F.repeat(F.lit("00"), (size - n).cast("int")))]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def _media(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.unhex(F.sha2(text, 256)).alias("media"), text.cast("binary").alias("_text"))
+    return docs.select(media_key(text).alias("media"), text.cast("binary").alias("_text"))
 
 
 def _batches(fn, size: int = 64):
@@ -121,43 +136,37 @@ def chunk_lists(docs: DataFrame, how: Cutting, text_col: str) -> DataFrame:
 
 
 def pack_media(docs: DataFrame, how: Cutting = Cutting(), text_col: str = "text") -> DataFrame:
-    """Store all media of ``docs``; returns the stored packs: media, sha, size, chunks, data (of own chunks, in order)."""
+    """Store all media of ``docs``; returns the stored packs: media (digest of the file), chunks, data (of own chunks, in order)."""
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        sha, size, data = [], [], []
-        for t in b.column(1).to_pylist():
-            media = wave(payload_of(t))
-            sha.append(hashlib.sha256(media).digest())
-            size.append(len(media))
-            data.append([bz2.compress(c) for c in cut(media, how)])
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), pa.array(size, pa.int64()), pa.array(data, pa.list_(pa.binary()))],
-                                          ["media", "sha", "size", "data"])
-    packed = _media(docs, text_col).mapInArrow(_batches(work), "media binary, sha binary, size bigint, data array<binary>")
-    single = packed.groupBy("media").agg(F.first(F.struct("sha", "size", "data")).alias("m"))
+        data = [[bz2.compress(c) for c in cut(wave(payload_of(t)), how)] for t in b.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.list_(pa.binary()))], ["media", "data"])
+    packed = _media(docs, text_col).mapInArrow(_batches(work), "media binary, data array<binary>")
+    single = packed.groupBy("media").agg(F.first("data").alias("_data"))
     lists = chunk_lists(docs, how, text_col)
-    own = F.expr("transform(filter(arrays_zip(chunks, m.data), c -> c.chunks.own), c -> c.data)")
-    out = single.join(lists, "media").select("media", "m.sha", "m.size", "chunks", own.alias("data"))
+    own = F.expr("transform(filter(arrays_zip(chunks, _data), c -> c.chunks.own), c -> c._data)")
+    out = single.join(lists, "media").select("media", "chunks", own.alias("data"))
     return stored(out, "media-packs", compression="uncompressed")
 
 
-RESTORED = "media binary, sha binary, size bigint, payload_bytes bigint, payload_sha binary, tail_crc32 bigint, feature string"
+RESTORED = "media binary, size bigint, payload_bytes bigint, payload_sha binary, tail_crc32 bigint, feature string"
 
 
 def _restore(rows: DataFrame) -> DataFrame:
-    """``rows``: media, sha, size, chunks and data (of all chunks, in order)."""
+    """``rows``: media, chunks and data (of all chunks, in order)."""
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(4)]
-        for sha, chunks, data in zip(*(b.column(i).to_pylist() for i in (1, 3, 4))):
+        out: list[list] = [[] for _ in range(5)]
+        for sha, chunks, data in zip(*(b.column(i).to_pylist() for i in range(3))):
             parts = [bz2.decompress(d) for d in data]
             media = b"".join(parts)
             if [digest(p) for p in parts] != [c["digest"] for c in chunks] or hashlib.sha256(media).digest() != sha:
                 raise ValueError("a stored medium does not match its digests")
             payload = samples(media)
-            for o, v in zip(out, (len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-UNIT:]), feature(payload))):
+            for o, v in zip(out, (len(media), len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-UNIT:]), feature(payload))):
                 o.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(o, k) for o, k in zip(out, kinds))],
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))],
                                           [c.split()[0] for c in RESTORED.split(", ")])
-    return rows.select("media", "sha", "size", "chunks", "data").mapInArrow(_batches(work), RESTORED)
+    return rows.select("media", "chunks", "data").mapInArrow(_batches(work), RESTORED)
 
 
 def restore_media(packs: DataFrame) -> DataFrame:
@@ -178,7 +187,7 @@ def media_rows(docs: DataFrame, how: Cutting = Cutting(), id_col: str = "doc_id"
     """A row a document with what its restored medium holds."""
     packs = pack_media(docs, how, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("media"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("n_bytes"), media_key(text).alias("media"))
     return rows.join(restore_media(packs), "media").select(
         F.col("_id").alias(id_col), "n_bytes", "payload_bytes", F.lower(F.hex("payload_sha")).alias("payload_sha256"), "tail_crc32",
-        F.col("size").alias("media_bytes"), F.lower(F.hex("sha")).alias("media_sha256"), "feature")
+        F.col("size").alias("media_bytes"), F.lower(F.hex("media")).alias("media_sha256"), "feature")
