@@ -135,11 +135,11 @@ def flag(col: str, wanted: bool = True) -> Column:
     return F.coalesce(F.col(col).cast("boolean"), F.lit(False)) == wanted
 
 
-def fuzzy_word(col: str, word: str, tolerance: float = 0.8) -> Column:
+def fuzzy_word(col: str, word: str, tolerance: float = 0.8, least_letters: int = 4) -> Column:
     """Some word within the allowed edits (a quarter of the length times the tolerance, none below
-    four letters), or the word as a part of the text."""
+    ``least_letters``), or the word as a part of the text."""
     needle = fold_py(word)
-    k = int(len(needle) * tolerance / 4) if len(needle) >= 4 else 0
+    k = int(len(needle) * tolerance / 4) if len(needle) >= least_letters else 0
     text = fold(F.col(col))
     whole = text.contains(needle)
     if k == 0:
@@ -173,7 +173,7 @@ def _in_last(col: str, days, now) -> Column:
 
 
 OPS = ("contains", "phrase", "is", "starts", "ends", "empty", "eq", "at_least", "at_most", "gt", "lt", "cmp", "duration",
-       "added", "key", "status", "flag", "fuzzy", "has", "in_last_days", "before_days")
+       "added", "key", "status", "flag", "fuzzy", "has", "in_last_days", "before_days", "after_days")
 
 
 def term_column(term: Term, now: dt.date | None = None) -> Column:
@@ -187,6 +187,7 @@ def term_column(term: Term, now: dt.date | None = None) -> Column:
         "duration": lambda: duration_cmp(f, v), "added": lambda: added_cmp(f, v, now), "key": lambda: key_match(f, v),
         "status": lambda: status(f, v), "flag": lambda: flag(f), "fuzzy": lambda: any_of([fuzzy_word(c, v) for c in cols]),
         "has": lambda: F.array_contains(F.col(f), v), "in_last_days": lambda: _in_last(f, v, now),
+        "after_days": lambda: F.col(f) > _epoch(now) - int(v) * 86400,
         "before_days": lambda: (F.col(f) > 0) & negate(_in_last(f, v, now))}
     cond = table[term.op]()
     # a filter drops unknowns by itself; wrapping them would hide the bounds from the file reader

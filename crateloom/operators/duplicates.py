@@ -95,8 +95,8 @@ def one_version_per_song(df: DataFrame, order: Sequence[str], artist: str = "art
 REASONS = ("whitespace", "case", "separator", "typo", "variant")
 
 
-def _typo_limit(length: Column) -> Column:
-    return F.when(length < 5, 0).when(length <= 8, 1).otherwise(2)
+def _typo_limit(length: Column, one_from: int, two_from: int) -> Column:
+    return F.when(length < one_from, 0).when(length < two_from, 1).otherwise(2)
 
 
 def _without_one(c: Column) -> Column:
@@ -104,10 +104,10 @@ def _without_one(c: Column) -> Column:
         F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
 
 
-def _typo_pairs(values: DataFrame) -> DataFrame:
+def _typo_pairs(values: DataFrame, one_from: int, two_from: int) -> DataFrame:
     """Distinct values within the allowed edit distance.  Two strings at distance k share a string
     reachable by at most k deletions from either, so candidates meet on those keys."""
-    v = values.select("value", F.lower("value").alias("_l")).withColumn("_k", _typo_limit(F.length("_l")))
+    v = values.select("value", F.lower("value").alias("_l")).withColumn("_k", _typo_limit(F.length("_l"), one_from, two_from))
     v = v.filter((F.col("_k") > 0) & ~F.col("_l").rlike("^[\\d\\s.,]*$"))
     once = F.array_union(F.array("_l"), _without_one(F.col("_l")))
     twice = F.array_distinct(F.flatten(F.transform(once, lambda s: F.array_union(F.array(s), _without_one(s)))))
@@ -118,9 +118,11 @@ def _typo_pairs(values: DataFrame) -> DataFrame:
     return near.filter(F.levenshtein("la", "lb") <= F.col("k")).select("a", "b")
 
 
-def merge_suggestions(df: DataFrame, field: str, scope: str | None = None, typos: bool = True) -> DataFrame:
+def merge_suggestions(df: DataFrame, field: str, scope: str | None = None, typos: bool = True, one_from: int = 5, two_from: int = 9) -> DataFrame:
     """Pairs of values that probably mean the same, with the strongest reason.
 
+    A typo is one edit in values of ``one_from`` characters or more, two edits from ``two_from`` on; values without a letter have none.
+
     Values with an equal key are tied to the most frequent one of their key (n − 1 pairs, not all
     of them); ``scope`` keeps albums of different artists apart.
     """
@@ -136,7 +138,7 @@ def merge_suggestions(df: DataFrame, field: str, scope: str | None = None, typos
     pairs = (tagged.join(leaders, ["scope", "_x"]).filter(F.col("value") != F.col("lead"))
              .select("scope", F.least("value", "lead").alias("a"), F.greatest("value", "lead").alias("b"), F.col("_x.r").alias("r")))
     if typos:
-        found = _typo_pairs(values.select("value").distinct()).withColumn("r", F.lit(REASONS.index("typo")))
+        found = _typo_pairs(values.select("value").distinct(), one_from, two_from).withColumn("r", F.lit(REASONS.index("typo")))
         if scope is None:
             found = found.withColumn("scope", F.lit(""))
         else:

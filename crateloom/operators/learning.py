@@ -169,11 +169,14 @@ def oof_summary(rows: DataFrame, tracks: int | Column, role: str = "role", off:
         "found", F.col("n") / tracks).join(median, role)
 
 
-def calibrate(rows: DataFrame, prob: str = "prob", hit: str = "hit"):
-    """Monotone map from probability to hit rate; equal probabilities are averaged first, so the
-    fit sees distinct values only.  None below 50 rows."""
-    pts = rows.groupBy(F.col(prob).cast("double").alias("x")).agg(F.avg(F.col(hit).cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
-    if rows.limit(CALIBRATION_MIN_ROWS).count() < CALIBRATION_MIN_ROWS:
+def calibrate(rows: DataFrame, prob: str = "prob", hit: str = "hit", least_rows: int = CALIBRATION_MIN_ROWS, digits: int = 4):
+    """Monotone map from probability to hit rate.  None below ``least_rows`` rows.
+
+    Probabilities are rounded to ``digits`` and averaged first: the last pass of the fit pools its points on the driver, and
+    there are 10 ** digits + 1 of them at most.
+    """
+    pts = rows.groupBy(F.round(F.col(prob).cast("double"), digits).alias("x")).agg(F.avg(F.col(hit).cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
+    if rows.limit(least_rows).count() < least_rows:
         return None
     asm = VectorAssembler(inputCols=["x"], outputCol="features")
     return IsotonicRegression(featuresCol="features", labelCol="y", weightCol="w").fit(asm.transform(pts))
@@ -196,22 +199,24 @@ def reliability_bins(rows: DataFrame, confidence: str = "confidence", hit: str =
         F.avg(F.col(hit).cast("double")).alias("hit_rate"), F.count("*").alias("n"))
 
 
-def learned_gap(targets: DataFrame, drop2: str = "drop2", break1: str = "break1") -> DataFrame:
-    """Minimum distance break → drop from the labels: 2nd percentile, down to whole 4 bars."""
+def learned_gap(targets: DataFrame, drop2: str = "drop2", break1: str = "break1", least_rows: int = LEARN_MIN) -> DataFrame:
+    """Minimum distance break → drop from the labels: 2nd percentile, down to whole 4 bars.  ``learned`` is false where fewer
+    than ``least_rows`` labels left it at the default."""
     gaps = targets.select(F.lit(0).alias("_all"), (F.col(drop2) - F.col(break1)).cast("double").alias("_g"))
     p = exact_percentiles(gaps, ["_all"], "_g", {"_p": 0.02})
     n = targets.agg(F.count("*").alias("_n"), F.lit(0).alias("_all"))
     value = F.least(F.lit(MIN_GAP_BARS), F.greatest(F.lit(0), F.floor(F.col("_p").cast("int") / 4).cast("int") * 4))
-    return n.join(p, "_all", "left").select(F.when(F.col("_n") < LEARN_MIN, MIN_GAP_BARS).otherwise(value).cast("int").alias("gap_bars"))
+    return n.join(p, "_all", "left").select(F.when(F.col("_n") < least_rows, MIN_GAP_BARS).otherwise(value).cast("int").alias("gap_bars"), (F.col("_n") >= least_rows).alias("learned"))
 
 
-def learned_outro(targets: DataFrame, outro: str = "outro_start", drop2: str = "drop2") -> DataFrame:
-    """Outro distance: the multiple of 8 bars nearest to the median of the labels."""
+def learned_outro(targets: DataFrame, outro: str = "outro_start", drop2: str = "drop2", least_rows: int = LEARN_MIN) -> DataFrame:
+    """Outro distance: the multiple of 8 bars nearest to the median of the labels.  ``learned`` is false where fewer than
+    ``least_rows`` labels left it at the default."""
     offs = targets.filter(F.col(outro) > F.col(drop2)).select(F.lit(0).alias("_all"), (F.col(outro) - F.col(drop2)).cast("double").alias("_o"))
     p = exact_percentiles(offs, ["_all"], "_o", {"_m": 0.5})
     n = offs.agg(F.count("*").alias("_n"), F.lit(0).alias("_all"))
     best = F.array_min(F.transform(F.array(*[F.lit(x) for x in OUTRO_RANGE]), lambda k: F.struct(F.abs(k - F.col("_m")).alias("d"), k.alias("k"))))["k"]
-    return n.join(p, "_all", "left").select(F.when(F.col("_n") < LEARN_MIN, OUTRO_DEFAULT).otherwise(best).cast("int").alias("outro_bars"))
+    return n.join(p, "_all", "left").select(F.when(F.col("_n") < least_rows, OUTRO_DEFAULT).otherwise(best).cast("int").alias("outro_bars"), (F.col("_n") >= least_rows).alias("learned"))
 
 
 # ── chain: roles placed relative to the second drop ──────────────────────────────────────────

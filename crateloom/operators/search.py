@@ -21,13 +21,26 @@ def search(df: DataFrame, terms: Sequence[Term], now: dt.date | None = None) ->
     return df
 
 
-def smart_list(df: DataFrame, rules: Sequence[Term], match: str = "all", now: dt.date | None = None) -> DataFrame:
-    if len(rules) > MAX_RULES:
-        raise ValueError("a smart list has at most 50 rules")
+def smart_list(df: DataFrame, rules: Sequence[Term], match: str = "all", now: dt.date | None = None, most: int = MAX_RULES,
+               items: DataFrame | None = None, tree: DataFrame | None = None, path: str = "path") -> DataFrame:
+    """Rows that meet all (or any) of the rules; more than ``most`` rules are refused.
+
+    A rule with the op ``in`` asks whether the track is in the list (or in a list below the folder) its value names; it needs
+    ``items`` and ``tree``.
+    """
+    if len(rules) > most:
+        raise ValueError(f"a smart list has at most {most} rules")
     if not rules:
         return df
-    conds = [term_column(r, now) for r in rules]
-    return df.filter(reduce((lambda a, b: a & b) if match == "all" else (lambda a, b: a | b), conds))
+    conds, columns = [], df.columns
+    for i, rule in enumerate(rules):
+        if rule.op != "in":
+            conds.append(term_column(rule, now))
+            continue
+        mark = f"_in_list_{i}"
+        df = df.join(members_of(items, tree, rule.value, path).withColumn(mark, F.lit(True)), path, "left")
+        conds.append(F.col(mark).isNull() if rule.negate else F.col(mark).isNotNull())
+    return df.filter(reduce((lambda a, b: a & b) if match == "all" else (lambda a, b: a | b), conds)).select(*columns)
 
 
 def suggest_values(df: DataFrame, field: str, prefix: str, n: int = 10, min_chars: int = 1) -> DataFrame:
@@ -60,11 +73,15 @@ def limit_list(df: DataFrame, by: str, budget: float, order: str = "added", seed
     return total.filter(F.round("_sum", 6) <= budget).select(*[c for c in df.columns if c != "_rnd"])
 
 
+def members_of(items: DataFrame, tree: DataFrame, list_id, path: str = "path") -> DataFrame:
+    """Paths in a list or, for a folder, in any list below it."""
+    below = descendants(tree, list_id).withColumnRenamed("id", "list_id")
+    return items.join(below, "list_id", "left_semi").select(path).distinct()
+
+
 def in_list(df: DataFrame, items: DataFrame, tree: DataFrame, list_id, path: str = "path", negate: bool = False) -> DataFrame:
     """Tracks in a list or, for a folder, in any list below it."""
-    below = descendants(tree, list_id).withColumnRenamed("id", "list_id")
-    members = items.join(below, "list_id", "left_semi").select(path).distinct()
-    return df.join(members, path, "left_anti" if negate else "left_semi")
+    return df.join(members_of(items, tree, list_id, path), path, "left_anti" if negate else "left_semi")
 
 
 def system_list(df: DataFrame, name: str, inventory: DataFrame | None = None, path: str = "path") -> DataFrame:

@@ -280,8 +280,11 @@ def asof_backward(points: DataFrame, grid: DataFrame, keys: Keys, pt: str, gt: s
 
 
 def snap_to_grid(points: DataFrame, grid: DataFrame, keys: Keys, pt: str, gt: str, num: str | None = None, out: str = "snapped") -> DataFrame:
-    """Nearest grid time, the earlier one on a tie; with ``num`` only bar starts (num = 1)."""
-    g = grid if num is None else grid.filter(F.col(num) == 1)
+    """Nearest grid time, the earlier one on a tie; with ``num`` only bar starts (num = 1), or every beat of a series without any."""
+    g = grid
+    if num is not None:
+        bars = grid.groupBy(*keys).agg(F.max((F.col(num) == 1).cast("int")).alias("_bars"))
+        g = grid.join(bars, list(keys)).filter((F.col(num) == 1) | (F.coalesce("_bars", F.lit(0)) == 0)).drop("_bars")
     g = g.select(*keys, F.col(gt).cast("double").alias("_g"))
     m = carry_last(_merged(points, g, keys, pt, "_g", "_g"), keys, "_i", "_v", "_before")
     m = carry_last(m.withColumn("_r", -F.col("_i")), keys, "_r", "_v", "_after")

@@ -130,11 +130,11 @@ def alternatives(prepared: DataFrame, target: float, knobs: dict[str, float], pr
 
 
 def fill_slots(prepared: DataFrame, targets: Sequence[float], knobs: dict[str, float], seed: int | None = None, locked: dict[int, dict] | None = None,
-               id_col: str = "track_id", **options) -> DataFrame:
-    """Fill a set of at most 200 slots.  ``seed=None`` takes the best candidate everywhere, else a
+               id_col: str = "track_id", most: int = 200, **options) -> DataFrame:
+    """Fill a set of at most ``most`` slots (more are refused).  ``seed=None`` takes the best candidate everywhere, else a
     seeded pick among the best five, closer ones more likely."""
-    if len(targets) > 200:
-        raise ValueError("a set has at most 200 slots")
+    if len(targets) > most:
+        raise ValueError(f"a set has at most {most} slots")
     chosen: dict[int, dict] = dict(locked or {})
     rnd = random.Random(seed)
     for slot, target in enumerate(targets):

@@ -146,7 +146,7 @@ SELECT CAST(CASE WHEN g.n < 20 THEN 40 ELSE least(40, greatest(0, CAST(trunc(p)
 def ml12(spark, sf):
     t = table(spark, sf, "orders").selectExpr("o_orderkey % 90 AS break1", "o_orderkey % 90 + 20 + (o_orderkey * 13) % 60 AS drop2", "o_orderkey % 90 + 40 + (o_orderkey * 17) % 120 AS outro_start")
     gap, outro = ml.learned_gap(t), ml.learned_outro(t)
-    return gap.select("gap_bars", outro.scalar().alias("outro_bars"))
+    return gap.select("gap_bars", outro.select("outro_bars").scalar().alias("outro_bars"))
 
 
 POS = IDX + """

@@ -176,7 +176,8 @@ def w20(spark, sf):
 
 @query("w21_snap_to_grid", with_ctes(GRID + """
 , p AS (SELECT track, idx, idx * 0.7 + 0.113 AS t FROM b),
- q AS (SELECT p.track, p.idx, min((abs(g.ms / 1000 - t), g.ms / 1000)) AS m FROM p JOIN g ON g.track = p.track AND g.num = 1 GROUP BY 1, 2)
+ h AS (SELECT *, bool_or(num = 1) OVER (PARTITION BY track) AS bars FROM g),
+ q AS (SELECT p.track, p.idx, min((abs(h.ms / 1000 - t), h.ms / 1000)) AS m FROM p JOIN h ON h.track = p.track AND (h.num = 1 OR NOT h.bars) GROUP BY 1, 2)
 SELECT p.track, p.idx, round(coalesce(m[2], t), 4) AS snapped FROM p LEFT JOIN q ON q.track = p.track AND q.idx = p.idx"""))
 def w21(spark, sf):
     g = grid(spark, sf).withColumn("at", F.col("ms") / 1000)

@@ -15,12 +15,21 @@ SCHEMAS = {
         lame_lowpass_hz INT, artist STRING, title STRING, album STRING, album_artist STRING, composer STRING, genre STRING, comment STRING, year INT,
         bpm DOUBLE, key STRING, has_cover INT, cutoff_hz DOUBLE, raw_cutoff_hz DOUBLE, steepness_db DOUBLE, at_nyquist INT, gated_blocks INT,
         verdict STRING, measured_kbps INT, confidence DOUBLE, file_hash STRING, audio_hash STRING, cover_hash STRING, compilation INT,
-        reasons STRING, spectrum STRING, edge_segments STRING, tag_issues STRING""",
+        reasons STRING, spectrum STRING, edge_segments STRING, tag_issues STRING, analyzed_at DOUBLE, error STRING, bitrate_mode STRING, sample_rate INT,
+        channels INT, is_brickwall INT, total_blocks INT, declared_class INT, class_steps INT, codec STRING, plateau_db DOUBLE, integrated_lufs DOUBLE,
+        true_peak_dbtp DOUBLE, lra_lu DOUBLE, key_raw STRING""",
     "events": "id BIGINT, ts DOUBLE, kind STRING, path STRING, duration_s DOUBLE, in_music INT",
     "marks": "kind STRING, path STRING, ts DOUBLE", "issue_marks": "path STRING, code STRING", "merge_dismissed": "field STRING, a STRING, b STRING",
     "user_tags": "path STRING, tag STRING", "genre_mood": "path STRING, genres STRING, moods STRING, energy DOUBLE, model STRING",
     "lists": "id STRING, parent_id STRING, kind STRING, name STRING, rules STRING, seq INT, fav_slot INT",
-    "list_items": "list_id STRING, path STRING, pos BIGINT", "list_sides": "list_id STRING, side STRING, path STRING"}
+    "list_items": "list_id STRING, path STRING, pos BIGINT", "list_sides": "list_id STRING, side STRING, path STRING",
+    "tempo_ranges": "path STRING, lo DOUBLE, hi DOUBLE, ts DOUBLE, seq STRING", "presence": "path STRING, ts DOUBLE",
+    "added": "path STRING, added_ts DOUBLE, ts DOUBLE", "queued": "path STRING, ts DOUBLE, prior_path STRING", "queued_removals": "path STRING, ts DOUBLE",
+    "queued_parts": "path STRING, source_path STRING, ts DOUBLE", "auto_cues": "path STRING, cues STRING, ts DOUBLE",
+    "phrases": """path STRING, mode STRING, used STRING, bpm DOUBLE, confidence DOUBLE, first_beat DOUBLE, downbeat DOUBLE, changes STRING, phrases STRING,
+        mood INT, uncertain INT, version STRING, ts DOUBLE, beats STRING, grid_origin STRING, phrases_origin STRING""",
+    "snapshot": "path STRING, grid STRING, phrases STRING, cues STRING, seen STRING, changed STRING, stamp STRING, ts DOUBLE",
+    "edits": "path STRING, grid STRING, phrases STRING, cues STRING, ts DOUBLE, base STRING, grid_lock INT, phrases_lock INT"}
 
 
 def nested(df: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def write_m3u(df: DataFrame, out: str, hidden: DataFrame | None = None) -> None:
     playlist_lines(df, hidden).write.mode("overwrite").text(out)
 
 
-def build_year_stats_doc(plays: DataFrame, log: DataFrame, catalog: DataFrame, top: int = 50, track: str = "track_id") -> DataFrame:
+def build_year_stats_doc(plays: DataFrame, log: DataFrame, catalog: DataFrame, top: int = 50, track: str = "track_id", top_artists: int = 10) -> DataFrame:
     """One JSON document per year: actions, seconds, twelve months and the top lists.
 
     Only bounded lists (12 months, 50 tracks, action names) are collected per year."""
@@ -85,7 +85,7 @@ def build_year_stats_doc(plays: DataFrame, log: DataFrame, catalog: DataFrame, t
     by_year = acts.filter("m IS NULL").groupBy("y").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "n")))).alias("actions"))
     ranked = stats.with_titles(stats.top_tracks(u, top), catalog)
     tops = ranked.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("rank", track, "artist", "title", "plays", "seconds"))).alias("top_tracks"))
-    artists = stats.top_groups(u, catalog, "artist", track=track)
+    artists = stats.top_groups(u, catalog, "artist", track=track, n=top_artists)
     groups = artists.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("rank", "artist", "seconds", "plays", "tracks"))).alias("top_artists"))
     doc = month_rows.join(by_year, "y", "left").join(tops, "y", "left").join(groups, "y", "left")
     return doc.select("y", F.to_json(F.struct("listen_seconds", "actions", "months", "top_tracks", "top_artists")).alias("doc")).orderBy(F.desc("y"))

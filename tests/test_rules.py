@@ -103,3 +103,31 @@ def test_learn_plan():
     for bad in ({"drop2": 3}, {"drop2": 3, "break1": 3}, {"drop2": 9, "break1": 1}, {"drop2": 3, "break1": 1, "x": 2}):
         with pytest.raises(ValueError):
             ml.learn_plan(bad)
+
+
+def test_list_rules(spark):
+    df = spark.createDataFrame([("/a", 100.0), ("/b", 50.0), ("/c", 1.0)], "path string, added double")
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, None)], "id int, parent_id int")
+    items = spark.createDataFrame([(2, "/a"), (3, "/b"), (2, "/a")], "list_id int, path string")
+
+    def run(*rules, **kw):
+        return sorted(r.path for r in search.smart_list(df, rules, items=items, tree=tree, **kw).collect())
+    assert run(Term("list", "in", 1)) == ["/a"] and run(Term("list", "in", 1, negate=True)) == ["/b", "/c"]
+    assert run(Term("list", "in", 1), Term("list", "in", 3), match="any") == ["/a", "/b"]
+    assert search.smart_list(df, [Term("list", "in", 1)], items=items, tree=tree).columns == df.columns
+
+
+def test_newer_and_older(spark):
+    import datetime as dt
+    day = dt.date(2024, 1, 10)
+    stamp = dt.datetime(2024, 1, 10, tzinfo=dt.timezone.utc).timestamp()
+    df = spark.createDataFrame([(1, stamp - 2 * 86400), (2, stamp - 5 * 86400), (3, 0.0)], "id int, added double")
+    got = {op: {r.id for r in search.search(df, [Term("added", op, 3)], day).collect()} for op in ("after_days", "before_days")}
+    assert got == {"after_days": {1}, "before_days": {2}}
+
+
+def test_snap_without_bar_starts(spark):
+    from crateloom.operators import series as se
+    grid = spark.createDataFrame([("k", 1.0, 2), ("k", 2.0, 3), ("b", 1.0, 1), ("b", 2.0, 2)], "k string, at double, num int")
+    points = spark.createDataFrame([("k", 1.9), ("b", 1.9)], "k string, t double")
+    assert {(r.k, r.snapped) for r in se.snap_to_grid(points, grid, ["k"], "t", "at", "num").collect()} == {("k", 2.0), ("b", 1.0)}
