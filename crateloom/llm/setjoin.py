@@ -32,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from crateloom.llm.common import stored
-from crateloom.session import cut
 
 #: Tasks remember so many sets or bytes at most.
 MET, BLOCK = 400_000, 1 << 20
@@ -260,26 +259,58 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: in
     return found.join(wanted, "_node", "left_semi").dropDuplicates(["_node"])
 
 
-def placed_entries(sets: DataFrame, percent: int, deleted: dict[int, list[int]] | None = None) -> DataFrame:
-    """Index entries of given sets with group, segment and role; with ``deleted`` the one-deletion keys of those segments."""
+def placed_entries(sets: DataFrame, percent: int) -> DataFrame:
+    """Index entries of given sets with group, segment and role."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
                 cols: list[list[np.ndarray]] = [[] for _ in range(6)]
                 for node, n, x in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    x = np.array(x, np.int64).view(np.uint64)
-                    for group, m, small, k in _keys(x, percent):
-                        seg = np.arange(m)
-                        if deleted is not None:
-                            parts = [neighbourhood(x, group, m, i) for i in deleted.get(group, ())]
-                            k = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-                            seg = np.repeat(np.array(deleted.get(group, []), np.int64), [len(p) for p in parts])
-                        for c, v in zip(cols, (k, np.full(len(k), node), np.full(len(k), n), np.full(len(k), small), np.full(len(k), group), seg)):
-                            c.append(v.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols],
-                                                 ["_key", "_node", "_n", "_small", "_group", "_segment"])
-    return sets.select("_node", "_n", "_set").mapInArrow(run, "_key bigint, _node bigint, _n bigint, _small bigint, _group bigint, _segment bigint")
+                    for group, m, small, k in _keys(np.array(x, np.int64).view(np.uint64), percent):
+                        _extend(cols, k, node, n, small, group, np.arange(m))
+                yield _record(cols, _PLACED)
+    return sets.select("_node", "_n", "_set").mapInArrow(run, _PLACED)
+
+
+def deletion_entries(docs: DataFrame, groups: dict[int, list[int]], width: int, percent: int, text_col: str) -> DataFrame:
+    """Exact and one-deletion keys of the segments in ``groups``, of every set that takes part in these groups."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, met = Shingler(width), set()
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+                for x in shingle.sets(b.column(0).slice(at, 200).to_pylist()):
+                    node = node_of(x)
+                    if node is None or node in met:
+                        continue
+                    if len(met) >= MET:
+                        met.clear()
+                    met.add(node)
+                    for group, m, small, exact in _keys(x, percent) if set(_groups(len(x), percent)) & groups.keys() else ():
+                        for i in groups.get(group, ()):
+                            keys = np.append(neighbourhood(x, group, m, i).view(np.int64), exact[i])
+                            _extend(cols, np.unique(keys), node, len(x), small, group, i)
+                yield _record(cols, _PLACED)
+    return docs.select(F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, _PLACED)
+
+
+_PLACED = "_key bigint, _node bigint, _n bigint, _small bigint, _group bigint, _segment bigint"
+
+
+def _groups(n: int, percent: int) -> tuple[int, int]:
+    band = band_of(n, percent)[0]
+    return band, band + 1
+
+
+def _extend(cols: list[list[np.ndarray]], keys: np.ndarray, *values) -> None:
+    cols[0].append(keys)
+    for c, v in zip(cols[1:], values):
+        c.append(np.broadcast_to(np.asarray(v, np.int64), keys.shape))
+
+
+def _record(cols: list[list[np.ndarray]], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols], [x.split()[0] for x in schema.split(", ")])
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -287,29 +318,46 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def allocate(entries: DataFrame, swaps: int) -> DataFrame:
-    """``entries``: a row an index entry with its group, segment and sets.  Rows (group, out, deleted): segments to swap.
+def allocate(entries: DataFrame, in_group: DataFrame, swaps: int) -> DataFrame:
+    """Which segments to swap: rows (_group, _out, _deleted).
 
-    Costs of a segment: the pairs its entries would make; of a one-deletion index: its own pairs twice and a row for each
-    set and shingle.
+    ``entries``: _group, _segment, _key and _sets (sets that share the entry); ``in_group``: _group, _rows (rows of a one-deletion
+    index of one segment, that is about the sets of the group times the shingles of a segment).  An entry of s sets makes
+    about s log2(s) comparisons; a one-deletion index makes its rows and twice the comparisons of its segment.
     """
-    cost = entries.groupBy("_group", "_segment").agg(F.sum(F.expr("cast(_sets as double) * (_sets - 1) / 2")).alias("_pairs"), F.sum("_sets").alias("_rows"))
-    dear = cost.withColumn("_k", F.row_number().over(Window.partitionBy("_group").orderBy(F.desc("_pairs"), "_segment"))).where(F.col("_k") <= swaps)
-    cheap = cost.withColumn("_k", F.row_number().over(Window.partitionBy("_group").orderBy("_pairs", F.desc("_segment")))).where(F.col("_k") <= swaps)
-    cheap = cheap.select("_group", "_k", F.col("_segment").alias("_deleted"), (F.col("_pairs") * 2 + F.col("_rows") * 12).alias("_new"), F.col("_pairs").alias("_old"))
-    return (dear.join(cheap, ["_group", "_k"]).where((F.col("_pairs") - F.col("_new") + F.col("_old") > 0) & (F.col("_segment") != F.col("_deleted")))
+    cost = entries.groupBy("_group", "_segment").agg(F.sum(F.expr("_sets * log2(_sets)")).alias("_cost"))
+    dear = cost.withColumn("_k", F.row_number().over(Window.partitionBy("_group").orderBy(F.desc("_cost"), "_segment"))).where(F.col("_k") <= swaps)
+    cheap = cost.withColumn("_k", F.row_number().over(Window.partitionBy("_group").orderBy("_cost", F.desc("_segment")))).where(F.col("_k") <= swaps)
+    cheap = cheap.select("_group", "_k", F.col("_segment").alias("_deleted"), F.col("_cost").alias("_kept"))
+    return (dear.join(cheap, ["_group", "_k"]).join(in_group, "_group").where((F.col("_cost") > F.col("_kept") + F.col("_rows")) & (F.col("_segment") != F.col("_deleted")))
             .select("_group", F.col("_segment").alias("_out"), "_deleted"))
 
 
+def group_rows(nodes: DataFrame, percent: int) -> DataFrame:
+    """_group, _rows: shingles of all sets of the group, a segment's share of them."""
+    top = nodes.agg(F.max("_n")).first()[0] or 1
+    edges = bands(bands(top, percent)[-1], percent)
+    band = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("_n"))) - 1
+    per = nodes.where("_n > 0").select(F.explode(F.array(band, band + 1)).alias("_group"), "_n").groupBy("_group").agg(F.sum("_n").alias("_all"))
+    share = F.lit(None).cast("double")
+    for g, last in enumerate(e - 1 for e in edges[1:]):
+        share = F.when(F.col("_group") == g, 1.0 / (tolerance(last, percent) + 1)).otherwise(share)
+    return per.select("_group", (F.col("_all") * F.coalesce(share, F.lit(1.0))).alias("_rows"))
+
+
 def smallest_labels(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (_a, _b): a row a vertex, _v, and the least vertex in reach, _c."""
-    both = cut(edges.select(F.col("_a").alias("_v"), F.col("_b").alias("_w")).unionByName(edges.select(F.col("_b").alias("_v"), F.col("_a").alias("_w"))).distinct())
-    label = cut(both.groupBy("_v").agg(F.min("_w").alias("_c")).select("_v", F.least("_v", "_c").alias("_c")))
+    """Connected components of ``edges`` (_a, _b): a row a vertex, _v, and the least vertex in reach, _c.
+
+    Least labels spread over the edges and along the labels themselves, which halves the way in each round.  Rounds are
+    written as tables, so that the sizes Spark plans with stay those of the files.
+    """
+    both = stored(edges.select(F.col("_a").alias("_v"), F.col("_b").alias("_w")).unionByName(edges.select(F.col("_b").alias("_v"), F.col("_a").alias("_w"))).distinct(), "ways")
+    label = stored(both.groupBy("_v").agg(F.min("_w").alias("_c")).select("_v", F.least("_v", "_c").alias("_c")), "labels")
     while True:
         near = both.join(label.select(F.col("_v").alias("_w"), "_c"), "_w").groupBy("_v").agg(F.min("_c").alias("_m"))
         step = label.join(near, "_v").select("_v", F.col("_c").alias("_was"), F.least("_c", "_m").alias("_c"))
         jump = label.select(F.col("_v").alias("_c"), F.col("_c").alias("_further"))
-        step = cut(step.join(jump, "_c", "left").select("_v", "_was", F.least("_c", F.coalesce("_further", "_c")).alias("_c")))
+        step = stored(step.join(jump, "_c", "left").select("_v", "_was", F.least("_c", F.coalesce("_further", "_c")).alias("_c")), "labels")
         label = step.select("_v", "_c")
         if step.where("_c < _was").isEmpty():
             return label
@@ -325,26 +373,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked_nodes(entries: DataFrame, sets: DataFrame, percent: int, seed: int = 11) -> DataFrame:
     """_node, _c: components of the links between all sets that share an entry (_key, _node, _n, _small)."""
-    comp = cut(sets.select("_node", F.col("_node").alias("_c")))
+    comp = sets.select("_node", F.col("_node").alias("_c"))
     open_, centres = entries.select("_key", "_node", "_n", "_small").distinct(), 1
     while True:
         rows = open_.join(comp, "_node")
         mixed_keys = rows.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.min("_small").alias("_large"))
-        rows = cut(rows.join(mixed_keys.where("_lo < _hi and _large = 0").select("_key"), "_key"))
+        rows = stored(rows.join(mixed_keys.where("_lo < _hi and _large = 0").select("_key"), "_key"), "open")
         if rows.isEmpty():
             return comp
         rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(F.lit(seed), "_node"), "_node"))
-        picked = cut(rows.withColumn("_at", rank).where(F.col("_at") <= centres))
+        picked = rows.withColumn("_at", rank).where(F.col("_at") <= centres)
         mid = picked.select("_key", F.col("_node").alias("_node2"), F.col("_n").alias("_n2"), F.col("_small").alias("_small2"), F.col("_c").alias("_c2"))
         pairs = (rows.join(mid, "_key").where("_c != _c2 and _small + _small2 < 2")
                  .where(f"100 * least(_n, _n2) >= {percent} * greatest(_n, _n2)")
                  .select(F.least("_node", "_node2").alias("_a"), F.greatest("_node", "_node2").alias("_b")).distinct())
-        links = cut(verified(pairs, sets, percent))
+        links = stored(verified(pairs, sets, percent), "links")
         if not links.isEmpty():
             label = comp.select(F.col("_node").alias("_a"), F.col("_c").alias("_ca"))
             other = comp.select(F.col("_node").alias("_b"), F.col("_c").alias("_cb"))
             merged = smallest_labels(links.join(label, "_a").join(other, "_b").select(F.col("_ca").alias("_a"), F.col("_cb").alias("_b")).where("_a != _b").distinct())
-            comp = cut(comp.join(merged.select(F.col("_v").alias("_c"), F.col("_c").alias("_new")), "_c", "left").select("_node", F.coalesce("_new", "_c").alias("_c")))
+            comp = stored(comp.join(merged.select(F.col("_v").alias("_c"), F.col("_c").alias("_new")), "_c", "left").select("_node", F.coalesce("_new", "_c").alias("_c")), "components")
         open_ = rows.join(picked.select("_key", "_node"), ["_key", "_node"], "left_anti").select("_key", "_node", "_n", "_small")
         centres *= 2
 
@@ -360,11 +408,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, swaps
     wanted = live.select(F.expr("shiftrightunsigned(_member, 1)").alias("_node")).distinct()
     sets = stored(shingle_sets(docs, nodes, wanted, width, text_col), "sets")
     entries = placed_entries(sets, percent).join(live.select("_key").distinct(), "_key", "left_semi")
-    swap = allocate(entries.groupBy("_group", "_segment", "_key").agg(F.countDistinct("_node").alias("_sets")), swaps).collect()   # swaps a group at most
+    shared_by = entries.groupBy("_group", "_segment", "_key").agg(F.countDistinct("_node").alias("_sets"))
+    swap = allocate(shared_by, group_rows(nodes, percent), swaps).collect()            # at most ``swaps`` a group
     if swap:
-        entries = _swapped(entries, docs, nodes, swap, width, percent, text_col)
+        entries = stored(_swapped(entries, docs, swap, width, percent, text_col), "swapped")
         sets = stored(shingle_sets(docs, nodes, entries.select("_node").distinct(), width, text_col), "sets")
-    entries = cut(entries)
+    else:
+        entries = stored(entries, "entries")
     comp = linked_nodes(entries, sets, percent)
     rows = nodes.join(comp, "_node", "left").select("_id", "_n", F.coalesce("_c", "_node").alias("_c"))
     least = rows.where("_c is not null").groupBy("_c").agg(F.min("_id").alias("_least"))
@@ -372,16 +422,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, swaps
                                                  F.when(F.col("_c").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
-def _swapped(entries: DataFrame, docs: DataFrame, nodes: DataFrame, swap: list, width: int, percent: int, text_col: str) -> DataFrame:
+def _swapped(entries: DataFrame, docs: DataFrame, swap: list, width: int, percent: int, text_col: str) -> DataFrame:
     """Leave the costly segments out and index the others of each swap with all one-deletion neighbours."""
     spark = docs.sparkSession
     groups: dict[int, list[int]] = {}
     for r in swap:
         groups.setdefault(r["_group"], []).append(r["_deleted"])
     out = spark.createDataFrame([(r["_group"], r["_out"]) for r in swap], "_group long, _segment long")
-    both = spark.createDataFrame([(g, s) for g, ss in groups.items() for s in ss], "_group long, _segment long")
-    every = stored(shingle_sets(docs, nodes, nodes.where("_node is not null").select("_node").distinct(), width, text_col), "all-sets")
-    exact = placed_entries(every, percent).join(both, ["_group", "_segment"], "left_semi")
-    near = exact.unionByName(placed_entries(every, percent, groups)).distinct()
+    near = deletion_entries(docs, groups, width, percent, text_col).repartition("_key")
     alike = near.groupBy("_key").agg(F.min("_node").alias("_lo"), F.max("_node").alias("_hi")).where("_lo < _hi").select("_key")
-    return entries.join(out, ["_group", "_segment"], "left_anti").unionByName(near.join(alike, "_key"))
+    return entries.join(out, ["_group", "_segment"], "left_anti").unionByName(near.join(alike, "_key").distinct())
