@@ -5,8 +5,9 @@ later category also gets the probabilities of the earlier ones.  In training the
 the row (out-of-fold, by the hash of the id), so that the later model learns how far the earlier one can be trusted; in
 prediction they come from the models fitted on all folds.
 
-Only words that go with a category in the labelled sample beyond chance (``z_least`` standard errors) are features, so a
-clean text is not judged by rare words.  The labelled sample is bounded by ``max_rows`` (lowest hash of the id first) and
+Only words that stand in a ``least_share`` of a category's documents and go with it in the labelled sample beyond chance
+(``z_least`` standard errors) are features, so a clean text is not judged by rare words or by the words of one text that has
+many copies.  The labelled sample is bounded by ``max_rows`` (lowest hash of the id first) and
 the vocabulary by ``max_words``; word counts are taken in Spark.  Scoring covers all rows and whole texts.
 
 Defined results: null texts and texts without a word have probability 0 in every category; labels of unknown or repeated ids
@@ -81,7 +82,7 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20000,
-        max_words: int = 1000, z_least: float = 5.0, folds: int = 5, l2: float = 0.5, seed: int = 3) -> Chain:
+        max_words: int = 1000, z_least: float = 5.0, least_share: float = 0.1, folds: int = 5, l2: float = 0.1, seed: int = 3) -> Chain:
     """``labels``: the id and one 0/1 column a category."""
     ids = (labels.select(F.col(id_col).alias("_lid"), *[F.col(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
            .where("_lid is not null").dropDuplicates(["_lid"]).withColumn("_h", F.xxhash64(F.lit(seed), "_lid"))
@@ -100,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
     for y in ys:
         share = (whole[y] or 0) / n if n else 0.0
         if 0 < share < 1:
-            z = F.greatest(z, F.abs(F.col(y) - F.col("_n") * share) / F.sqrt(F.col("_n") * share * (1 - share)))
+            above = (F.col(y) - F.col("_n") * share) / F.sqrt(F.col("_n") * share * (1 - share))
+            z = F.greatest(z, F.when(F.col(y) >= least_share * whole[y], above).otherwise(0.0))
     picked = counts.where(F.col("_n") >= 3).withColumn("_z", z).where(F.col("_z") >= z_least).orderBy(F.desc("_z"), "_word").limit(max_words)
     words = {bytes(r["_word"]): i for i, r in enumerate(picked.collect())}
     chosen = F.array(*[F.lit(bytearray(w)) for w in words]) if words else F.lit(None).cast("array<binary>")
