@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from crateloom.llm.common import GAP
+from crateloom.llm.common import GAP, stored
 
 
 def _tokens(line: Column) -> Column:
@@ -31,37 +31,48 @@ def _masked(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit("<*>")).otherwise(token)
 
 
+def _cut(df: DataFrame, *more: str, wanted: Column | None = None, min_tokens: int, depth: int) -> DataFrame:
+    """A row a different line of each text: _line (digest), _t (tokens), _leaf.  ``wanted`` is asked before lines are parsed."""
+    rows = df.select(*more, F.explode_outer(F.array_distinct(F.split("_text", "\n"))).alias("_l")).withColumn("_line", F.xxhash64("_l"))
+    rows = rows.where(F.col("_l").isNotNull() if wanted is None else wanted)
+    rows = rows.withColumn("_t", _tokens(F.col("_l"))).where(F.size("_t") >= min_tokens)
+    return rows.withColumn("_leaf", F.xxhash64(F.size("_t"), F.transform(F.slice("_t", 1, depth), _masked)))
+
+
 def recurring_lines(texts: DataFrame, min_docs: int = 3, depth: int = 4, min_tokens: int = 3, fixed_share: float = 0.5) -> DataFrame:
-    """``texts``: _key (digest), _text.  Rows (_key, _line) of lines to drop, _line being the line's xxhash64."""
-    def lines(df: DataFrame, *more: str) -> DataFrame:
-        cut = df.select("_key", *more, F.explode(F.array_distinct(F.split("_text", "\n"))).alias("_l"))
-        cut = cut.withColumn("_t", _tokens(F.col("_l"))).where(F.size("_t") >= min_tokens)
-        head = F.transform(F.slice("_t", 1, depth), _masked)
-        return cut.withColumn("_leaf", F.xxhash64(F.size("_t"), head)).withColumn("_line", F.xxhash64("_l"))
-
-    seen = lines(texts.where("_text is not null")).select("_leaf", "_line", "_key")
-    distinct = (seen.groupBy("_leaf", "_line", "_key").agg(F.lit(1).alias("_one"))
-                .groupBy("_leaf", "_line").agg(F.count("*").alias("_texts"), F.min("_key").alias("_owner")))
-    leaves = distinct.groupBy("_leaf").agg(F.sum("_texts").alias("_in_leaf")).where(F.col("_in_leaf") >= min_docs).select("_leaf")
-    alive = distinct.join(leaves, "_leaf")
-
-    # the text of each such line, from the first text that has it; a text has each line once
+    """``texts``: _key (digest), _text and any others.  Rows (_key, _line) of lines to drop, _line being the line's xxhash64.
+
+    Two slim tables are stored: which text has which line, and the lines of leaves with enough texts.
+    """
+    shape_of = {"min_tokens": min_tokens, "depth": depth}
+    seen = stored(_cut(texts, "_key", **shape_of).groupBy("_leaf", "_line", "_key").agg(F.lit(1).alias("_one"))
+                  .select("_leaf", "_line", "_key"), "lines")
+    distinct = seen.groupBy("_leaf", "_line").agg(F.count("*").alias("_texts"), F.min("_key").alias("_owner"))
+    leaves = seen.groupBy("_leaf").agg(F.count("*").alias("_in_leaf")).where(F.col("_in_leaf") >= min_docs).select("_leaf")
+    alive = stored(distinct.join(leaves, "_leaf"), "alive-lines")
+
+    # the text of each such line comes from the first text that has it; copies of that text give equal rows, which become one
     wanted = alive.groupBy("_owner").agg(F.collect_list(F.struct("_line", "_texts")).alias("_w"))
     wanted = wanted.select("_owner", F.expr(_drawers("_w", "w._line")).alias("_want"))
-    single = texts.where("_text is not null").groupBy("_key").agg(F.first("_text").alias("_text"))
-    owned = lines(single.join(wanted, single["_key"] == wanted["_owner"]), "_want")
-    owned = owned.withColumn("_texts", F.expr("get(filter(_want[pmod(_line, size(_want))], w -> w._line = _line), 0)._texts"))
-    fields = owned.where("_texts is not null").select("_leaf", "_line", "_texts", F.size("_t").alias("_len"), F.posexplode("_t").alias("_pos", "_tok"))
+    # The rows are joined by digest here and again when lines are dropped.  Nothing is filtered before this join and all columns
+    # are kept (the second condition always holds, but needs them), so that both joins read one shuffle of the texts.
+    others = [c for c in texts.columns if c not in ("_key", "_text")]
+    near = texts.join(wanted, texts["_key"] == wanted["_owner"])
+    hit = F.expr("get(filter(_want[pmod(_line, size(_want))], w -> w._line = _line), 0)._texts")
+    all_columns = F.pmod(F.xxhash64("_line", *others), F.lit(2)) < 2
+    owned = _cut(near, "_want", *others, wanted=hit.isNotNull() & all_columns, **shape_of)
+    owned = owned.select("_leaf", "_line", hit.alias("_texts"), "_t").dropDuplicates(["_leaf", "_line"])
+    fields = owned.select("_leaf", "_line", "_texts", F.size("_t").alias("_len"), F.posexplode("_t").alias("_pos", "_tok"))
     fields = (fields.where(~F.col("_tok").rlike("[0-9]"))
               .select("_leaf", "_line", "_texts", "_len", F.xxhash64("_leaf", "_pos", "_tok").alias("_field")))
     common = fields.groupBy("_field").agg(F.sum("_texts").alias("_n")).where(F.col("_n") >= min_docs).select("_field")
     shape = (fields.join(common, "_field").groupBy("_leaf", "_line")
-             .agg(F.count("*").alias("_fixed"), F.max("_len").alias("_len"), F.expr("bit_xor(_field)").alias("_x")))
-    shape = (alive.join(shape, ["_leaf", "_line"])
+             .agg(F.count("*").alias("_fixed"), F.max("_len").alias("_len"), F.max("_texts").alias("_texts"), F.expr("bit_xor(_field)").alias("_x")))
+    shape = (alive.drop("_texts").join(shape, ["_leaf", "_line"])
              .where(F.col("_fixed") >= F.col("_len") * fixed_share).withColumn("_template", F.xxhash64("_leaf", "_x", "_fixed")))
     totals = (shape.groupBy("_template").agg(F.sum("_texts").alias("_all"), F.min("_owner").alias("_first"))
               .where(F.col("_all") >= min_docs))
-    drop = shape.join(totals, "_template").select("_leaf", "_line", "_first")
+    drop = shape.join(totals, "_template").where("_all >= _texts").select("_leaf", "_line", "_first")    # holds; see above
     return seen.join(drop, ["_leaf", "_line"]).where(F.col("_key") != F.col("_first")).select("_key", "_line")
 
 
@@ -73,16 +84,17 @@ def _drawers(array: str, digest: str) -> str:
 
 def drop_recurring(docs: DataFrame, text_col: str = "text", counts: bool = False, **options) -> DataFrame:
     """``docs`` without recurring lines; ``counts`` adds n_lines and n_dropped.  See the module for the options."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c != text_col}       # own names, safe from clashes
+    row = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{text_col}`").alias("_text"))
     row = row.withColumn("_key", F.coalesce(F.unhex(F.md5("_text")), F.lit("").cast("binary")))
-    gone = recurring_lines(row.select("_key", "_text"), **options).groupBy("_key").agg(F.collect_set("_line").alias("_g"))
+    gone = recurring_lines(row, **options).groupBy("_key").agg(F.collect_set("_line").alias("_g"))
     gone = gone.select("_key", F.expr(_drawers("_g", "w")).alias("_gone"))
     out = row.join(gone, "_key", "left")
     split = F.split("_text", "\n")
     out = out.withColumn("_kept", F.when(F.col("_gone").isNull(), split).otherwise(
         F.filter(split, lambda line: ~F.array_contains(F.element_at("_gone", (F.pmod(F.xxhash64(line), F.size("_gone")) + 1).cast("int")), F.xxhash64(line)))))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
-    cols = [text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    cols = [text.alias(c) if c == text_col else F.col(names[c]).alias(c) for c in docs.columns]
     if counts:
         n = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size(split))
         cols += [n.cast("long").alias("n_lines"), F.when(F.col("_text").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long").alias("n_dropped")]
