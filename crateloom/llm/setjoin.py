@@ -13,9 +13,9 @@ and swapped where the estimated candidates get fewer, up to ``swaps`` pairs a gr
 
 Candidates are verified exactly on whole shingle sets.  Equal sets are one node from the start.  Within an index entry not all
 pairs are formed: a few centres, the first in a seeded order of nodes, are compared with the others; what is linked becomes one
-component; entries inside one component are done; the others go on with twice as many centres among the nodes that were
-none yet.  So every pair of an entry that could join two components is verified, in a number of rounds logarithmic in the
-largest entry, and a group of near copies costs about a pair a copy.
+component; entries inside one component are done; the others go on with four times as many centres among the nodes that
+were none yet.  So every pair of an entry that could join two components is verified, in a number of rounds logarithmic in the
+largest entry, and a group of near copies costs a few pairs a copy.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing (their component is their
 own id); with fewer than ``width`` words the whole sequence is the one shingle; rows that repeat share a component; the
@@ -356,8 +356,10 @@ def smallest_labels(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(label.select(F.col("_v").alias("_w"), "_c"), "_w").groupBy("_v").agg(F.min("_c").alias("_m"))
         step = label.join(near, "_v").select("_v", F.col("_c").alias("_was"), F.least("_c", "_m").alias("_c"))
-        jump = label.select(F.col("_v").alias("_c"), F.col("_c").alias("_further"))
-        step = stored(step.join(jump, "_c", "left").select("_v", "_was", F.least("_c", F.coalesce("_further", "_c")).alias("_c")), "labels")
+        for _ in range(2):
+            jump = label.select(F.col("_v").alias("_c"), F.col("_c").alias("_further"))
+            step = step.join(jump, "_c", "left").select("_v", "_was", F.least("_c", F.coalesce("_further", "_c")).alias("_c"))
+        step = stored(step, "labels")
         label = step.select("_v", "_c")
         if step.where("_c < _was").isEmpty():
             return label
@@ -374,7 +376,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked_nodes(entries: DataFrame, sets: DataFrame, percent: int, seed: int = 11) -> DataFrame:
     """_node, _c: components of the links between all sets that share an entry (_key, _node, _n, _small)."""
     comp = sets.select("_node", F.col("_node").alias("_c"))
-    open_, centres = entries.select("_key", "_node", "_n", "_small").distinct(), 1
+    open_, centres, done = entries.select("_key", "_node", "_n", "_small").distinct(), 4, None
     while True:
         rows = open_.join(comp, "_node")
         mixed_keys = rows.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.min("_small").alias("_large"))
@@ -387,6 +389,9 @@ def linked_nodes(entries: DataFrame, sets: DataFrame, percent: int, seed: int =
         pairs = (rows.join(mid, "_key").where("_c != _c2 and _small + _small2 < 2")
                  .where(f"100 * least(_n, _n2) >= {percent} * greatest(_n, _n2)")
                  .select(F.least("_node", "_node2").alias("_a"), F.greatest("_node", "_node2").alias("_b")).distinct())
+        # a pair is compared once, however many entries and rounds bring it up
+        pairs = stored(pairs if done is None else pairs.join(done, ["_a", "_b"], "left_anti"), "pairs")
+        done = pairs if done is None else done.unionByName(pairs)
         links = stored(verified(pairs, sets, percent), "links")
         if not links.isEmpty():
             label = comp.select(F.col("_node").alias("_a"), F.col("_c").alias("_ca"))
@@ -394,7 +399,7 @@ def linked_nodes(entries: DataFrame, sets: DataFrame, percent: int, seed: int =
             merged = smallest_labels(links.join(label, "_a").join(other, "_b").select(F.col("_ca").alias("_a"), F.col("_cb").alias("_b")).where("_a != _b").distinct())
             comp = stored(comp.join(merged.select(F.col("_v").alias("_c"), F.col("_c").alias("_new")), "_c", "left").select("_node", F.coalesce("_new", "_c").alias("_c")), "components")
         open_ = rows.join(picked.select("_key", "_node"), ["_key", "_node"], "left_anti").select("_key", "_node", "_n", "_small")
-        centres *= 2
+        centres *= 4
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, swaps: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
