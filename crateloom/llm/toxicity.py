@@ -22,7 +22,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from crateloom.llm.common import per_batch
+from crateloom.llm.common import per_batch, stored
 
 MARKS = b".,;:!?\"'()[]{}|#$%&*<>/\\+=-_~^`@"
 PLAIN = bytes(32 if c in MARKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -92,8 +92,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
 
     def tokens(cols: dict[str, list]) -> dict[str, object]:
         return {"_lid": cols["_lid"], "_h": cols["_h"], **{y: cols[y] for y in ys}, "_w": [sorted(words_of(t)) for t in cols["_text"]]}
-    sample = per_batch(ids.join(texts, "_lid").dropDuplicates(["_lid"]).select("_lid", "_h", *ys, "_text"), tokens,
-                       "_lid bigint, _h bigint, " + "".join(f"{y} int, " for y in ys) + "_w array<binary>")
+    # at most max_rows ids, so they go to the texts and these stay where they are; the words of the sample are stored once
+    near = texts.join(F.broadcast(ids), "_lid").select("_lid", "_h", *ys, "_text")
+    sample = stored(per_batch(near, tokens, "_lid bigint, _h bigint, " + "".join(f"{y} int, " for y in ys) + "_w array<binary>")
+                    .dropDuplicates(["_lid"]), "labelled-words")
     whole = sample.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     n = whole["n"]
     counts = sample.select(F.explode("_w").alias("_word"), *ys).groupBy("_word").agg(F.count("*").alias("_n"), *[F.sum(y).alias(y) for y in ys])
