@@ -56,7 +56,8 @@ def op6_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op7_line_templates(spark: SparkSession, d: str) -> DataFrame:
-    out = lines.drop_recurring(table(spark, d, "documents"), counts=True)
+    # the columns that are returned, no others: both joins of the operator then read one shuffle of the texts
+    out = lines.drop_recurring(table(spark, d, "documents").select("doc_id", "text"), counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
