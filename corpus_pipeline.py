@@ -36,10 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its taken words over its words, rounded up; not at all if none is taken."""
-    mixed = mixing.mix(docs, keep_row=True)
-    rows = mixed.where("taken > 0").select("row", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")))
-    return rows.select("row.*")
+    """Each document in as many whole copies as its taken share rounds to, so that the words of a source add up to its target."""
+    return mixing.whole_copies(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from crateloom.llm.common import n_words, stretch_of, whole_row
 
 PRIME = 2147483647
+#: One copy, in the whole numbers that shares are summed in.
+UNIT = 1 << 24
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -73,7 +75,7 @@ def quotas(plan: DataFrame, block: int, shards: int, cap: int = 3) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), block: int = 32, shards: int = 8, cap: int = 3, seed: int = 29,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_row: bool = False,
         stretches: int = 4096) -> DataFrame:
-    """Columns: id, source, size, source_size, target, taken, per_shard and, with ``keep_row``, row (a struct of the input row).
+    """Columns: id, source, size, source_size, target, taken, per_shard and, with ``keep_row``, row (a struct of the input row) and place (its seeded digest).
 
     ``taken`` counts the tokens the mix takes of the document, repeats included; ``per_shard`` tells how many
     of them go to each shard, an entry a shard.
@@ -104,4 +106,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), block: int = 32,
                     "size", F.col("source_size").cast("long").alias("source_size"), "target",
                     F.element_at("_upto", shards).cast("long").alias("taken"),
                     F.expr("transform(_upto, (u, i) -> u - if(i = 0, 0L, _upto[i - 1]))").alias("per_shard"),
-                    *([F.col("_keep").alias("row")] if keep_row else [])))
+                    *([F.col("_keep").alias("row"), F.col("_h").alias("place")] if keep_row else [])))
+
+
+def whole_copies(docs: DataFrame, stretches: int = 4096, **options) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes its document, in whole copies whose words add up to what it takes of the source.
+
+    The documents of a source lie in the order of their sizes (to 10 bits), then of their seeded digests.  The shares taken / size are summed
+    along this line, and a document gets a copy at every half that the sum passes: its share rounded down or up.  As sizes
+    only grow along the line, the roundings cancel out and a source is off by about one document's words, not by one a document.
+    """
+    key = ["_source", "_none", "_class"]
+    x = (mix(docs, keep_row=True, source_col=options.pop("source_col", "source"), **options).where("taken > 0")
+         .select("row", "place", F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().cast("int").alias("_none"),
+                 F.expr("size div cast(pow(2, greatest(floor(log2(size)) - 9, 0)) as bigint) * cast(pow(2, greatest(floor(log2(size)) - 9, 0)) as bigint)").alias("_class"),
+                 stretch_of("place", stretches).alias("_part"), F.expr(f"taken * {UNIT} div size").alias("_share")))
+    sums = x.groupBy(*key, "_part").agg(F.sum("_share").alias("_sum"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    classes = (sums.groupBy(*key).agg(F.sum("_sum").alias("_sum"))
+               .select(*key, F.coalesce(F.sum("_sum").over(before("_source", "_none").orderBy("_class")), F.lit(0)).alias("_from")))
+    starts = (sums.withColumn("_in", F.coalesce(F.sum("_sum").over(before(*key).orderBy("_part")), F.lit(0)))
+              .join(classes, key).select(*key, "_part", (F.col("_from") + F.col("_in")).alias("_from")))
+    order = before(*key, "_part").orderBy("place", "_share")
+    laid = x.join(starts, [*key, "_part"]).withColumn("_from", F.col("_from") + F.coalesce(F.sum("_share").over(order), F.lit(0)) + UNIT // 2)
+    return (laid.select("row", F.expr(f"cast((_from + _share) div {UNIT} - _from div {UNIT} as int)").alias("_copies"))
+            .where("_copies > 0").select("row", F.explode(F.expr("sequence(1, _copies)"))).select("row.*"))

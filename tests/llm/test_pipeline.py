@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as p
+from crateloom.llm import mixing
 from crateloom.llm.common import stored
 
 
@@ -44,3 +45,27 @@ def test_every_stage(request, spark, which):
 
 def test_run_equals_the_stages(spark):
     assert p.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_pieces", "ids", "round_trip"]
+
+
+def test_mixed_words_meet_the_targets(spark):
+    """A source is off by its largest document and the short blocks at most, whatever its weight."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.unionByName(docs.where("source is not null").selectExpr("-doc_id as doc_id", "concat(text, ' ', doc_id) as text", "lang", "null as source", "n_chars").limit(200))
+    plan, got = mixing.mix(docs).collect(), Counter()
+    target, largest = {r.source: r.target for r in plan}, Counter()
+    for r in plan:
+        largest[r.source] = max(largest[r.source], r["size"])
+    for r in p.mix_sources(spark, docs, "unused").collect():
+        got[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert len(target) > 2
+    for s, t in target.items():
+        assert abs(got[s] - t) <= largest[s] + 64 + 0.01 * t, (s, got[s], t)
+
+
+def test_copies_are_the_share_rounded_down_or_up(odd):
+    taken = Counter(), Counter()
+    for r in mixing.mix(odd, keep_row=True).collect():
+        taken[0][tuple(r.row)] += r.taken // max(r["size"], 1)
+        taken[1][tuple(r.row)] += -(-r.taken // max(r["size"], 1))
+    got = Counter(tuple(r) for r in mixing.whole_copies(odd).collect())
+    assert got and all(taken[0][k] <= got[k] <= taken[1][k] for k in taken[0].keys() | got.keys())
