@@ -233,6 +233,27 @@ def test_chain_on_held_out_rows(spark):
     assert set(map(lambda w: w.decode(), chain.words)) & insults
 
 
+def test_chain_tells_toxic_texts_of_every_language(spark):
+    """Held-out labels, whatever words the texts have: recall and false alarms by language."""
+    sf = "/root/testdata/sf0.1"
+    docs_, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit(docs_, labels.where("doc_id % 4 <> 1"), ("low_quality", "toxic"))
+    held = docs_.join(labels.where("doc_id % 4 = 1").select("doc_id"), "doc_id", "left_semi")
+    got = toxicity.score(held, chain, ("low_quality", "toxic")).join(labels, "doc_id").join(docs_.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("en", "fr", "de", "es"):
+        toxic, clean = ([r.p_toxic >= 0.5 for r in got if r.lang == lang and r.toxic == t] for t in (1, 0))
+        assert sum(toxic) >= 0.8 * len(toxic) > 0, (lang, sum(toxic), len(toxic))
+        assert sum(clean) <= 0.02 * len(clean), (lang, sum(clean), len(clean))
+
+
+def test_chain_counts_copies_once(spark):
+    docs_ = [(i, f"copied{i // 100}words stay") for i in range(200)] + [(200 + i, f"single text{i}") for i in range(200)]
+    labels = [(i, int(i < 200)) for i in range(400)]
+    chain = toxicity.fit(spark.createDataFrame(docs_, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, x int"), ("x",))
+    assert not chain.words
+
+
 def test_chain_feeds_earlier_probabilities(spark):
     rng = random.Random(8)
     rows, labels = [], []
