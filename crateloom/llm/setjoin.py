@@ -151,9 +151,9 @@ def bands(top: int, percent: int) -> list[int]:
 
 def band_of(n: int, percent: int) -> tuple[int, int, int]:
     """(band, last size in it, last size in the next) of a set of ``n`` shingles."""
-    edges = bands(bands(n, percent)[-1], percent)
+    edges = bands(n, percent)
     at = bisect.bisect_right(edges, n) - 1
-    return at, edges[at + 1] - 1, edges[at + 2] - 1 if at + 2 < len(edges) else edges[at + 1] * 100 // percent
+    return at, edges[at + 1] - 1, edges[at + 1] * 100 // percent
 
 
 def tolerance(largest: int, percent: int) -> int:
@@ -336,7 +336,8 @@ def allocate(entries: DataFrame, in_group: DataFrame, swaps: int) -> DataFrame:
 def group_rows(nodes: DataFrame, percent: int) -> DataFrame:
     """_group, _rows: shingles of all sets of the group, a segment's share of them."""
     top = nodes.agg(F.max("_n")).first()[0] or 1
-    edges = bands(bands(top, percent)[-1], percent)
+    edges = [*bands(top, percent)]
+    edges.append(edges[-1] * 100 // percent + 1)                # the last band of sets has partners in the next
     band = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("_n"))) - 1
     per = nodes.where("_n > 0").select(F.explode(F.array(band, band + 1)).alias("_group"), "_n").groupBy("_group").agg(F.sum("_n").alias("_all"))
     share = F.lit(None).cast("double")

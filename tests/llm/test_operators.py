@@ -364,6 +364,19 @@ def test_allocation_swaps_costly_segments(spark):
     assert swapped(40_000.0) == [(1, 1, 0)] and swapped(60_000.0) == []
 
 
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_bands_do_not_grow_with_calls(percent):
+    setjoin.band_of(5000, percent)
+    before = len(setjoin._EDGES[percent])
+    got = [setjoin.band_of(n, percent) for n in range(1, 5001)]
+    assert len(setjoin._EDGES[percent]) == before
+    edges = [1]
+    while len(edges) < before + 2:
+        edges.append(edges[-1] * 100 // percent + 1)
+    for n, (band, last, further) in enumerate(got, 1):
+        assert edges[band] <= n <= last == edges[band + 1] - 1 and further == edges[band + 2] - 1
+
+
 def test_bands_hold_partners():
     for percent in (70, 80, 90):
         edges = setjoin.bands(5000, percent)
