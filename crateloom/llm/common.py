@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crateloom.session import ensure_checkpoint_dir
@@ -84,3 +85,17 @@ def _arrow(schema: str) -> pa.Schema:
     def kind(name: str) -> pa.DataType:
         return pa.list_(kind(name[6:-1])) if name.startswith("array<") else kinds[name]
     return pa.schema([(c.split()[0], kind(c.split()[1])) for c in schema.split(", ")])
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], text: int, rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of at most ``rows`` rows and about ``size`` bytes in column number ``text``; a longer text is a slice of its own."""
+    for b in batches:
+        held = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        at = total = 0
+        for i, n in enumerate(held.tolist()):
+            if i > at and (i - at >= rows or total + n > size):
+                yield b.slice(at, i - at)
+                at, total = i, 0
+            total += n
+        if at < b.num_rows:
+            yield b.slice(at)

@@ -61,3 +61,16 @@ SELECT doc_id, size, source_size, target, source,
        CAST(sum(CASE WHEN size = 0 THEN 0 ELSE (least(upto, (i + 1) * 32) - greatest(upto - size, i * 32))
                 * (q // blocks + CASE WHEN (i * 2147483647 + shift) % blocks < q % blocks THEN 1 ELSE 0 END) END) AS BIGINT) AS taken
 FROM hit GROUP BY doc_id, size, source_size, target, source, h, upto"""
+
+
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.id AS anchor_id, v.id AS other, a.label = v.label AS same, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+      FROM v AS a JOIN v ON a.id % 100 = 0 AND a.id <> v.id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.*, other AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""

@@ -1,17 +1,19 @@
 """The operators as queries over the given tables, and the SQL for those that SQL can express."""
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crateloom.llm import bands, langid, lengths, lines, media, mixing, oracles, pieces, setjoin, shards, toxicity
+from crateloom.llm import bands, bpe, langid, lengths, lines, media, mixing, negatives, oracles, pieces, runs, setjoin, shards, toxicity
 from crateloom.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
 CATEGORIES = ("low_quality", "toxic")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op6_ngram_jaccard": oracles.NGRAM_JACCARD, "op7_line_templates": oracles.LINE_TEMPLATES, "op8_mix_sources": oracles.MIX_SOURCES}
+ORACLES: dict[str, str] = {"op6_ngram_jaccard": oracles.NGRAM_JACCARD, "op7_line_templates": oracles.LINE_TEMPLATES, "op8_mix_sources": oracles.MIX_SOURCES,
+                           "op13_tree_negatives": oracles.HARD_NEGATIVES}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -80,3 +82,37 @@ def op10_string_kernel_language(spark: SparkSession, d: str) -> DataFrame:
     marked = docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("_row"), "doc_id", "text", "lang")
     out = langid.identify(marked, learn, id_col="_row")
     return out.select("_row.doc_id", "_row.held_out", "lang_pred", "score")
+
+
+@query
+def op11_backtracking_bpe(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = bpe.encode(docs, f"{TOKENIZERS}/byte_bpe_50k.json", decoded=True)
+    digest = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_tokens", digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The query's input: every tenth document repeats a few of its words up to its end."""
+    h = 1 if doc_id is None else zlib.crc32(b"%d" % doc_id)
+    if h % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    out = runs.periodic_runs(table(spark, d, "documents"), rewrite=_with_period)
+    lines_ = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.when(F.size(lines_) > 0, F.concat(F.array_join(lines_, "\n"), F.lit("\n"))).otherwise("")
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
+                      F.sha2(F.coalesce("collapsed", F.lit("")).cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+
+
+@query
+def op13_tree_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10, low=30, high=90)
