@@ -3,8 +3,8 @@
 A plain ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task.  These
 helpers keep the exact result while splitting long series:
 
-* :func:`index_rows` numbers rows per key from a range-partitioned sort, so a key that owns a
-  third of the table is spread over a third of the partitions;
+* :func:`index_rows` numbers rows per key; a key with many rows is cut at quantiles of its order into
+  parts that are numbered apart;
 * :func:`halo_window` evaluates bounded frames per fixed-size chunk of that numbering, copying
   only the few border rows neighbouring chunks need;
 * :func:`carry_last` and :func:`running_sum` combine per-chunk results with a prefix over the
@@ -16,41 +16,86 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from crateloom.session import cut
-
 CHUNK = 16384
+#: A key with this share of all rows is always cut; cuts are looked up in stretches of this many.
+PARTS, STRETCH = 32768, 64
 
 
 def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-               idx: str = "idx", total: str | None = None) -> DataFrame:
+               idx: str = "idx", total: str | None = None, limit: int = CHUNK) -> DataFrame:
     """Add the 0-based position of each row inside its key (and optionally the key's size).
 
-    ``keys + order`` must identify a row, otherwise equal rows are numbered arbitrarily.  The
-    sort is range partitioned over keys *and* order; the checkpoint pins its boundaries so that
-    counting and numbering see the same partitions even after an executor is lost.
+    ``keys + order`` must identify a row, otherwise equal rows are numbered arbitrarily; ``order``
+    ascends, nulls first.  A key of at most ``limit`` rows (and at least a 32,768th of all) is numbered
+    by one window.  A larger one is cut at quantiles of a sample of its order: each row finds its
+    part, the parts are counted, and a row's number is the sum of the parts before plus its number
+    in its part.  The rows themselves are shuffled once and nothing is written.
     """
-    keys = list(keys)
-    srt = (df.orderBy(*keys, *order)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    srt = cut(srt)
-    parts = srt.groupBy("_pid", *keys).agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
-    # one row per (partition, key): bounded by the number of partitions for any one key
-    prior = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_pid", *keys, "_first",
-                           F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"),
-                           F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
-    renamed = offsets.select(F.col("_pid").alias("_p2"), "_first", "_off", "_total",
-                             *[F.col(k).alias(f"_k_{k}") for k in keys])
-    cond = F.col("_pid") == F.col("_p2")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    # every row has its offset; as an outer join the long side can never be the broadcast one
-    out = srt.join(renamed, cond, "left").withColumn(
-        idx, (F.col("_mid") - F.col("_first") + F.col("_off")).cast("long"))
+    keys, order = list(keys), [F.col(c) if isinstance(c, str) else c for c in order]
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    rows, most = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
+    limit = max(limit, (rows or 0) // PARTS)
+    if (most or 0) <= limit:
+        w = Window.partitionBy(*keys)
+        out = df.withColumn(idx, (F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
+        return out.withColumn(total, F.count("*").over(w)) if total else out
+    facts = _cuts(df, keys, order, sizes.filter(F.col("_rows") > limit), limit)
+    placed = _in_parts(df, keys, order, facts)
+    w = Window.partitionBy(*keys, "_part")
+    out = placed.withColumn(idx, (F.coalesce(F.get("_before", F.col("_part")), F.lit(0)) + F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
     if total:
-        out = out.withColumn(total, F.col("_total").cast("long"))
-    return out.drop("_pid", "_mid", "_p2", "_first", "_off", "_total", *[f"_k_{k}" for k in keys])
+        out = out.withColumn(total, F.coalesce(F.col("_rows"), F.count("*").over(w)).cast("long"))
+    return out.drop("_part", "_before", "_rows")
+
+
+def _cuts(df: DataFrame, keys: list[str], order: list[Column], large: DataFrame, limit: int) -> DataFrame:
+    """A row per large key: its size, its cuts in stretches of ``STRETCH``, and the rows before each part.
+
+    There are at most ``PARTS`` large keys with 4 * ``PARTS`` parts in all, so this table is sent to the
+    tasks whatever the size of ``df``.
+    """
+    spark, names = df.sparkSession, [f"_k{i}" for i in range(len(keys))]
+    own = [F.col(k).alias(n) for k, n in zip(keys, names)]
+    big = large.select(*own, "_rows", F.ceil(F.col("_rows") * 2 / limit).alias("_parts"))
+    big = F.broadcast(spark.createDataFrame(big.collect(), big.schema))
+    step = F.greatest(F.lit(1), F.expr("_rows div (_parts * 16)"))                    # about 16 sampled rows a part
+    point = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    rows = df.select(*own, point.alias("_o"))
+    seen = _meet(rows, big, names).filter(F.pmod(F.xxhash64("_o"), step) == 0)
+    cuts = seen.groupBy(*names, "_rows", "_parts").agg(F.array_sort(F.collect_set("_o")).alias("_s"))
+    cuts = cuts.select(*names, "_rows", F.expr("filter(_s, (x, i) -> i > 0 and i % greatest(1, size(_s) div cast(_parts as int)) = 0)").alias("_s"))
+    cuts = cuts.select(*names, "_rows", F.expr(f"transform(sequence(0, size(_s) div {STRETCH}), b -> slice(_s, b * {STRETCH} + 1, {STRETCH}))").alias("_cuts"))
+    table = F.broadcast(spark.createDataFrame(cuts.collect(), cuts.schema))
+    counts = _meet(rows, table, names).groupBy(*names, _part("_o").alias("_part")).agg(F.count("*").alias("_n"))
+    counts = counts.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("_part", "_n"))).alias("_m"))
+    before = F.expr("transform(sequence(0, cast(array_max(map_keys(_m)) as int)), p -> aggregate(map_keys(_m), 0L, (a, q) -> a + if(q < p, _m[q], 0L)))")
+    facts = _meet(counts, table, names).select(*names, "_rows", "_cuts", before.alias("_before"))
+    return spark.createDataFrame(facts.collect(), facts.schema)
+
+
+def _meet(rows: DataFrame, table: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join by the columns ``names`` of both, nulls equal."""
+    if not names:
+        return rows.crossJoin(table)                                                  # one row: the whole table is the key
+    right = table.select(*[F.col(n).alias(f"{n}_") for n in names], *[c for c in table.columns if c not in names])
+    cond = F.lit(True)
+    for n in names:
+        cond = cond & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    return rows.join(right, cond, how).drop(*[f"{n}_" for n in names])
+
+
+def _part(point: str) -> Column:
+    """The number of cuts at or before a point: the stretch by its first cuts, the place in it by the others."""
+    stretch = f"greatest(size(filter(_cuts, (s, i) -> i > 0 and size(s) > 0 and s[0] <= {point})), 0)"
+    return F.expr(f"cast({stretch} * {STRETCH} + size(filter(_cuts[{stretch}], c -> c <= {point})) as int)")
+
+
+def _in_parts(df: DataFrame, keys: list[str], order: list[Column], facts: DataFrame) -> DataFrame:
+    """``df`` with the part of each row (0 for small keys), its key's rows and the rows before each part."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    work = df.withColumns({n: F.col(k) for k, n in zip(keys, names)} | {"_o": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])})
+    work = _meet(work, F.broadcast(facts), names, "left")
+    return work.withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(_part("_o"))).drop("_cuts", "_o", *names)
 
 
 def halo_window(df: DataFrame, keys: Sequence[str], idx: str, before: int, after: int,

@@ -67,7 +67,7 @@ def limit_list(df: DataFrame, by: str, budget: float, order: str = "added", seed
         df = df.withColumn("_rnd", F.xxhash64(F.col(id_col), F.lit(seed)))
         rank = ["_rnd", id_col]
     else:
-        rank = [F.desc_nulls_last(added), F.asc(id_col)]
+        rank = [F.col(added).isNull(), -F.col(added), F.col(id_col)]                  # latest first, unknown last
     numbered = index_rows(df.withColumns({"_cost": cost, "_all": F.lit(0)}), ["_all"], rank, "_i")
     total = running_sum(numbered, ["_all"], "_i", "_cost", "_sum")
     return total.filter(F.round("_sum", 6) <= budget).select(*[c for c in df.columns if c != "_rnd"])
