@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from crateloom.operators.ordering import carry_last, exact_percentiles, halo_window, index_rows
+from crateloom.operators.ordering import CHUNK, carry_last, exact_percentiles, halo_window, index_rows
+from crateloom.operators.scan import borders, level_hits
 
 Keys = Sequence[str]
 EPS = 1e-9
@@ -175,11 +177,11 @@ def _middle(ordered: Column) -> Column:
     return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
 
 
-def tempo_changes(beats: DataFrame, keys: Keys, idx: str, bpm: str, at: str, threshold: float = 0.02) -> DataFrame:
+def tempo_changes(beats: DataFrame, keys: Keys, idx: str, bpm: str, at: str, threshold: float = 0.02, chunk: int = CHUNK) -> DataFrame:
     """Places where the tempo lastingly moves by more than the threshold, with the new tempo.
 
-    The medians looking ahead are windows.  The walk that remembers the present tempo runs over
-    the change points only.
+    The medians looking ahead are windows.  The walk that remembers the present tempo is a scan
+    over chunks of the change points.
     """
     def build(w):
         ahead, later = w.rowsBetween(0, 7), w.rowsBetween(4, 15)
@@ -188,48 +190,41 @@ def tempo_changes(beats: DataFrame, keys: Keys, idx: str, bpm: str, at: str, thr
     # a row whose own tempo is far from the level behind it reports again even when repeated
     again = (F.abs(F.col(bpm) - F.col("_level")) / F.col("_level") > threshold) & (F.abs(F.col("_win") - F.col("_level")) / F.col("_level") > threshold)
     marks = _runs(halo_window(beats, keys, idx, 0, 15, build), keys, idx, [bpm, "_win", "_level"], F.coalesce(again, F.lit(False)))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(at).alias("at"), F.col(bpm).alias("b"),
-                                                F.col("_win").alias("w"), F.col("_level").alias("l"))))
-    per = marks.groupBy(*keys).agg(rows.alias("_rows"))
-    start = F.struct(F.element_at("_rows", 1)["b"].cast("double").alias("cur"),
-                     F.array().cast("array<struct<at:double,bpm:double>>").alias("out"))
-
-    def step(s, r):
-        moved = (F.abs(r["b"] - s["cur"]) / s["cur"] > threshold) & (F.abs(r["w"] - s["cur"]) / s["cur"] > threshold)
-        hit = F.struct(r["l"].cast("double").alias("cur"), F.concat(s["out"], F.array(F.struct(
-            r["at"].cast("double").alias("at"), r["l"].cast("double").alias("bpm")))).alias("out"))
-        return F.when(F.coalesce(moved, F.lit(False)), hit).otherwise(s)
-    return (per.withColumn("_out", F.aggregate("_rows", start, step)["out"])
-            .select(*keys, F.explode("_out").alias("_c")).select(*keys, F.col("_c.at").alias("at"), F.col("_c.bpm").alias("new_bpm")))
-
-
-def tempo_sections(beats: DataFrame, keys: Keys, idx: str, bpm: str, min_change: float = 1.0, min_beats: int = 8) -> DataFrame:
+
+    def ranges(b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels close to the row's own or to the coming tempo are kept, and levels that are no tempo."""
+        lows, highs = [np.full(len(b), -np.inf)], [np.zeros(len(b))]
+        for x in (b, w):
+            low, high = borders(lambda c, x=x: np.abs(x - c) / c <= threshold, x / (1 + threshold), x / (1 - threshold))
+            lows.append(low)
+            highs.append(high)
+        return np.stack(lows, 1), np.stack(highs, 1)
+    hits = level_hits(marks.withColumn("_time", F.col(at).cast("double")), keys, idx, "_level", bpm, ranges, [bpm, "_win"], ["_time", "_level"], chunk)
+    return hits.select(*keys, F.col("_time").alias("at"), F.col("_level").cast("double").alias("new_bpm"))
+
+
+def tempo_sections(beats: DataFrame, keys: Keys, idx: str, bpm: str, min_change: float = 1.0, min_beats: int = 8, chunk: int = CHUNK) -> DataFrame:
     """Stretches of constant tempo (start, end exclusive, median tempo); shorter ones are dropped
-    unless nothing else is left."""
+    unless nothing else is left.  Section starts come from a scan over chunks of the change points."""
     keys = list(keys)
-    sizes = beats.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ends = beats.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(idx).cast("long").alias("start_beat"))
     marks = _runs(beats.select(*keys, idx, bpm), keys, idx, [bpm])
-    per = (marks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).cast("long").alias("i"), F.col(bpm).cast("double").alias("b")))).alias("_rows"))
-           .join(sizes, keys))
-    first = F.element_at("_rows", 1)
-    start = F.struct(first["i"].alias("i"), first["b"].alias("b"), F.array().cast("array<struct<a:bigint,z:bigint>>").alias("out"))
-
-    def step(s, r):
-        closed = F.when(r["i"] - s["i"] >= min_beats, F.concat(s["out"], F.array(F.struct(s["i"].alias("a"), r["i"].alias("z"))))).otherwise(s["out"])
-        return F.when(F.abs(r["b"] - s["b"]) > min_change, F.struct(r["i"].alias("i"), r["b"].alias("b"), closed.alias("out"))).otherwise(s)
-
-    def close(s):
-        last = F.array(F.struct(s["i"].alias("a"), F.col("_n").alias("z")))
-        return F.when((F.col("_n") - s["i"] >= min_beats) | (F.size(s["out"]) == 0), F.concat(s["out"], last)).otherwise(s["out"])
-    walked = per.withColumn("_s", F.aggregate("_rows", start, step))
-    sections = (walked.withColumn("_all", close(F.col("_s"))).select(*keys, F.explode("_all").alias("_x"))
-                .select(*keys, F.col("_x.a").alias("start_beat"), F.col("_x.z").alias("end_beat")))
+
+    def ranges(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = borders(lambda c: np.abs(b - c) <= min_change, b - min_change, b + min_change)
+        return low[:, None], high[:, None]
+    moved = level_hits(marks, keys, idx, bpm, bpm, ranges, [bpm], (), chunk)
+    starts = ends.select(*keys, "start_beat").unionByName(moved.select(*keys, F.col(idx).alias("start_beat")))
+    numbered = index_rows(starts, keys, ["start_beat"], "_j")
+    spans = halo_window(numbered, keys, "_j", 0, 1, lambda w: {"_next": F.lead("start_beat").over(w)}).join(ends.drop("start_beat"), keys)
+    spans = spans.withColumn("end_beat", F.coalesce("_next", "_n")).withColumn("_long", F.col("end_beat") - F.col("start_beat") >= min_beats)
+    some = spans.groupBy(*keys).agg(F.max("_long").alias("_some"))
+    sections = spans.join(some, keys).filter(F.col("_long") | (F.col("_next").isNull() & ~F.col("_some"))).select(*keys, "start_beat", "end_beat")
     # every beat learns its section from the section start at or before it
     tagged = beats.select(*keys, idx, bpm).join(sections.select(*keys, F.col("start_beat").alias(idx), "start_beat", "end_beat"), [*keys, idx], "left")
     tagged = carry_last(tagged.withColumn("_sec", F.when(F.col("start_beat").isNotNull(), F.struct("start_beat", "end_beat"))), keys, idx, "_sec", "_sec")
-    inside = tagged.filter(F.col(idx) < F.col("_sec.end_beat"))
-    return (inside.groupBy(*keys, F.col("_sec.start_beat").alias("start_beat"), F.col("_sec.end_beat").alias("end_beat"))
-            .agg(F.median(bpm).alias("section_bpm")))
+    inside = tagged.filter(F.col(idx) < F.col("_sec.end_beat")).select(*keys, F.col("_sec.start_beat").alias("start_beat"), bpm)
+    return sections.join(exact_percentiles(inside, [*keys, "start_beat"], bpm, {"section_bpm": 0.5}), [*keys, "start_beat"], "left")
 
 
 def check_beatgrid(beats: DataFrame, durations: DataFrame, keys: Keys, idx: str, at: str, num: str, bpm: str,
