@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crateloom.functions.text import basename, collapse, extension, nfc, nfd, norm_key, stem
-from crateloom.operators.ordering import carry_last, index_rows, running_sum
+from crateloom.operators.ordering import along, index_rows
 from crateloom.operators.stats import mark_flags
 from crateloom.session import cut
 
@@ -308,9 +308,8 @@ def match_cloud(entries: DataFrame, catalog: DataFrame, entry: str = "entry_id")
     steps = cat.filter("_cd > 0").select("_key", F.col("_cd").alias("_at"), F.lit(1).alias("_kind"), "path", F.lit(None).cast(rest.schema[entry].dataType).alias(entry))
     ends = F.explode(F.array(F.struct((F.col("_d") - DURATION_TOLERANCE).alias("_at"), F.lit(0).alias("_kind")), F.struct((F.col("_d") + DURATION_TOLERANCE).alias("_at"), F.lit(2).alias("_kind"))))
     asked = rest.select("_key", entry, ends.alias("_e")).select("_key", "_e._at", "_e._kind", F.lit(None).cast("string").alias("path"), entry)
-    line = index_rows(steps.unionByName(asked), ["_key"], ["_at", "_kind", "path", entry], "_i")
-    line = running_sum(line.withColumn("_one", (F.col("_kind") == 1).cast("int")), ["_key"], "_i", "_one", "_upto")
-    line = carry_last(line, ["_key"], "_i", "path", "_last").filter("_kind <> 1")
+    line = along(steps.unionByName(asked).withColumn("_one", (F.col("_kind") == 1).cast("int")), ["_key"], ["_at", "_kind", "path", entry],
+                 {"_upto": "_one"}, {"_last": "path"}).filter("_kind <> 1")
     near = (line.groupBy(entry).agg((F.max(F.when(F.col("_kind") == 2, F.col("_upto"))) - F.max(F.when(F.col("_kind") == 0, F.col("_upto")))).alias("n"),
                                     F.max(F.when(F.col("_kind") == 2, F.col("_last"))).alias("path")))
     return sized.unionByName(near).filter("n = 1").select(entry, "path")

@@ -26,7 +26,7 @@ def set_items(items: DataFrame, order: Sequence[str], list_id: str = "list_id",
               path: str = "path") -> DataFrame:
     """Replace the contents of lists: unique paths with gapless positions."""
     uniq = ordered_unique(items, order, list_id, path)
-    return index_rows(uniq, [list_id], [*order, path], "pos").select(list_id, path, "pos")
+    return index_rows(uniq, [list_id], [*order, path], "pos", at_most=items.select(list_id)).select(list_id, path, "pos")
 
 
 def add_items(existing: DataFrame, new: DataFrame, order: Sequence[str], list_id: str = "list_id",
@@ -63,7 +63,9 @@ def sync_membership(own: DataFrame, sides: dict[str, DataFrame], baseline: DataF
         blanks[column] = value
         return df.filter(F.col(path).isNotNull()).select(list_id, path, *[v.alias(k) for k, v in blanks.items()])
     parts = [tagged(df, f"pos_{n}", F.col(order).cast("double")) for n, df in {"own": own, **sides}.items()]
-    parts += [tagged(baseline.filter(F.col("side") == n), f"base_{n}", F.lit(True)) for n in names]
+    blank = {f"pos_{n}": F.lit(None).cast("double") for n in names}
+    parts.append(baseline.filter(F.col(path).isNotNull()).select(
+        list_id, path, *[v.alias(k) for k, v in blank.items()], *[F.when(F.col("side") == n, True).alias(f"base_{n}") for n in names]))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -85,8 +87,11 @@ def sync_membership(own: DataFrame, sides: dict[str, DataFrame], baseline: DataF
 
 
 def sync_items(membership: DataFrame, sides: Sequence[str], list_id: str = "list_id",
-               path: str = "path") -> DataFrame:
-    """Merged content in order: ours, then what each side adds in its own order."""
+               path: str = "path", at_most: DataFrame | None = None) -> DataFrame:
+    """Merged content in order: ours, then what each side adds in its own order.
+
+    ``at_most``: rows with the list ids of everything that went into ``membership``, if these are cheap to count.
+    """
     names = ["own", *sides]
     kept = membership.filter("in_result")
     source = F.lit(None).cast("int")
@@ -95,7 +100,7 @@ def sync_items(membership: DataFrame, sides: Sequence[str], list_id: str = "list
         source = F.when(F.col(f"pos_{n}").isNotNull(), i).otherwise(source)
         place = F.when(F.col(f"pos_{n}").isNotNull(), F.col(f"pos_{n}")).otherwise(place)
     kept = kept.select(list_id, path, F.coalesce(source, F.lit(len(names))).alias("_src"), place.alias("_at"))
-    return index_rows(kept, [list_id], ["_src", "_at", path], "pos").select(list_id, path, "pos")
+    return index_rows(kept, [list_id], ["_src", "_at", path], "pos", at_most=at_most).select(list_id, path, "pos")
 
 
 def sync_plan(membership: DataFrame, sides: Sequence[str], list_id: str = "list_id",

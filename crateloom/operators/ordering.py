@@ -22,7 +22,7 @@ PARTS, STRETCH = 32768, 64
 
 
 def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-               idx: str = "idx", total: str | None = None, limit: int = CHUNK) -> DataFrame:
+               idx: str = "idx", total: str | None = None, limit: int = CHUNK, at_most: DataFrame | None = None) -> DataFrame:
     """Add the 0-based position of each row inside its key (and optionally the key's size).
 
     ``keys + order`` must identify a row, otherwise equal rows are numbered arbitrarily; ``order``
@@ -30,16 +30,18 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     by one window.  A larger one is cut at quantiles of a sample of its order: each row finds its
     part, the parts are counted, and a row's number is the sum of the parts before plus its number
     in its part.  The rows themselves are shuffled once and nothing is written.
+
+    ``at_most`` is a table with at least as many rows of each key that is cheaper to count; where it shows
+    that all keys are small, ``df`` is not counted.
     """
     keys, order = list(keys), [F.col(c) if isinstance(c, str) else c for c in order]
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    rows, most = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
-    limit = max(limit, (rows or 0) // PARTS)
-    if (most or 0) <= limit:
+    small = _large_keys(at_most, keys, limit)[1] is None if at_most is not None else False
+    limit, large = (limit, None) if small else _large_keys(df, keys, limit)
+    if large is None:
         w = Window.partitionBy(*keys)
         out = df.withColumn(idx, (F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
         return out.withColumn(total, F.count("*").over(w)) if total else out
-    facts = _cuts(df, keys, order, sizes.filter(F.col("_rows") > limit), limit)
+    facts = _cuts(df, keys, order, large, limit)
     placed = _in_parts(df, keys, order, facts)
     w = Window.partitionBy(*keys, "_part")
     out = placed.withColumn(idx, (F.coalesce(F.get("_before", F.col("_part")), F.lit(0)) + F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
@@ -48,6 +50,14 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return out.drop("_part", "_before", "_rows")
 
 
+def _large_keys(df: DataFrame, keys: list[str], limit: int) -> tuple[int, DataFrame | None]:
+    """The rows a key may have to be numbered by one window, and the keys with more (None if there are none)."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    rows, most = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
+    limit = max(limit, (rows or 0) // PARTS)
+    return limit, None if (most or 0) <= limit else sizes.filter(F.col("_rows") > limit)
+
+
 def _cuts(df: DataFrame, keys: list[str], order: list[Column], large: DataFrame, limit: int) -> DataFrame:
     """A row per large key: its size, its cuts in stretches of ``STRETCH``, and the rows before each part.
 
@@ -147,6 +157,39 @@ def carry_last(df: DataFrame, keys: Sequence[str], idx: str, event: str, out: st
             .select(*[c for c in df.columns if c != out], out))
 
 
+def along(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, str] | None = None,
+          lasts: dict[str, str] | None = None, limit: int = CHUNK) -> DataFrame:
+    """Running totals (output -> value column) and latest non-null values (output -> column) up to each row.
+
+    As :func:`index_rows`, small keys take one window; the parts of a large key are summed apart and what
+    the parts before them leave is added.
+    """
+    keys, order = list(keys), [F.col(c) if isinstance(c, str) else c for c in order]
+    sums, lasts = sums or {}, lasts or {}
+    limit, large = _large_keys(df, keys, limit)
+    if large is None:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({o: F.sum(c).over(upto) for o, c in sums.items()} | {o: F.last(c, ignorenulls=True).over(upto) for o, c in lasts.items()})
+    facts = _cuts(df, keys, order, large, limit)
+    placed = _in_parts(df, keys, order, facts).drop("_before", "_rows")
+    upto = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({o: F.sum(c).over(upto) for o, c in sums.items()} | {o: F.last(c, ignorenulls=True).over(upto) for o, c in lasts.items()})
+    # what each part leaves: a row a part, so small that one window a key takes them
+    point = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    left = placed.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())],
+                                              *[F.max_by(c, F.when(F.col(c).isNotNull(), point)).alias(f"_l{i}") for i, c in enumerate(lasts.values())])
+    prior = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_k{i}" for i in range(len(keys))]
+    carry = left.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_part").alias(f"_k{len(keys)}"),
+                        *[F.sum(f"_s{i}").over(prior).alias(f"_s{i}") for i in range(len(sums))],
+                        *[F.last(f"_l{i}", ignorenulls=True).over(prior).alias(f"_l{i}") for i in range(len(lasts))])
+    marked = out.withColumns({n: F.col(k) for k, n in zip([*keys, "_part"], [*names, f"_k{len(keys)}"])})
+    out = _meet(marked, carry, [*names, f"_k{len(keys)}"], "left")
+    out = out.withColumns({o: F.when(F.col(f"_s{i}").isNull(), F.col(o)).otherwise(F.col(f"_s{i}") + F.coalesce(o, F.lit(0))) for i, o in enumerate(sums)}
+                          | {o: F.coalesce(o, f"_l{i}") for i, o in enumerate(lasts)})
+    return out.select(*df.columns, *sums, *lasts)
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str,
                 chunk: int = CHUNK) -> DataFrame:
     """Inclusive running total of ``value`` along ``idx``."""

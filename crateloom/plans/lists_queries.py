@@ -71,9 +71,9 @@ def membership(spark, sf):
     i = items(spark, sf)
 
     def side(flag):
-        return i.filter(F.col("flag") == flag).groupBy("list_id", "path").agg(F.min("o1").alias("pos"))
+        return i.filter(F.col("flag") == flag).select("list_id", "path", F.col("o1").alias("pos"))      # the least place counts
     base = (i.filter("state = 'O'").select("list_id", "path", F.expr(
-        "CASE WHEN o2 % 3 = 0 THEN 'own' WHEN o2 % 3 = 1 THEN 'a' ELSE 'b' END").alias("side")).distinct())
+        "CASE WHEN o2 % 3 = 0 THEN 'own' WHEN o2 % 3 = 1 THEN 'a' ELSE 'b' END").alias("side")))
     lists = i.select("list_id").distinct().selectExpr(
         "list_id", "CASE WHEN list_id % 7 = 0 THEN 'smart' ELSE 'playlist' END AS kind",
         "list_id % 5 = 0 AS first_a", "list_id % 4 = 0 AS first_b")
@@ -84,7 +84,7 @@ def membership(spark, sf):
 SELECT list_id, path, row_number() OVER (PARTITION BY list_id ORDER BY CASE WHEN p0 IS NOT NULL THEN 0 WHEN pa IS NOT NULL THEN 1 WHEN pb IS NOT NULL THEN 2 ELSE 3 END,
   coalesce(p0, pa, pb), path) - 1 AS pos FROM g WHERE keep"""))
 def s1(spark, sf):
-    return ls.sync_items(membership(spark, sf), ["a", "b"])
+    return ls.sync_items(membership(spark, sf), ["a", "b"], at_most=items(spark, sf).select("list_id"))
 
 
 @query("s2_sync_plan", with_ctes(SYNC + """

@@ -131,3 +131,17 @@ def test_one_long_series_is_spread(spark):
             level = b
             want.append(i)
     assert [r.idx for r in hits] == want and seen.value >= 2 * (n // od.CHUNK)
+
+
+@pytest.mark.parametrize("limit", [50, 10_000])
+def test_totals_and_latest_values_along_an_order(spark, limit):
+    rng = random.Random(2)
+    rows = [("hot" if i % 4 else None if i % 8 else "k", rng.randrange(40), i, rng.randrange(9) if i % 3 else None) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k string, v int, id long, x int").repartition(5)
+    got = {r.id: (r.s, r.l) for r in od.along(df, ["k"], ["v", "id"], {"s": "x"}, {"l": "x"}, limit=limit).collect()}
+    want, state = {}, {}
+    for k, v, i, x in sorted(rows, key=lambda r: (r[1], r[2])):
+        s, last = state.get(k, (None, None))
+        state[k] = (s if x is None else (s or 0) + x, last if x is None else x)
+        want[i] = state[k]
+    assert got == want
