@@ -24,7 +24,18 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more: what was made of them must be stored itself."""
+    for t in tables:
+        if t is not None and hasattr(t, "stored_at"):
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_row(df: DataFrame) -> Column:

@@ -1,6 +1,6 @@
 """Language identification with a blended-spectrum string kernel.
 
-A text is the set of character n-grams (lengths 1 to 3, lower case) it shares with the landmarks.  The kernel of two texts
+A text is the set of character n-grams (lengths 1 to 3, lower case, of all characters the landmarks have) it shares with the landmarks.  The kernel of two texts
 is the number of n-grams both have, over the root of the product of their set sizes (presence kernel).  Landmarks
 are a seeded, bounded sample per language; Nystroem features are the kernel values to all landmarks times the
 inverse root of the landmark kernel; a one-versus-rest ridge regression is fitted on them.  All maps after the
@@ -10,9 +10,13 @@ Bounds (parameters): ``landmarks`` and ``samples`` labelled rows a language, low
 read whole by the fit, their n-grams are taken in Spark tasks, and the driver sees landmark n-gram counts and bit sets only.
 Every other row is scored, over its whole text.
 
+The score compares the two best languages, so it does not depend on how many there are: 1 / (1 + exp(-4 * margin)), 0.5 for a tie and 1 for
+a single language; the margin itself is the difference of their ridge outputs.
+
 Defined results: null texts and texts without a letter get ``und`` with score 0; with nothing to learn from every row does;
 equal texts get equal predictions; a text with letters but no known n-gram gets the most frequent language of the sample with
-score 0; an empty table gives no rows.  Predictions read the text only.
+score 0; equal outputs go to the language with more sampled texts, then to the first by name; texts of any length are read whole, slice by
+slice; an empty table gives no rows.  Predictions read the text only; other columns may have any name.
 """
 from __future__ import annotations
 
@@ -49,6 +53,32 @@ def _grams(text: str, letters: np.ndarray) -> np.ndarray:
     return found
 
 
+class _Columns:
+    """The column of each n-gram number (the last one for numbers without): two hash tables, the second for numbers whose place is taken."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.bits, self.none = max(10, int(4 * len(numbers)).bit_length()), np.int32(len(numbers))
+        while not self._fill(numbers):
+            self.bits += 1
+
+    def _at(self, x: np.ndarray, table: int) -> np.ndarray:
+        factor = np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[table])
+        return ((x.astype(np.uint64) * factor) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _fill(self, numbers: np.ndarray) -> bool:
+        self.keys, self.cols = np.full((2, 1 << self.bits), -1, np.int64), np.full((2, 1 << self.bits), len(numbers), np.int32)
+        left = np.arange(len(numbers))
+        for table in (0, 1):
+            at, first = np.unique(self._at(numbers[left], table), return_index=True)
+            self.keys[table, at], self.cols[table, at] = numbers[left[first]], left[first]
+            left = np.delete(left, first)
+        return not len(left)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        a, b = self._at(x, 0), self._at(x, 1)
+        return np.where(self.keys[0, a] == x, self.cols[0, a], np.where(self.keys[1, b] == x, self.cols[1, b], self.none))
+
+
 class KernelModel:
     """The fitted maps; small enough to be sent with the tasks (``features`` x ``landmarks`` single-precision numbers)."""
 
@@ -56,33 +86,32 @@ class KernelModel:
         self.parts = letters, features, marks, weights, langs       # plain values, which is what tasks are sent
         self.letters, self.features, self.marks, self.weights, self.langs = self.parts
         self.base = len(letters) + 2
-        self.column = np.full(ORDERS * self.base ** ORDERS, len(features), np.int32)   # the last column collects the unknown
-        self.column[features] = np.arange(len(features), dtype=np.int32)
-        self.place = np.full(0x110000, self.base - 1, np.int32)
+        self.grams = _Columns(features)
+        self.place = np.full(0x110000, self.base - 1, np.int64)
         self.place[letters] = np.arange(1, len(letters) + 1)
 
     def presence(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.features) + 1), np.float32)
-        b, size = self.base, self.base ** ORDERS
+        b, size, column = self.base, self.base ** ORDERS, self.grams
         for row, text in zip(out, texts):
             for at in range(0, len(text), SLICE):
                 x = self.place[_codes(text[at:at + SLICE + ORDERS - 1].lower())]
-                row[self.column[x]] = 1
                 two = x[:-1] * b + x[1:]
-                row[self.column[two + size]] = 1
-                row[self.column[two[:-1] * b + x[2:] + 2 * size]] = 1
+                for gram in (x, two + size, two[:-1] * b + x[2:] + 2 * size):
+                    row[column(gram)] = 1
         return out[:, :-1]
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the best language and a score of 0 to 1 (soft maximum of the margins)."""
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the best language, a score of 0 to 1 and the margin to the second."""
         p = self.presence(texts)
         n = p.sum(1)
         k = (p @ self.marks) / np.sqrt(np.maximum(n, 1))[:, None]   # kernel to all landmarks
         f = k @ self.weights                                        # Nystroem map and ridge weights in one
         best = f.argmax(1)
-        e = np.exp(4 * (f - f.max(1, keepdims=True)))
-        share = np.where(n > 0, 1 / e.sum(1), 0.0)
-        return np.where(n > 0, best, 0), np.clip(share, 0, 1)
+        top = np.sort(f, 1)[:, -2:]
+        margin = top[:, 1] - top[:, 0] if f.shape[1] > 1 else np.full(len(f), np.inf)
+        share = 1 / (1 + np.exp(-4 * np.minimum(margin, 100)))
+        return np.where(n > 0, best, 0), np.where(n > 0, share, 0.0), np.where(n > 0, margin, 0.0)
 
 
 def _sample(labelled: DataFrame, landmarks: int, samples: int, seed: int) -> DataFrame:
@@ -107,8 +136,7 @@ def fit(labelled: DataFrame, landmarks: int = 32, samples: int = 256, ridge: flo
     rows = _sample(labelled, landmarks, samples, seed)
     texts = rows.where("_mark").select("_lang", "_h", F.lower("_text").alias("_text"))
     alphabet = texts.select(F.explode(F.array_distinct(F.split("_text", ""))).alias("c")).where("c != ''").groupBy("c").agg(F.count("*").alias("n"))
-    # a bounded table: the most frequent characters of the landmarks
-    letters = np.array(sorted({ord(r.c) for r in alphabet.orderBy(F.desc("n"), "c").limit(120).collect() if len(r.c) == 1}), np.uint32)
+    letters = np.array(sorted({ord(r.c) for r in alphabet.collect() if len(r.c) == 1}), np.uint32)      # at most all code points
     if not len(letters):
         return None
 
@@ -119,13 +147,11 @@ def fit(labelled: DataFrame, landmarks: int = 32, samples: int = 256, ridge: flo
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(g), "at": [at] * len(g), "g": g}, schema=pa.schema(
                     [("lang", pa.string()), ("at", pa.int64()), ("g", pa.int64())]))
     marks = texts.mapInArrow(grams, "lang string, at bigint, g bigint").toArrow().to_pydict()      # landmarks x their n-grams
-    size = np.int64(len(letters) + 2) ** ORDERS
     features, col = np.unique(np.array(marks["g"], np.int64), return_inverse=True)
     ids = {k: i for i, k in enumerate(sorted(set(zip(marks["lang"], marks["at"]))))}
     m = np.zeros((len(ids), len(features)), np.float32)
     m[[ids[k] for k in zip(marks["lang"], marks["at"])], col] = 1
     m /= np.sqrt(np.maximum(m.sum(1, keepdims=True), 1))
-    assert features.max() < ORDERS * size
     probe = KernelModel(letters, features, m.T.copy(), np.zeros((len(m), 1), np.float32), [])
 
     sent = rows.sparkSession.sparkContext.broadcast(probe.parts)
@@ -156,10 +182,11 @@ def fit(labelled: DataFrame, landmarks: int = 32, samples: int = 256, ridge: flo
 
 
 def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             batch: int = 128, keep: bool = False, **options) -> DataFrame:
+             batch: int = 128, keep: str = "", **options) -> DataFrame:
     """Predict the language of every row; learn from rows where ``training`` holds and text and language are not null.
 
-    Columns: id, lang_pred, score; with ``keep`` all columns of ``docs``, then _lang_pred and _score.
+    Columns: id, lang_pred, score; with ``keep``, a name that no column has, all columns of ``docs`` and a struct of that name with
+    lang_pred, score and margin.
     """
     labelled = docs.where(training & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     model = fit(labelled.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")), **options)
@@ -173,22 +200,22 @@ def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
                 part = b.slice(at, batch)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 named = [t is not None and any(map(str.isalpha, t)) for t in texts]
-                pred, score = ["und"] * len(texts), np.zeros(len(texts))
+                pred, score, margin = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 if m is not None and any(named):
                     rows = [i for i, ok in enumerate(named) if ok]
-                    best, share = m.score([texts[i] for i in rows])
-                    score[rows] = share
+                    best, score[rows], margin[rows] = m.score([texts[i] for i in rows])
                     for i, j in zip(rows, best):
                         pred[i] = m.langs[j]
                 cols = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                                 [*part.schema.names[:-1], "_lang_pred", "_score"])
+                seen = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score), pa.array(margin)], ["lang_pred", "score", "margin"])
+                yield pa.RecordBatch.from_arrays([*cols, seen], [*part.schema.names[:-1], keep or "_seen"])
 
     text = F.col(text_col).cast("string")
+    seen_type = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType())])
     if keep:
         slim = docs.withColumn(unused("_text_read", docs), text)
-        return slim.mapInArrow(run, StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())]))
+        return slim.mapInArrow(run, StructType([*docs.schema.fields, StructField(keep, seen_type)]))
     slim = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    out = slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _lang_pred string, _score double")
-    return out.select(F.col("_id").alias(id_col), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    out = slim.mapInArrow(run, StructType([slim.schema["_id"], StructField("_seen", seen_type)]))
+    return out.select(F.col("_id").alias(id_col), "_seen.lang_pred", "_seen.score")
 

@@ -27,12 +27,15 @@ toks AS (SELECT k, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D
 lines AS (SELECT k, line, t, len(t) || ':' || array_to_string(list_transform(t[1:4], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS leaf
           FROM toks WHERE len(t) >= 3),
 fields AS (SELECT k, line, leaf, len(t) AS n, unnest(t) AS tok, unnest(range(len(t))) AS pos FROM lines),
-common AS (SELECT leaf, pos, tok FROM fields WHERE NOT regexp_matches(tok, '[0-9]') GROUP BY ALL HAVING count(*) >= 3),
+common AS (SELECT leaf, pos, tok FROM fields WHERE NOT regexp_matches(tok, '[0-9]') GROUP BY ALL HAVING count(DISTINCT k) >= 3),
 shape AS (SELECT f.k, f.line, f.leaf, any_value(n) AS n, count(*) AS fixed, string_agg(f.pos || '=' || f.tok, ' ' ORDER BY f.pos) AS tpl
           FROM fields f JOIN common c ON c.leaf = f.leaf AND c.pos = f.pos AND c.tok = f.tok GROUP BY f.k, f.line, f.leaf),
 good AS (SELECT * FROM shape WHERE fixed >= 0.5 * n),
-totals AS (SELECT leaf, tpl, min(k) AS first FROM good GROUP BY ALL HAVING count(*) >= 3),
-gone AS (SELECT g.k, list(g.line) AS drop_lines FROM good g JOIN totals USING (leaf, tpl) WHERE g.k <> first GROUP BY g.k),
+totals AS (SELECT leaf, tpl, min(k) AS first FROM good GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+shared AS (SELECT line, min(k) AS first FROM lines GROUP BY line HAVING count(DISTINCT k) >= 2),
+whose AS (SELECT l.k, l.line, coalesce(t.first, s.first) AS first FROM lines l LEFT JOIN good g ON g.k = l.k AND g.line = l.line
+          LEFT JOIN totals t ON t.leaf = g.leaf AND t.tpl = g.tpl LEFT JOIN shared s ON s.line = l.line),
+gone AS (SELECT k, list(line) AS drop_lines FROM whose WHERE k <> first GROUP BY k),
 split AS (SELECT doc_id, text, coalesce(string_split(text, chr(10)), []) AS ls, coalesce(drop_lines, []) AS dl FROM documents LEFT JOIN gone ON gone.k = md5(text))
 SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(list_filter(ls, lambda x: list_contains(dl, x))) AS BIGINT) AS n_dropped,
        CASE WHEN text IS NOT NULL THEN array_to_string(list_filter(ls, lambda x: NOT list_contains(dl, x)), chr(10)) END AS text

@@ -35,7 +35,9 @@ def op2_chunked_media(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op3_compression_bands(spark: SparkSession, d: str) -> DataFrame:
-    return bands.compression_bands(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    fitted = bands.fit_bands(docs, table(spark, d, "labels").where("quality = 1"))
+    return bands.compression_bands(docs, bands=fitted)
 
 
 @query

@@ -2,16 +2,18 @@
 
 A document is the set of its word shingles.  Sizes are cut into bands, so that similar sets lie in one band or in two that
 follow each other; every set takes part in the group of its own band and of the next.  In a group two linked sets differ in
-at most H shingles, H following from the threshold and the largest sizes.  The hash universe is partitioned into H + 1
-segments; by the pigeonhole principle linked sets agree on at least one segment subset.  Each subset is indexed by the
-sum of its mixed hashes.
+at most H shingles, H following from the threshold and the largest sizes.  The hash universe is partitioned into m > H
+segments; by the pigeonhole principle linked sets agree on m - H segment subsets at least.  Each subset is indexed by the
+sum of its mixed hashes.  A set with fewer than m - H empty subsets does not index these: one of the subsets it shares with a
+partner holds a shingle.  m is a little above H + 1, so that nearly all sets are of this kind and unrelated sets do not meet on nothing.
 
 Cost-based allocation: a segment whose subsets are shared by many sets costs many candidates.  It may be left out if another
 segment of the group is indexed with its one-deletion neighbourhood too (the sum less each single hash): tolerances of
--1, 0 and 1 must still add up to more than H.  The costliest segments are paired with the cheapest of their group
+-1, 0 and 1 still add up as before.  The costliest segments are paired with the cheapest of their group
 and swapped where the estimated candidates get fewer, up to ``swaps`` pairs a group.
 
-Candidates are verified exactly on whole shingle sets.  Equal sets are one node from the start.  Within an index entry not all
+Inside an entry two sets are candidates only if their parity sketches allow it: of 1,024 bits each shingle flips one, so two sets that
+differ in d shingles have sketches that differ in at most d bits.  Candidates are verified exactly on whole shingle sets.  Equal sets are one node from the start.  Within an index entry not all
 pairs are formed: a few centres, the first in a seeded order of nodes, are compared with the others; what is linked becomes one
 component; entries inside one component are done; the others go on with four times as many centres among the nodes that
 were none yet.  So every pair of an entry that could join two components is verified, in a number of rounds logarithmic in the
@@ -19,22 +21,26 @@ largest entry, and a group of near copies costs a few pairs a copy.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing (their component is their
 own id); with fewer than ``width`` words the whole sequence is the one shingle; rows that repeat share a component; the
-component of rows with null ids is the least id in reach or null; an empty table gives no rows.  Only id and text are read.
+component of rows with null ids is the least id in reach or null; texts of any length are compared whole; an empty table gives no rows.
+Only id and text are read, so other columns may have any name.  Stored tables are deleted once what was made of them is stored.
 """
 from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from crateloom.llm.common import stored
+from crateloom.llm.common import discard, stored
 
 #: Tasks remember so many sets or bytes at most.
 MET, BLOCK = 400_000, 1 << 20
+#: Bits of a parity sketch.
+SKETCH = 1024
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E6C63D0876A9A47
 
@@ -161,6 +167,22 @@ def tolerance(largest: int, percent: int) -> int:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
+def segments_in(largest: int, percent: int) -> int:
+    """Segments of a group: enough above the tolerance that sets of usual sizes have fewer empty subsets than they share."""
+    h = tolerance(largest, percent)
+    m = h + 1
+    for _ in range(4):
+        empty = m * math.exp(-0.8 * largest / m)
+        m = h + 1 + math.ceil(empty + 2.5 * math.sqrt(empty))
+    return m
+
+
+def sketch(x: np.ndarray) -> np.ndarray:
+    """Parity sketch as 64-bit numbers."""
+    odd = np.bincount((mixed(x ^ _M2) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def salts(group: int, segments: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mixed(np.uint64(group) * np.uint64(1 << 40) + np.arange(segments, dtype=np.uint64))
@@ -191,14 +213,18 @@ def node_of(x: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little") >> 1 if len(x) else None
 
 
-def _keys(x: np.ndarray, percent: int) -> list[tuple[int, int, int, np.ndarray]]:
-    """(group, segments, 1 if it is the smaller band, keys) of the groups a set takes part in."""
+def _keys(x: np.ndarray, percent: int) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(group, segments, 1 if it is the smaller band, keys, the segments to index) of the groups a set takes part in."""
     band, last, further = band_of(len(x), percent)
     out, value = [], mixed(x)
     for group, largest, small in ((band, last, 0), (band + 1, further, 1)):
         h = tolerance(largest, percent)
         if h:                                   # else linked sets are equal
-            out.append((group, h + 1, small, subsets(value, segments_of(x, h + 1), group, h + 1).view(np.int64)))
+            m = segments_in(largest, percent)
+            seg = segments_of(x, m)
+            held = np.bincount(seg, minlength=m) > 0
+            index = np.flatnonzero(held) if m - held.sum() < m - h else np.arange(m)
+            out.append((group, m, small, subsets(value, seg, group, m).view(np.int64), index))
     return out
 
 
@@ -234,16 +260,16 @@ def index_entries(docs: DataFrame, width: int, percent: int, text_col: str) -> D
                     if len(met) >= MET:
                         met.clear()
                     met.add(node)
-                    for _, _, small, k in _keys(x, percent):
-                        keys.append(k)
-                        members.append(np.full(len(k), node * 2 + small, np.uint64).view(np.int64))
+                    for _, _, small, k, index in _keys(x, percent):
+                        keys.append(k[index])
+                        members.append(np.full(len(index), node * 2 + small, np.uint64).view(np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(members))], ["_key", "_member"])
     return docs.select(F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, "_key bigint, _member bigint")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
-    """The whole sets of the nodes in ``wanted``: _node, _n, _set; each from one text that has it."""
+    """The whole sets of the nodes in ``wanted``: _node, _n, _set, _sketch; each from one text that has it."""
     texts = nodes.join(wanted, "_node").groupBy("_node").agg(F.min("_text_key").alias("_text_key")).select("_text_key").distinct()
     read = docs.select(F.xxhash64(text_col).alias("_text_key"), F.col(text_col).cast("binary").alias("_text")).where("_text is not null")
 
@@ -253,9 +279,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: in
             for at in range(0, b.num_rows, 400):
                 sets = [x for x in shingle.sets(b.column(1).slice(at, 400).to_pylist()) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
-                                                  _lists([x.view(np.int64) for x in sets])], ["_node", "_n", "_set"])
+                                                  _lists([x.view(np.int64) for x in sets]), _lists([sketch(x) for x in sets])], ["_node", "_n", "_set", "_sketch"])
     one = read.join(texts, "_text_key").groupBy("_text_key").agg(F.first("_text").alias("_text"))
-    found = one.mapInArrow(run, "_node bigint, _n bigint, _set array<bigint>")
+    found = one.mapInArrow(run, "_node bigint, _n bigint, _set array<bigint>, _sketch array<bigint>")
     return found.join(wanted, "_node", "left_semi").dropDuplicates(["_node"])
 
 
@@ -267,8 +293,8 @@ def placed_entries(sets: DataFrame, percent: int) -> DataFrame:
                 part = b.slice(at, 100)
                 cols: list[list[np.ndarray]] = [[] for _ in range(6)]
                 for node, n, x in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    for group, m, small, k in _keys(np.array(x, np.int64).view(np.uint64), percent):
-                        _extend(cols, k, node, n, small, group, np.arange(m))
+                    for group, _, small, k, index in _keys(np.array(x, np.int64).view(np.uint64), percent):
+                        _extend(cols, k[index], node, n, small, group, index)
                 yield _record(cols, _PLACED)
     return sets.select("_node", "_n", "_set").mapInArrow(run, _PLACED)
 
@@ -287,7 +313,7 @@ def deletion_entries(docs: DataFrame, groups: dict[int, list[int]], width: int,
                     if len(met) >= MET:
                         met.clear()
                     met.add(node)
-                    for group, m, small, exact in _keys(x, percent) if set(_groups(len(x), percent)) & groups.keys() else ():
+                    for group, m, small, exact, _ in _keys(x, percent) if set(_groups(len(x), percent)) & groups.keys() else ():
                         for i in groups.get(group, ()):
                             keys = np.append(neighbourhood(x, group, m, i).view(np.int64), exact[i])
                             _extend(cols, np.unique(keys), node, len(x), small, group, i)
@@ -342,7 +368,7 @@ def group_rows(nodes: DataFrame, percent: int) -> DataFrame:
     per = nodes.where("_n > 0").select(F.explode(F.array(band, band + 1)).alias("_group"), "_n").groupBy("_group").agg(F.sum("_n").alias("_all"))
     share = F.lit(None).cast("double")
     for g, last in enumerate(e - 1 for e in edges[1:]):
-        share = F.when(F.col("_group") == g, 1.0 / (tolerance(last, percent) + 1)).otherwise(share)
+        share = F.when(F.col("_group") == g, 1.0 / segments_in(last, percent)).otherwise(share)
     return per.select("_group", (F.col("_all") * F.coalesce(share, F.lit(1.0))).alias("_rows"))
 
 
@@ -352,17 +378,20 @@ def smallest_labels(edges: DataFrame) -> DataFrame:
     Least labels spread over the edges and along the labels themselves, which halves the way in each round.  Rounds are
     written as tables, so that the sizes Spark plans with stay those of the files.
     """
-    both = stored(edges.select(F.col("_a").alias("_v"), F.col("_b").alias("_w")).unionByName(edges.select(F.col("_b").alias("_v"), F.col("_a").alias("_w"))).distinct(), "ways")
-    label = stored(both.groupBy("_v").agg(F.min("_w").alias("_c")).select("_v", F.least("_v", "_c").alias("_c")), "labels")
+    both = ways = stored(edges.select(F.col("_a").alias("_v"), F.col("_b").alias("_w")).unionByName(edges.select(F.col("_b").alias("_v"), F.col("_a").alias("_w"))).distinct(), "ways")
+    label = last = stored(both.groupBy("_v").agg(F.min("_w").alias("_c")).select("_v", F.least("_v", "_c").alias("_c")), "labels")
     while True:
         near = both.join(label.select(F.col("_v").alias("_w"), "_c"), "_w").groupBy("_v").agg(F.min("_c").alias("_m"))
         step = label.join(near, "_v").select("_v", F.col("_c").alias("_was"), F.least("_c", "_m").alias("_c"))
         for _ in range(2):
             jump = label.select(F.col("_v").alias("_c"), F.col("_c").alias("_further"))
             step = step.join(jump, "_c", "left").select("_v", "_was", F.least("_c", F.coalesce("_further", "_c")).alias("_c"))
-        step = stored(step, "labels")
-        label = step.select("_v", "_c")
-        if step.where("_c < _was").isEmpty():
+        before, last = last, stored(step, "labels")
+        discard(before)
+        label = last.select("_v", "_c")
+        if last.where("_c < _was").isEmpty():
+            discard(ways)
+            label.stored_at = last.stored_at
             return label
 
 
@@ -376,29 +405,38 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked_nodes(entries: DataFrame, sets: DataFrame, percent: int, seed: int = 11) -> DataFrame:
     """_node, _c: components of the links between all sets that share an entry (_key, _node, _n, _small)."""
-    comp = sets.select("_node", F.col("_node").alias("_c"))
-    open_, centres, done = entries.select("_key", "_node", "_n", "_small").distinct(), 4, None
+    comp = stored(sets.select("_node", F.col("_node").alias("_c")), "components")
+    sketches = sets.select("_node", "_sketch")
+    open_, centres, done, rows, every = entries.select("_key", "_node", "_n", "_small").distinct(), 4, None, None, []
     while True:
-        rows = open_.join(comp, "_node")
+        last, rows = rows, open_.join(comp, "_node")
         mixed_keys = rows.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.min("_small").alias("_large"))
         rows = stored(rows.join(mixed_keys.where("_lo < _hi and _large = 0").select("_key"), "_key"), "open")
+        discard(last)
         if rows.isEmpty():
+            discard(rows, *every)
             return comp
         rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(F.lit(seed), "_node"), "_node"))
         picked = rows.withColumn("_at", rank).where(F.col("_at") <= centres)
-        mid = picked.select("_key", F.col("_node").alias("_node2"), F.col("_n").alias("_n2"), F.col("_small").alias("_small2"), F.col("_c").alias("_c2"))
-        pairs = (rows.join(mid, "_key").where("_c != _c2 and _small + _small2 < 2")
-                 .where(f"100 * least(_n, _n2) >= {percent} * greatest(_n, _n2)")
+        mid = picked.select("_key", F.col("_node").alias("_node2"), F.col("_n").alias("_n2"), F.col("_small").alias("_small2"), F.col("_c").alias("_c2")).join(
+            sketches.select(F.col("_node").alias("_node2"), F.col("_sketch").alias("_sketch2")), "_node2")
+        apart = " + ".join(f"bit_count(_sketch[{i}] ^ _sketch2[{i}])" for i in range(SKETCH // 64))
+        room = f"_n + _n2 - 2 * (({percent} * (_n + _n2) + {99 + percent}) div {100 + percent})"          # most shingles linked sets differ in
+        pairs = (rows.join(sketches, "_node").join(mid, "_key").where("_c != _c2 and _small + _small2 < 2")
+                 .where(f"100 * least(_n, _n2) >= {percent} * greatest(_n, _n2)").where(f"{apart} <= {room}")
                  .select(F.least("_node", "_node2").alias("_a"), F.greatest("_node", "_node2").alias("_b")).distinct())
         # a pair is compared once, however many entries and rounds bring it up
         pairs = stored(pairs if done is None else pairs.join(done, ["_a", "_b"], "left_anti"), "pairs")
+        every.append(pairs)
         done = pairs if done is None else done.unionByName(pairs)
         links = stored(verified(pairs, sets, percent), "links")
         if not links.isEmpty():
             label = comp.select(F.col("_node").alias("_a"), F.col("_c").alias("_ca"))
             other = comp.select(F.col("_node").alias("_b"), F.col("_c").alias("_cb"))
             merged = smallest_labels(links.join(label, "_a").join(other, "_b").select(F.col("_ca").alias("_a"), F.col("_cb").alias("_b")).where("_a != _b").distinct())
-            comp = stored(comp.join(merged.select(F.col("_v").alias("_c"), F.col("_c").alias("_new")), "_c", "left").select("_node", F.coalesce("_new", "_c").alias("_c")), "components")
+            before, comp = comp, stored(comp.join(merged.select(F.col("_v").alias("_c"), F.col("_c").alias("_new")), "_c", "left").select("_node", F.coalesce("_new", "_c").alias("_c")), "components")
+            discard(before, merged)
+        discard(links)
         open_ = rows.join(picked.select("_key", "_node"), ["_key", "_node"], "left_anti").select("_key", "_node", "_n", "_small")
         centres *= 4
 
@@ -418,10 +456,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, swaps
     swap = allocate(shared_by, group_rows(nodes, percent), swaps).collect()            # at most ``swaps`` a group
     if swap:
         entries = stored(_swapped(entries, docs, swap, width, percent, text_col), "swapped")
-        sets = stored(shingle_sets(docs, nodes, entries.select("_node").distinct(), width, text_col), "sets")
+        before, sets = sets, stored(shingle_sets(docs, nodes, entries.select("_node").distinct(), width, text_col), "sets")
+        discard(before)
     else:
         entries = stored(entries, "entries")
+    discard(live)
     comp = linked_nodes(entries, sets, percent)
+    discard(entries, sets)
     rows = nodes.join(comp, "_node", "left").select("_id", "_n", F.coalesce("_c", "_node").alias("_c"))
     least = rows.where("_c is not null").groupBy("_c").agg(F.min("_id").alias("_least"))
     return rows.join(least, "_c", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"),

@@ -146,6 +146,56 @@ def test_bands_tell_noise_and_repeats_from_prose(spark, docs):
     assert all(verdict[i] == "incompressible" for i in range(n + 10, n + 13))
 
 
+def test_limits_from_labels_hold_on_other_labels(spark):
+    """Learned from every second labelled good document of the larger table, judged on the others."""
+    folder = SF.replace("0.001", "0.1")
+    every = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    fitted = bands.fit_bands(every, labels.where((F.col("quality") == 1) & (half == 0)))
+    seen = bands.compression_bands(every.join(labels.where(half == 1).select("doc_id"), "doc_id", "left_semi"), bands=fitted).join(labels, "doc_id").where("not base_failed").collect()
+    low, good = [r.kept for r in seen if r.quality == 0], [r.kept for r in seen if r.quality == 1]
+    assert len(low) > 100 and low.count(False) >= 2 / 3 * len(low) and good.count(False) < 0.015 * len(good)
+
+
+def test_limits_without_labels(spark, docs, nothing):
+    none = spark.createDataFrame([], "doc_id long")
+    assert bands.fit_bands(docs, none) == bands.BANDS == bands.fit_bands(nothing, docs.select("doc_id"))
+    fitted = bands.fit_bands(docs, docs.select("doc_id"), least=3)
+    assert [b[0] for b in fitted] == sorted(b[0] for b in fitted) and all(low < high for _, low, high in fitted)
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_ratio_and_verdict_by_hand(request, which):
+    import zstandard
+    df = request.getfixturevalue(which)
+    pack = zstandard.ZstdCompressor(level=3)
+
+    def side(part):
+        low, high = bands.limits(len(part))
+        ratio = len(pack.compress(part)) / len(part)
+        return ratio, "repetitive" if ratio < low else "incompressible" if ratio > high else "ok"
+
+    def verdict(text):
+        data = (text or "").encode()
+        if not data:
+            return 0.0, 0, 0, "ok"
+        ratio, out = side(data)
+        parts = [data[i:i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
+        sides = [side(p)[1] for p in parts if len(p) >= 2048]
+        bad = [x for x in sides if x != "ok"]
+        if out == "ok" and len(bad) > 0.34 * len(sides):
+            out = "incompressible" if bad.count("incompressible") * 2 > len(bad) else "repetitive"
+        return ratio, len(sides), len(bad), out
+    got = Counter((r.doc_id, round(r.ratio, 9), r.n_chunks, r.n_bad_chunks, r.verdict, r.kept) for r in bands.compression_bands(df).collect())
+    want = Counter()
+    for r in df.select("doc_id", "text").collect():
+        ratio, n, bad, out = verdict(r.text)
+        c = by_hand_counts(r.text)
+        want[r.doc_id, round(ratio, 9), n, bad, out, out == "ok" and c[0] >= 10 and 100 * c[4] <= 20 * c[0]] += 1
+    assert got == want
+
+
 def test_limits_follow_the_length():
     for n in (10, 64, 65, 100, 1000, 5000, 70_000, 10 ** 8):
         low, high = bands.limits(n)
@@ -396,20 +446,26 @@ def by_hand_lines(rows, min_docs=3, depth=4, min_tokens=3, share=0.5):
             w = words(line)
             if len(w) >= min_tokens:
                 leaves[len(w), tuple("<*>" if re.search("[0-9]", x) else x for x in w[:depth])].append((k, line, w))
-    gone = defaultdict(set)
+    gone, at = defaultdict(set), defaultdict(set)
     for group in leaves.values():
-        count = Counter((i, x) for _, _, w in group for i, x in enumerate(w) if not re.search("[0-9]", x))
+        has, first_of = defaultdict(set), {}
+        for k, line, w in group:
+            at[line].add(k)
+            for i, x in enumerate(w):
+                if not re.search("[0-9]", x):
+                    has[i, x].add(k)
         shape = defaultdict(list)
         for k, line, w in group:
-            fixed = tuple((i, x) for i, x in enumerate(w) if count[i, x] >= min_docs)
+            fixed = tuple((i, x) for i, x in enumerate(w) if len(has[i, x]) >= min_docs)
             if fixed and len(fixed) >= share * len(w):
                 shape[fixed].append((k, line))
         for found in shape.values():
-            if len(found) >= min_docs:
-                first = min(k for k, _ in found)
-                for k, line in found:
-                    if k != first:
-                        gone[k].add(line)
+            if len({k for k, _ in found}) >= min_docs:
+                first_of |= {line: min(k for k, _ in found) for _, line in found}
+        for k, line, _ in group:
+            first = first_of.get(line) or (min(at[line]) if len(at[line]) >= 2 else k)
+            if k != first:
+                gone[k].add(line)
     out = Counter()
     for doc_id, t in rows:
         if t is None:
@@ -436,6 +492,33 @@ def test_lines_by_hand(spark, docs, odd):
         assert lines.drop_recurring(df).columns == df.columns
 
 
+def dropped(spark, *texts, **options):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string, n_lines string".rsplit(",", 1)[0])
+    return [r.n_dropped for r in lines.drop_recurring(df, counts=True, **options).orderBy("doc_id").collect()]
+
+
+def test_one_text_counts_once(spark):
+    same = "the big old house was %s at once"
+    assert dropped(spark, f"{same % 'red'}\n{same % 'blue'}\nleft alone here {'a'}", f"{same % 'old'}\nright alone here b") == [0, 0]
+    assert sum(dropped(spark, same % "red", same % "blue", same % "old")) == 2
+
+
+def test_a_line_of_two_texts_stays_in_one(spark):
+    passage = " ".join(f"word{chr(97 + i % 26)}" for i in range(60))
+    assert sorted(dropped(spark, f"own words begin here\n{passage}", f"{passage}\nother words end it", "nothing is shared here")) == [0, 0, 1]
+
+
+def test_an_identical_line_of_digits_recurs(spark):
+    contact = "call 030 1234 5678 or 0800 99 11"
+    assert sum(dropped(spark, *[f"{contact}\n{chr(97 + i) * 4} {chr(98 + i) * 3} own words" for i in range(10)])) == 9
+
+
+def test_counts_take_the_place_of_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", "y")], "doc_id long, text string, n_lines string, N_dropped2 string")
+    assert lines.drop_recurring(df, counts=True).columns == ["doc_id", "text", "N_dropped2", "n_lines", "n_dropped"]
+    assert lines.drop_recurring(df).columns == df.columns
+
+
 def test_long_repeated_passages_stay_once(spark):
     passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     df = spark.createDataFrame([(i, f"first line of text {chr(97 + i)} here\n{passage}") for i in range(9)], "doc_id long, text string")
@@ -572,4 +655,4 @@ def test_empty_tables(spark, nothing):
     assert pieces.encode(nothing, PIECES, check=True).count() == 0 and setjoin.jaccard_components(nothing).count() == 0
     assert lines.drop_recurring(nothing, counts=True).count() == 0 and mixing.mix(nothing).count() == 0
     assert lengths.length_histogram(lengths.encoded_lengths(nothing, lengths.rank_encoder(RANKS))).count() == 0
-    assert langid.identify(nothing, F.lit(True), keep=True).count() == 0
+    assert langid.identify(nothing, F.lit(True), keep="_seen").count() == 0
