@@ -1,15 +1,17 @@
 """Training data, grouped folds, boosting, calibration and evaluation on bar tables."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crateloom.operators import series as se
-from crateloom.operators.ordering import exact_percentiles, halo_window, index_rows
+from crateloom.operators.ordering import along, exact_percentiles, halo_window, index_rows
+from crateloom.session import cut
 
 # fixed values: roles, slots and distances of the training labels
 LABEL_ROLES = ("drop2", "break1", "drop1", "break2", "outro_start")
@@ -89,14 +91,22 @@ def median_gap(beats: DataFrame, keys: Sequence[str], idx: str, ms: str) -> Data
 
 # ── matrices ─────────────────────────────────────────────────────────────────────────────────
 def design_matrix(bars: DataFrame, keys: Sequence[str], idx: str, total: str, base: Sequence[str], jump_cols: Sequence[str],
-                  lags: Sequence[int] = se.CONTEXT_LAGS, widths: Sequence[int] = se.WINDOWS) -> tuple[DataFrame, list[str]]:
-    """Base columns, their neighbours, jumps and the position; NaN and infinities become 0.
-    Returns the table and the fixed feature order."""
+                  lags: Sequence[int] = se.CONTEXT_LAGS, widths: Sequence[int] = se.WINDOWS, bpm: str | None = None,
+                  beat: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Base columns, their neighbours, jumps, the position, the tempo ``bpm`` and, from the beat a bar starts at, how far the bars
+    have drifted from four beats each (``beat_offset``); NaN and infinities become 0.  Returns the table and the fixed feature order."""
     base = sorted(base)
     df = se.position_features(se.jumps(se.context_lags(bars, keys, idx, base, lags), keys, idx, jump_cols, widths), idx, total)
     names = base + [f"{c}@{x:+d}" for x in lags for c in base] + [f"{c}_jump{w}" for w in widths for c in jump_cols]
     names += ["pos_rel", "phrases_to_end", "phrases_from_start", "phase8", "phase16", "phase32", "n_phrases"]
 
+    if bpm is not None:
+        df, names = df.withColumn("bpm", F.col(bpm)), [*names, "bpm"]
+    if beat is not None:
+        first = bars.groupBy(*keys).agg(F.min_by(beat, idx).alias("_beat0"))
+        df = df.join(first, list(keys)).withColumn("beat_offset", (F.col(beat) - F.col("_beat0")) / 4 - F.col(idx)).drop("_beat0")
+        names = [*names, "beat_offset"]
+
     def finite(n):
         c = F.col(f"`{n}`").cast("double")
         return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
@@ -156,8 +166,9 @@ def decode_top(curves: DataFrame, keys: Sequence[str], idx: str, gap: int = MIN_
     return first.withColumn("role", F.lit(main)).unionByName(other.withColumn("role", F.lit(second)))
 
 
-def oof_summary(rows: DataFrame, tracks: int | Column, role: str = "role", off: str = "off") -> DataFrame:
-    """Found, hit within 2 and 8 beats, median and mean error, share of whole-phrase errors."""
+def oof_summary(rows: DataFrame, tracks: int | Column, role: str = "role", off: str = "off", raw: str | None = None) -> DataFrame:
+    """Found, hit within 2 and 8 beats, median and mean error, share of whole-phrase errors; with ``raw``, the error of the likeliest bar
+    of the curve itself, also its hits within 2 beats."""
     o = F.abs(F.col(off))
     near32 = (o > HIT_BEATS) & ((o % 32 <= 2) | (o % 32 >= 30))
 
@@ -165,29 +176,71 @@ def oof_summary(rows: DataFrame, tracks: int | Column, role: str = "role", off:
         return F.avg(c.cast("double"))
     median = exact_percentiles(rows.withColumn("_o", o), [role], "_o", {"median_off": 0.5})
     return rows.groupBy(role).agg(F.count("*").alias("n"), share(o <= HIT_BEATS).alias("hit2"), share(o <= NEAR_BEATS).alias("hit8"),
-                                  F.avg(o).alias("mae"), share(near32).alias("phrase_multiple")).withColumn(
+                                  F.avg(o).alias("mae"), share(near32).alias("phrase_multiple"),
+                                  *([share(F.abs(F.col(raw)) <= HIT_BEATS).alias("raw_hit2")] if raw else [])).withColumn(
         "found", F.col("n") / tracks).join(median, role)
 
 
-def calibrate(rows: DataFrame, prob: str = "prob", hit: str = "hit", least_rows: int = CALIBRATION_MIN_ROWS, digits: int = 4):
-    """Monotone map from probability to hit rate.  None below ``least_rows`` rows.
+_BLOCKS = "_part long, lo double, hi double, hits double, n double"
+
+
+def _pooled(table: pa.Table, part: int) -> pa.Table:
+    """Adjacent violators pooled: blocks in order of ``lo`` whose rates rise strictly."""
+    out: list[list[float]] = []
+    for lo, hi, hits, n in zip(*(table.sort_by("lo").column(c).to_pylist() for c in ("lo", "hi", "hits", "n"))):
+        while out and out[-1][2] * n >= hits * out[-1][3]:          # the rate before is not lower
+            lo, _, h, m = out.pop()
+            hits, n = hits + h, n + m
+        out.append([lo, hi, hits, n])
+    cols = list(zip(*out)) or [(), (), (), ()]
+    return pa.table({"_part": pa.array([part] * len(out), pa.int64()), **{c: pa.array(v, pa.float64()) for c, v in zip(("lo", "hi", "hits", "n"), cols)}})
+
 
-    Probabilities are rounded to ``digits`` and averaged first: the last pass of the fit pools its points on the driver, and
-    there are 10 ** digits + 1 of them at most.
+def calibrate(rows: DataFrame, prob: str = "prob", hit: str = "hit", least_rows: int = CALIBRATION_MIN_ROWS, parts: int | None = None, fan: int = 64) -> DataFrame | None:
+    """Monotone map from probability to hit rate, exact for every probability: blocks (lo, hi, value).  None below ``least_rows`` rows.
+
+    Equal probabilities are counted first.  Violators are pooled in each part of a range partitioning; ``fan`` neighbouring parts
+    are pooled together until one is left.  Pooled blocks have different rates, so of n rows at most about n ** (2 / 3) blocks remain for
+    the last step, and none of them is sent to the driver.  Rows without a probability or an outcome do not count.
     """
-    pts = rows.groupBy(F.round(F.col(prob).cast("double"), digits).alias("x")).agg(F.avg(F.col(hit).cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
-    if rows.limit(least_rows).count() < least_rows:
+    known = rows.select(F.col(prob).cast("double").alias("lo"), F.col(hit).cast("double").alias("_h")).filter("lo IS NOT NULL AND _h IS NOT NULL AND NOT isnan(lo)")
+    if known.limit(least_rows).count() < least_rows:
         return None
-    asm = VectorAssembler(inputCols=["x"], outputCol="features")
-    return IsotonicRegression(featuresCol="features", labelCol="y", weightCol="w").fit(asm.transform(pts))
+    points = known.groupBy("lo").agg(F.sum("_h").alias("hits"), F.count("*").cast("double").alias("n")).select("lo", F.col("lo").alias("hi"), "hits", "n")
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            yield from _pooled(pa.Table.from_batches(got), TaskContext.get().partitionId()).to_batches()
+    blocks = points.repartitionByRange(parts, "lo").mapInArrow(local, _BLOCKS)
+
+    def merge(table: pa.Table) -> pa.Table:
+        return _pooled(table, table.column("_part")[0].as_py() // fan)
+    while parts > 1:
+        blocks = blocks.groupBy(F.floor(F.col("_part") / fan).alias("_node")).applyInArrow(merge, _BLOCKS)
+        parts = -(-parts // fan)
+    return cut(blocks.select("lo", "hi", (F.col("hits") / F.col("n")).alias("value")))
 
 
-def apply_calibration(model, rows: DataFrame, prob: str = "prob", out: str = "confidence") -> DataFrame:
+def apply_calibration(model: DataFrame | None, rows: DataFrame, prob: str = "prob", out: str = "confidence") -> DataFrame:
+    """The rate of a probability's block, between two blocks interpolated, outside all of them that of the nearest."""
     if model is None:
         return rows.withColumn(out, F.col(prob))
-    asm = VectorAssembler(inputCols=["_x"], outputCol="_f")
-    scored = model.setFeaturesCol("_f").setPredictionCol("_p").transform(asm.transform(rows.withColumn("_x", F.col(prob).cast("double"))))
-    return scored.withColumn(out, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_p")))).drop("_x", "_f", "_p")
+    ends = index_rows(model.select(F.lit(0).alias("_all"), "lo", "hi", "value"), ["_all"], ["lo"], "_i")
+    ends = halo_window(ends, ["_all"], "_i", 1, 1, lambda w: {"_next": F.lead(F.struct("lo", "value")).over(w), "_first": F.col("_i") == 0})
+    edge = ends.select(F.col("lo").alias("_x"), F.lit(0).alias("_kind"), F.struct("lo", "hi", "value", "_next").alias("_b"))
+    asked = rows.select(F.col(prob).cast("double").alias("_x")).filter("_x IS NOT NULL").distinct()
+    asked = asked.select("_x", F.lit(1).alias("_kind"), F.lit(None).cast(edge.schema["_b"].dataType).alias("_b"))
+    met = along(edge.unionByName(asked), [], ["_x", "_kind"], lasts={"_at": "_b"}).filter("_kind = 1")
+    least = model.agg(F.min_by("value", "lo").alias("_least"))      # one row
+    b, n = "_at", "_at._next"
+    share = (F.col("_x") - F.col(f"{b}.hi")) / (F.col(f"{n}.lo") - F.col(f"{b}.hi"))
+    rate = (F.when(F.col(b).isNull(), F.col("_least")).when((F.col("_x") <= F.col(f"{b}.hi")) | F.col(n).isNull(), F.col(f"{b}.value"))
+            .otherwise(F.col(f"{b}.value") + share * (F.col(f"{n}.value") - F.col(f"{b}.value"))))
+    rates = met.crossJoin(F.broadcast(least)).select("_x", F.least(F.lit(1.0), F.greatest(F.lit(0.0), rate)).alias("_rate"))
+    return (rows.withColumn("_p", F.col(prob).cast("double")).join(rates, F.col("_p") == F.col("_x"), "left")
+            .withColumn(out, F.col("_rate")).drop("_p", "_x", "_rate"))
 
 
 def reliability_bins(rows: DataFrame, confidence: str = "confidence", hit: str = "hit", role: str | None = None) -> DataFrame:

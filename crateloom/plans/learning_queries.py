@@ -56,10 +56,12 @@ def ml3(spark, sf):
 
 @query("ml4_design_matrix", with_ctes(IDX + f"""
 SELECT track, idx, level, coalesce(lag(level) {over()}, first_value(level) {over()}) AS "level@-1",
- round(coalesce(avg(level) {rows(0, 3)}, 0) - coalesce(avg(level) {rows(-4, -1)}, 0), 6) AS level_jump4, CAST(idx % 8 AS DOUBLE) AS phase8, round(idx / greatest(n - 1, 1), 6) AS pos_rel FROM b"""))
+ round(coalesce(avg(level) {rows(0, 3)}, 0) - coalesce(avg(level) {rows(-4, -1)}, 0), 6) AS level_jump4, CAST(idx % 8 AS DOUBLE) AS phase8, round(idx / greatest(n - 1, 1), 6) AS pos_rel,
+ coalesce(level * 2, 0) AS bpm, CAST((idx * 4 + idx // 16 * 2 + 3 - 3) / 4.0 - idx AS DOUBLE) AS beat_offset FROM b"""))
 def ml4(spark, sf):
-    m, _ = ml.design_matrix(ser(spark, sf), K, "idx", "n", ["level"], ["level"], (-1, 1), (4,))
-    return m.select("track", "idx", "level", "`level@-1`", F.round("level_jump4", 6).alias("level_jump4"), "phase8", F.round("pos_rel", 6).alias("pos_rel"))
+    bars = ser(spark, sf).withColumns({"_tempo": F.col("level") * 2, "_start": F.expr("idx * 4 + idx div 16 * 2 + 3")})     # every sixteenth bar has two beats more
+    m, _ = ml.design_matrix(bars, K, "idx", "n", ["level"], ["level"], (-1, 1), (4,), bpm="_tempo", beat="_start")
+    return m.select("track", "idx", "level", "`level@-1`", F.round("level_jump4", 6).alias("level_jump4"), "phase8", F.round("pos_rel", 6).alias("pos_rel"), "bpm", "beat_offset")
 
 
 @query("ml5_label_rows", with_ctes(IDX + """
@@ -112,20 +114,27 @@ def ml8(spark, sf):
 
 
 @query("ml9_oof_summary", """
-WITH r AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'drop2' ELSE 'break1' END AS role, CAST((event_id * 7) % 130 AS DOUBLE) / 2 AS o FROM events)
+WITH r AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'drop2' ELSE 'break1' END AS role, CAST((event_id * 7) % 130 AS DOUBLE) / 2 AS o, CAST((event_id * 11) % 40 AS DOUBLE) / 4 - 5 AS raw FROM events)
 SELECT role, count(*) AS n, round(avg(CASE WHEN o <= 2 THEN 1.0 ELSE 0.0 END), 6) AS hit2, round(avg(CASE WHEN o <= 8 THEN 1.0 ELSE 0.0 END), 6) AS hit8, round(avg(o), 6) AS mae,
- round(avg(CASE WHEN o > 2 AND (o % 32 <= 2 OR o % 32 >= 30) THEN 1.0 ELSE 0.0 END), 6) AS phrase_multiple, round(count(*) / 20000, 6) AS found, round(quantile_cont(o, 0.5), 6) AS median_off FROM r GROUP BY role""")
+ round(avg(CASE WHEN o > 2 AND (o % 32 <= 2 OR o % 32 >= 30) THEN 1.0 ELSE 0.0 END), 6) AS phrase_multiple, round(count(*) / 20000, 6) AS found, round(quantile_cont(o, 0.5), 6) AS median_off,
+ round(avg(CASE WHEN abs(raw) <= 2 THEN 1.0 ELSE 0.0 END), 6) AS raw_hit2 FROM r GROUP BY role""")
 def ml9(spark, sf):
-    r = table(spark, sf, "events").selectExpr("CASE WHEN event_id % 2 = 0 THEN 'drop2' ELSE 'break1' END AS role", "CAST((event_id * 7) % 130 AS DOUBLE) / 2 AS off")
-    out = ml.oof_summary(r, 20000)
-    return out.withColumns({c: F.round(c, 6) for c in ("hit2", "hit8", "mae", "phrase_multiple", "found", "median_off")})
+    r = table(spark, sf, "events").selectExpr("CASE WHEN event_id % 2 = 0 THEN 'drop2' ELSE 'break1' END AS role", "CAST((event_id * 7) % 130 AS DOUBLE) / 2 AS off", "CAST((event_id * 11) % 40 AS DOUBLE) / 4 - 5 AS raw")
+    out = ml.oof_summary(r, 20000, raw="raw")
+    return out.withColumns({c: F.round(c, 6) for c in ("hit2", "hit8", "mae", "phrase_multiple", "found", "median_off", "raw_hit2")})
 
 
 def outcomes(spark, sf):
     return table(spark, sf, "events").selectExpr("event_id", "CAST(event_id % 100 AS DOUBLE) / 100 AS prob", "event_id % 100 > (event_id * 31) % 100 AS hit")
 
 
-@query("ml10_calibrate")
+@query("ml10_calibrate", """
+WITH r AS (SELECT event_id, CAST(event_id % 100 AS DOUBLE) / 100 AS prob, CASE WHEN event_id % 100 > (event_id * 31) % 100 THEN 1 ELSE 0 END AS h FROM events),
+ p AS (SELECT prob AS x, sum(h) AS s, count(*) AS w FROM r GROUP BY 1),
+ runs AS (SELECT a.x AS a, b.x AS b, sum(p.s) / sum(p.w) AS m FROM p AS a JOIN p AS b ON a.x <= b.x JOIN p ON p.x BETWEEN a.x AND b.x GROUP BY 1, 2),
+ low AS (SELECT p.x, runs.a, min(m) AS m FROM p JOIN runs ON runs.a <= p.x AND runs.b >= p.x GROUP BY 1, 2),
+ fit AS (SELECT x, max(m) AS v FROM low GROUP BY 1)
+SELECT event_id, prob, round(least(1.0, greatest(0.0, v)), 6) AS confidence FROM r JOIN fit ON fit.x = r.prob""")
 def ml10(spark, sf):
     r = outcomes(spark, sf)
     return ml.apply_calibration(ml.calibrate(r), r).select("event_id", "prob", F.round("confidence", 6).alias("confidence"))

@@ -48,34 +48,46 @@ def read_catalog(spark: SparkSession, root: str, tables: Sequence[str] | None =
     return {t: nested(spark.read.schema(SCHEMAS[t]).parquet(f"{root}/{t}")) for t in (tables or SCHEMAS)}
 
 
-def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of each folder; a folder that does not exist has none."""
-    from pyarrow import fs
-    for batch in batches:
-        for folder in batch.column(0).to_pylist():
-            store, inner = fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
-            head = folder[:len(folder) - len(inner)] if folder.endswith(inner) and not folder.startswith("file:") else ""
-            found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-            yield pa.RecordBatch.from_pydict({
-                "path": [head + i.path for i in found], "folder": [i.type == fs.FileType.Directory for i in found],
-                "size": [i.size for i in found], "mtime": [i.mtime.timestamp() if i.mtime else None for i in found]},
-                schema=pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64()), ("mtime", pa.float64())]))
+def _lister():
+    """The function that lists folders in tasks; made here so that it travels by value."""
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+        for batch in batches:
+            for place, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                plain = place[len("file:"):] if place.startswith("file:/") and not place.startswith("file://") else place
+                store, inner = fs.FileSystem.from_uri(plain)
+                head = plain[:len(plain) - len(inner)] if plain.endswith(inner) and "://" in plain and not plain.startswith("file:") else ""
+                local = isinstance(store, fs.LocalFileSystem)
+                here = store.get_file_info(inner)
+                found = [here] if root and here.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if here.type == fs.FileType.Directory else []
+                # a linked folder is not entered, so no folder is walked twice; a linked file counts
+                found = [i for i in found if not (local and i.type == fs.FileType.Directory and os.path.islink(i.path))]
+                yield pa.RecordBatch.from_pydict({
+                    "path": [head + i.path for i in found], "folder": [i.type == fs.FileType.Directory for i in found],
+                    "size": [i.size for i in found], "mtime": [i.mtime.timestamp() if i.mtime else None for i in found], "root": [i is here for i in found]},
+                    schema=pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64()), ("mtime", pa.float64()), ("root", pa.bool_())]))
+    return entries
 
 
 def scan_inventory(spark: SparkSession, roots: Sequence[str], exts: Sequence[str], exclude_dirs: Sequence[str] = ()) -> DataFrame:
-    """path, size, mtime of the files below ``roots`` with one of the extensions, hidden and empty ones included.
+    """path, size, mtime of the files below ``roots`` with one of the extensions, empty ones included; a root may be a file.
 
-    The tree is listed in Spark tasks, one level a round; only the roots come from the driver.  A folder whose name is
-    excluded is not entered; folders above a root do not count.
+    The tree is listed in Spark tasks, one level a round; only the roots come from the driver.  Folders whose name is excluded or begins
+    with a dot, and linked folders, are not entered; files whose name begins with ``._`` do not count.  Folders above a root,
+    and the root's own name, do not matter.
     """
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    wanted = F.regexp_extract(name, "(\\.[^.]+)$", 1).isin([e.lower() for e in exts])
-    level = spark.createDataFrame([(r.rstrip("/") or "/",) for r in roots], "path string").distinct()
+    wanted = F.regexp_extract(name, "(\\.[^.]+)$", 1).isin([e.lower() for e in exts]) & (F.col("root") | ~name.startswith("._"))
+    level = spark.createDataFrame([(r.rstrip("/") or "/", True) for r in roots], "path string, root boolean").distinct()
     files = spark.createDataFrame([], "path string, size bigint, mtime double")
     while True:
-        listed = cut(level.repartition("path").mapInArrow(_list_folders, "path string, folder boolean, size bigint, mtime double"))
+        listed = cut(level.repartition("path").mapInArrow(_lister(), "path string, folder boolean, size bigint, mtime double, root boolean"))
         files = files.unionByName(listed.filter(~F.col("folder") & wanted).select("path", "size", "mtime"))
-        level = listed.filter(F.col("folder") & ~name.isin([x.lower() for x in exclude_dirs])).select("path")
+        entered = F.col("folder") & ~name.isin([x.lower() for x in exclude_dirs]) & ~name.startswith(".")
+        level = listed.filter(entered).select("path", F.lit(False).alias("root"))
         if level.isEmpty():
             return files.dropDuplicates(["path"])
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from crateloom.operators.linkage import changed_files
+from crateloom.session import cut
 
 MIN_SECONDS, GRACE_SECONDS = 30, 5
 
@@ -21,13 +22,35 @@ def qualify_plays(stream: DataFrame, catalog: DataFrame, path: str = "path", sec
 
 def rolling_listen(stream: DataFrame, delay: str = "1 day", path: str = "path", seconds: str = "seconds", ts: str = "ts") -> DataFrame:
     """Seconds and plays per day and track.  Events later than ``delay`` are dropped; months are
-    summed from the days afterwards."""
+    summed from the days afterwards.  :func:`keep_rolling` writes the days while they are still open."""
     day = F.window(ts, "1 day")
     return (stream.withWatermark(ts, delay).groupBy(day.alias("w"), path)
             .agg(F.sum(seconds).alias("seconds"), F.count("*").alias("plays"))
             .select(F.to_date("w.start").alias("day"), path, "seconds", "plays"))
 
 
+def keep_rolling(totals: DataFrame, out: str, checkpoint: str, path: str = "path", available_now: bool = False):
+    """Keep the table ``out``, partitioned by day, at the present totals of :func:`rolling_listen`.
+
+    The stream runs in update mode: a batch brings the new totals of the keys that changed.  Days with a change are written anew
+    from their other rows and the changed ones, so a batch that is repeated changes nothing and no other day is touched.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        changed = cut(batch)
+        days = [r.day for r in changed.select("day").distinct().collect()]       # days open within the delay
+        if not days:
+            return
+        folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            before = spark.read.schema(batch.schema).parquet(out).filter(F.col("day").isin(days))
+            others = before.join(changed.select("day", path), ["day", path], "left_anti").select(*batch.columns)
+            changed = cut(others.unionByName(changed))
+        changed.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(out)
+    writer = totals.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
+
+
 def changed_files_stream(inventory: DataFrame, catalog: Callable[[], DataFrame], out: str, checkpoint: str, available_now: bool = False):
     """Stream of inventory rows; every batch is compared with the catalog as it is then."""
     def each(batch: DataFrame, batch_id: int) -> None:
