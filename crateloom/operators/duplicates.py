@@ -1,11 +1,11 @@
 """Duplicates, near-equal fingerprints and values that should be one.
 
 Blocks are never paired row by row: equal keys are aggregated, near durations are chained through
-fixed-width buckets, and typo candidates meet only through shared deletion keys of distinct values.
+fixed-width buckets, and typo candidates meet only on whole segments of distinct values.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -99,23 +99,63 @@ def _typo_limit(length: Column, one_from: int, two_from: int) -> Column:
     return F.when(length < one_from, 0).when(length < two_from, 1).otherwise(2)
 
 
-def _without_one(c: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(
-        F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+def _cut_at(i: str, length: str, parts: str) -> str:
+    return f"cast({i} * {length} div ({parts}) as int)"
 
 
-def _typo_pairs(values: DataFrame, one_from: int, two_from: int) -> DataFrame:
-    """Distinct values within the allowed edit distance.  Two strings at distance k share a string
-    reachable by at most k deletions from either, so candidates meet on those keys."""
-    v = values.select("value", F.lower("value").alias("_l")).withColumn("_k", _typo_limit(F.length("_l"), one_from, two_from))
+def _segment_keys(more: int) -> str:
+    """SQL array of (len, i, j, text): the even segments of ``_l``, _k + 1 of them, or pairs of _k + 2."""
+    m = f"_k + {1 + more}"
+
+    def text(i: str) -> str:
+        return f"substring(_l, {_cut_at(i, '_n', m)} + 1, {_cut_at(f'({i} + 1)', '_n', m)} - {_cut_at(i, '_n', m)})"
+    if not more:
+        return f"transform(sequence(0, _k), i -> struct(_n AS len, i AS i, i AS j, {text('i')} AS text))"
+    return (f"flatten(transform(sequence(0, _k), i -> transform(sequence(i + 1, _k + 1), j -> "
+            f"struct(_n AS len, i AS i, j AS j, concat({text('i')}, '\u0001', {text('j')}) AS text))))")
+
+
+def _probe_keys(more: int, one_from: int, two_from: int) -> str:
+    """SQL array of the keys a value may share with one that is at most its limit shorter: substrings up to the limit aside."""
+    limit = f"if(L < {one_from}, 0, if(L < {two_from}, 1, 2))"
+    lengths = f"filter(transform(sequence(greatest(1, _n - 2), _n), L -> struct(L AS L, {limit} AS k)), x -> x.k > 0 AND _n - x.L <= x.k)"
+    m = f"x.k + {1 + more}"
+
+    def spots(i: str) -> str:
+        start, size = _cut_at(i, "x.L", m), f"({_cut_at(f'({i} + 1)', 'x.L', m)} - {_cut_at(i, 'x.L', m)})"
+        return (f"transform(filter(sequence(-x.k, x.k), d -> {start} + d >= 0 AND {start} + d + {size} <= _n), d -> substring(_l, {start} + d + 1, {size}))")
+    if not more:
+        one = f"flatten(transform(sequence(0, x.k), i -> transform({spots('i')}, t -> struct(x.L AS len, i AS i, i AS j, t AS text))))"
+    else:
+        one = (f"flatten(flatten(transform(sequence(0, x.k), i -> transform(sequence(i + 1, x.k + 1), j -> flatten(transform({spots('i')}, t -> "
+               f"transform({spots('j')}, u -> struct(x.L AS len, i AS i, j AS j, concat(t, '\u0001', u) AS text))))))))")
+    return f"array_distinct(flatten(transform({lengths}, x -> {one})))"
+
+
+def _typo_pairs(values: DataFrame, one_from: int, two_from: int, hot: int = 64) -> DataFrame:
+    """Distinct values within the allowed edit distance k, which follows the shorter one.
+
+    k edits leave one of k + 1 even segments of the shorter value whole, and it stands at most k places aside in the longer one: a value
+    is indexed by its segments and looked up by 45 substrings at most.  A segment that more than ``hot`` values share is not joined with
+    itself; values that have one meet on pairs of k + 2 segments instead, two of which stay whole.
+    """
+    v = values.select("value", F.lower("value").alias("_l")).withColumn("_n", F.length("_l")).withColumn("_k", _typo_limit(F.col("_n"), one_from, two_from))
     v = v.filter((F.col("_k") > 0) & ~F.col("_l").rlike("^[\\d\\s.,]*$"))
-    once = F.array_union(F.array("_l"), _without_one(F.col("_l")))
-    twice = F.array_distinct(F.flatten(F.transform(once, lambda s: F.array_union(F.array(s), _without_one(s)))))
-    keys = v.withColumn("_s", F.explode(F.when(F.col("_k") == 1, F.array_distinct(once)).otherwise(twice)))
-    a = keys.select("_s", F.col("value").alias("a"), F.col("_l").alias("la"), F.col("_k").alias("ka"))
-    b = keys.select("_s", F.col("value").alias("b"), F.col("_l").alias("lb"), F.col("_k").alias("kb"))
-    near = a.join(b, "_s").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b", "la", "lb", F.least("ka", "kb").alias("k")).distinct()
-    return near.filter(F.levenshtein("la", "lb") <= F.col("k")).select("a", "b")
+
+    def met(of: DataFrame, more: int, both: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
+        kept = of.select(F.explode(F.expr(_segment_keys(more))).alias("_s"), F.col("value").alias("a"), F.col("_l").alias("la"), F.col("_k").alias("k"))
+        asked = of.select(F.explode(F.expr(_probe_keys(more, one_from, two_from))).alias("_s"), F.col("value").alias("b"), F.col("_l").alias("lb"))
+        kept, asked = both(kept, asked)
+        return kept.join(asked, "_s").filter((F.col("la") != F.col("lb")) & (F.levenshtein("la", "lb", 2).between(0, F.col("k")))).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    index = v.select(F.explode(F.expr(_segment_keys(0))).alias("_s"))
+    crowded = cut(index.groupBy("_s").count().filter(F.col("count") > hot).select("_s"))
+    if crowded.isEmpty():
+        return met(v, 0, lambda x, y: (x, y)).distinct()
+    near = met(v, 0, lambda x, y: (x.join(crowded, "_s", "left_anti"), y))
+    own = v.select("value", F.explode(F.array_union(F.expr(_segment_keys(0)), F.expr(_probe_keys(0, one_from, two_from)))).alias("_s"))
+    touched = own.join(crowded, "_s", "left_semi").select("value").distinct()
+    return near.unionByName(met(v.join(touched, "value", "left_semi"), 1, lambda x, y: (x, y))).distinct()
 
 
 def merge_suggestions(df: DataFrame, field: str, scope: str | None = None, typos: bool = True, one_from: int = 5, two_from: int = 9) -> DataFrame:
