@@ -31,11 +31,11 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     part, the parts are counted, and a row's number is the sum of the parts before plus its number
     in its part.  The rows themselves are shuffled once and nothing is written.
 
-    ``at_most`` is a table with at least as many rows of each key that is cheaper to count; where it shows
-    that all keys are small, ``df`` is not counted.
+    ``at_most`` is a table with at least as many rows of each key (or of the keys that it has) that is cheaper to
+    count; where it shows that all keys are small, ``df`` is not counted.
     """
     keys, order = list(keys), [F.col(c) if isinstance(c, str) else c for c in order]
-    small = _large_keys(at_most, keys, limit)[1] is None if at_most is not None else False
+    small = _large_keys(at_most, [k for k in keys if k in at_most.columns], limit)[1] is None if at_most is not None else False
     limit, large = (limit, None) if small else _large_keys(df, keys, limit)
     if large is None:
         w = Window.partitionBy(*keys)
@@ -207,7 +207,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], idx: str, value: str, out: s
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
-                      quantiles: dict[str, float]) -> DataFrame:
+                      quantiles: dict[str, float], at_most: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated percentiles per key from the global order, one row per key.
 
     Unlike the built-in ``percentile`` aggregate no task has to hold all values of a key.
@@ -216,7 +216,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     # the other columns break ties, so that one frequent value can be split over partitions
     others = [f.name for f in df.schema if f.dataType.typeName() != "map"]
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value, F.xxhash64(*others).alias("_tie"))
-    ranked = index_rows(rows, keys, [F.col(value), F.col("_tie")], "_i", "_n")
+    ranked = index_rows(rows, keys, [F.col(value), F.col("_tie")], "_i", "_n", at_most=at_most)
     aggs = []
     for name, q in quantiles.items():
         pos = F.lit(float(q)) * (F.col("_n") - 1)

@@ -215,7 +215,7 @@ def tempo_sections(beats: DataFrame, keys: Keys, idx: str, bpm: str, min_change:
         return low[:, None], high[:, None]
     moved = level_hits(marks, keys, idx, bpm, bpm, ranges, [bpm], (), chunk)
     starts = ends.select(*keys, "start_beat").unionByName(moved.select(*keys, F.col(idx).alias("start_beat")))
-    numbered = index_rows(starts, keys, ["start_beat"], "_j")
+    numbered = index_rows(starts, keys, ["start_beat"], "_j", at_most=beats.select(*keys))
     spans = halo_window(numbered, keys, "_j", 0, 1, lambda w: {"_next": F.lead("start_beat").over(w)}).join(ends.drop("start_beat"), keys)
     spans = spans.withColumn("end_beat", F.coalesce("_next", "_n")).withColumn("_long", F.col("end_beat") - F.col("start_beat") >= min_beats)
     some = spans.groupBy(*keys).agg(F.max("_long").alias("_some"))
@@ -224,7 +224,7 @@ def tempo_sections(beats: DataFrame, keys: Keys, idx: str, bpm: str, min_change:
     tagged = beats.select(*keys, idx, bpm).join(sections.select(*keys, F.col("start_beat").alias(idx), "start_beat", "end_beat"), [*keys, idx], "left")
     tagged = carry_last(tagged.withColumn("_sec", F.when(F.col("start_beat").isNotNull(), F.struct("start_beat", "end_beat"))), keys, idx, "_sec", "_sec")
     inside = tagged.filter(F.col(idx) < F.col("_sec.end_beat")).select(*keys, F.col("_sec.start_beat").alias("start_beat"), bpm)
-    return sections.join(exact_percentiles(inside, [*keys, "start_beat"], bpm, {"section_bpm": 0.5}), [*keys, "start_beat"], "left")
+    return sections.join(exact_percentiles(inside, [*keys, "start_beat"], bpm, {"section_bpm": 0.5}, at_most=beats.select(*keys)), [*keys, "start_beat"], "left")
 
 
 def check_beatgrid(beats: DataFrame, durations: DataFrame, keys: Keys, idx: str, at: str, num: str, bpm: str,
@@ -243,7 +243,7 @@ def check_beatgrid(beats: DataFrame, durations: DataFrame, keys: Keys, idx: str,
     beat = F.lit(60.0) / F.col("_sec.section_bpm")
     inside = (F.col("_psec") == F.col("_sec.start_beat")) & (F.col(idx) < F.col("_sec.end_beat")) & (F.col("_sec.section_bpm") > 0)
     steps = steps.withColumn("_err", F.when(inside, F.abs(F.col("_gap") - beat) / beat))
-    error = exact_percentiles(steps, keys, "_err", {"_median": 0.5})
+    error = exact_percentiles(steps, keys, "_err", {"_median": 0.5}, at_most=beats.select(*keys))
     agg = steps.groupBy(*keys).agg(F.count("*").alias("n_beats"), F.min("_gap").alias("_min_gap"), F.coalesce(F.sum("_break"), F.lit(0)).alias("cycle_breaks"),
                                    F.sum((F.col(num) == 1).cast("int")).alias("_ones"), (F.max(at) - F.min(at)).alias("_covered"))
     counts = sections.groupBy(*keys).agg(F.count("*").alias("n_sections"))
@@ -265,7 +265,7 @@ def _merged(points: DataFrame, grid: DataFrame, keys: Keys, pt: str, gt: str, va
     """Points and grid rows in one order; grid rows come first at equal times."""
     p = points.select(*keys, F.col(pt).cast("double").alias("_t"), F.lit(1).alias("_k"), F.struct(*points.columns).alias("_row"), F.lit(None).cast(grid.schema[value].dataType).alias("_v"))
     g = grid.select(*keys, F.col(gt).cast("double").alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(p.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    return index_rows(p.unionByName(g), keys, ["_t", "_k"], "_i")
+    return index_rows(p.unionByName(g), keys, ["_t", "_k"], "_i", at_most=points.select(*keys).unionByName(grid.select(*keys)))
 
 
 def asof_backward(points: DataFrame, grid: DataFrame, keys: Keys, pt: str, gt: str, value: str, out: str) -> DataFrame:
@@ -288,6 +288,37 @@ def snap_to_grid(points: DataFrame, grid: DataFrame, keys: Keys, pt: str, gt: st
     return m.filter("_k = 1").select("_row.*", F.round(F.coalesce(near, F.col("_t")), 4).alias(out))
 
 
+def snap_phrases(phrases: DataFrame, beats: DataFrame, keys: Keys, start: str, end: str, at: str, num: str | None = None, order: Sequence[str] = (),
+                 least: float = 0.05, chunk: int = CHUNK) -> DataFrame:
+    """Spans moved to the grid: ends go to the nearest beat (or bar, with ``num``), the last end stays, and each span begins where the one before ends.
+
+    A span shorter than ``least`` seconds falls away and the next one begins where it would have; if that is the last, the span before takes
+    its end.  What a span begins with depends on all spans before it, so the contraction is a scan over chunks.  Spans before the first
+    beat are cut off at it.  Series without beats stay as they are.
+    """
+    keys = list(keys)
+    others = [c for c in phrases.columns if c not in (*keys, start, end)]
+    rows = index_rows(phrases, keys, list(order) or [start, end], "_i", "_n")
+    grid = beats.groupBy(*keys).agg(F.min(at).cast("double").alias("_beat"))
+    rows = snap_to_grid(rows.join(grid, keys), beats, keys, end, at, num, "_snap")
+    rows = rows.withColumn("_e", F.when(F.col("_i") == F.col("_n") - 1, F.col(end).cast("double")).otherwise(F.col("_snap")))
+    facts = rows.groupBy(*keys).agg(F.min_by(F.col(start).cast("double"), "_i").alias("_s0"), F.max_by("_e", "_i").alias("_last"), F.first("_beat").alias("_beat"))
+
+    def ranges(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = borders(lambda c: ~(e - c >= least), e - least, np.full(len(e), np.inf))
+        return low[:, None], high[:, None]
+    kept = level_hits(rows, keys, "_i", "_e", start, ranges, ["_e"], ["_e", *others], chunk)
+    kept = index_rows(kept, keys, ["_i"], "_j", "_m", at_most=phrases.select(*keys))
+    kept = halo_window(kept, keys, "_j", 1, 0, lambda w: {"_before": F.lag("_e").over(w)}).join(facts, keys)
+    spans = kept.withColumns({"_a": F.coalesce("_before", "_s0"), "_z": F.when(F.col("_j") == F.col("_m") - 1, F.col("_last")).otherwise(F.col("_e"))})
+    early = F.col("_s0") < F.col("_beat")
+    spans = spans.withColumns({c: F.when(early, F.round(F.greatest(c, "_beat"), 4)).otherwise(F.col(c)) for c in ("_a", "_z")})
+    cut_off = early & (F.greatest("_z", "_beat") - F.greatest("_a", "_beat") < least)
+    out = spans.filter(~cut_off).select(*keys, F.col("_a").alias(start), F.col("_z").alias(end), *others)
+    bare = phrases.join(grid.select(*keys), keys, "left_anti")
+    return out.unionByName(bare.select(*keys, F.col(start).cast("double").alias(start), F.col(end).cast("double").alias(end), *others))
+
+
 def segment_value(points: DataFrame, segments: DataFrame, keys: Keys, pt: str, st: str, value: str, out: str) -> DataFrame:
     """Value of the last segment starting at or before the point, with 1.5 ms of slack; points
     before every segment take the first one."""

@@ -174,6 +174,26 @@ def w20(spark, sf):
     return out.withColumn("failed", F.array_join("failed", ","))
 
 
+@query("w21_snap_phrases", with_ctes(GRID + """
+, h AS (SELECT *, bool_or(num = 1) OVER (PARTITION BY track) AS bars, min(ms / 1000) OVER (PARTITION BY track) AS beat FROM g),
+ p AS (SELECT track, idx, n, idx * 0.31::DOUBLE + 0.2::DOUBLE AS a, (idx + 1) * 0.31::DOUBLE + 0.2::DOUBLE AS z, 'k' || (idx % 3) AS kind FROM g),
+ q AS (SELECT p.track, p.idx, any_value(p.n) AS n, any_value(a) AS a, any_value(z) AS z, any_value(kind) AS kind, any_value(beat) AS beat,
+       min((abs(h.ms / 1000 - z), h.ms / 1000))[2] AS near FROM p JOIN h ON h.track = p.track AND (h.num = 1 OR NOT h.bars) GROUP BY 1, 2),
+ e AS (SELECT *, CASE WHEN idx = n - 1 THEN z ELSE round(near, 4) END AS e FROM q),
+ walk AS (SELECT track, idx, a AS s, a AS was, e, e - a >= 0.05 AS hit FROM e WHERE idx = 0
+   UNION ALL SELECT e.track, e.idx, CASE WHEN w.hit THEN w.e ELSE w.s END, w.was, e.e, e.e - CASE WHEN w.hit THEN w.e ELSE w.s END >= 0.05
+   FROM walk w JOIN e ON e.track = w.track AND e.idx = w.idx + 1),
+ spans AS (SELECT w.track, w.idx, w.was, w.s AS a, CASE WHEN row_number() OVER (PARTITION BY w.track ORDER BY w.idx DESC) = 1 THEN l.e ELSE w.e END AS z, e.kind, e.beat
+   FROM walk w JOIN e ON e.track = w.track AND e.idx = w.idx JOIN e AS l ON l.track = w.track AND l.idx = l.n - 1 WHERE hit)
+SELECT track, round(CASE WHEN was < beat THEN greatest(a, beat) ELSE a END, 4) AS a, round(CASE WHEN was < beat THEN greatest(z, beat) ELSE z END, 4) AS z, kind FROM spans
+WHERE was >= beat OR greatest(z, beat) - greatest(a, beat) >= 0.05""").replace("WITH ", "WITH RECURSIVE ", 1))
+def w21_phrases(spark, sf):
+    g = grid(spark, sf).withColumn("at", F.col("ms") / 1000)
+    p = g.selectExpr("track", "idx * 0.31D + 0.2D AS a", "(idx + 1) * 0.31D + 0.2D AS z", "concat('k', idx % 3) AS kind")
+    out = se.snap_phrases(p, g.select("track", "at", "num"), K, "a", "z", "at", "num")
+    return out.select("track", F.round("a", 4).alias("a"), F.round("z", 4).alias("z"), "kind")
+
+
 @query("w21_snap_to_grid", with_ctes(GRID + """
 , p AS (SELECT track, idx, idx * 0.7 + 0.113 AS t FROM b),
  h AS (SELECT *, bool_or(num = 1) OVER (PARTITION BY track) AS bars FROM g),

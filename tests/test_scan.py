@@ -145,3 +145,42 @@ def test_totals_and_latest_values_along_an_order(spark, limit):
         state[k] = (s if x is None else (s or 0) + x, last if x is None else x)
         want[i] = state[k]
     assert got == want
+
+
+def contracted(spans, times, first):
+    """Spans of one series by the rule, one after the other."""
+    near = lambda x: min(times, key=lambda t: (abs(t - x), t))
+    out, start = [], spans[0][0]
+    for i, (_, end, kind) in enumerate(spans):
+        last = i == len(spans) - 1
+        z = end if last else round(near(end), 4)
+        if z - start < 0.05:
+            if last and out:
+                out[-1][1] = z
+            continue
+        out.append([start, z, kind])
+        start = z
+    if out and out[0][0] < first:
+        out = [[round(max(a, first), 4), round(max(z, first), 4), k] for a, z, k in out if max(z, first) - max(a, first) >= 0.05]
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("chunk", [4, 64])
+def test_spans_contract_in_runs(spark, chunk):
+    rng = random.Random(chunk)
+    phrases, beats, want = [], [], {}
+    for k in ("a", "b", "c", "d", "e"):
+        t, spans = rng.choice([0.0, 1.5]), []
+        for i in range(1 if k == "d" else 60):
+            z = t + rng.choice([0.01, 0.02, 0.04, 0.3, 1.7])
+            spans.append((t, z, i))
+            t = z
+        times = [1.0 + 0.5 * i for i in range(80)]
+        phrases += [(k, *s) for s in spans]
+        beats += [] if k == "e" else [(k, x) for x in times]
+        want[k] = spans if k == "e" else contracted(spans, times, times[0])
+    p = spark.createDataFrame(phrases, "k string, a double, z double, kind int").repartition(4)
+    out = {k: [] for k in want}
+    for r in se.snap_phrases(p, spark.createDataFrame(beats, "k string, t double"), ["k"], "a", "z", "t", order=["a", "kind"], chunk=chunk).collect():
+        out[r.k].append((r.a, r.z, r.kind))
+    assert {k: sorted(v) for k, v in out.items()} == {k: sorted(v) for k, v in want.items()}
