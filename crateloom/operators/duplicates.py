@@ -243,16 +243,25 @@ def style_similarity(pairs: DataFrame, styles: DataFrame, a: str = "a", b: str =
 
 # ── near-equal fingerprints ──────────────────────────────────────────────────────────────────
 MAX_MAD, MIN_MAD, REL_MAD = 5.0, 1.0, 0.15
-PARTS = 4
+#: Parts of the coarse levels of a vector: the first places it in a grid, the others bound a pair from below.
+PYRAMID = (4, 16, 64)
 
 
-def _cells(vec: str, size: int, spread: bool) -> Column:
-    """Grid cell of the means of four parts of the vector.  A mean deviation of at most 5 moves a
-    part mean by at most 20, so neighbours lie within one cell per part."""
-    step = MAX_MAD * PARTS
-    part = size // PARTS
-    means = [F.aggregate(F.slice(vec, i * part + 1, part), F.lit(0.0), lambda s, x: s + x) / part for i in range(PARTS)]
-    ids = [F.floor(m / step) for m in means]
+def _levels(size: int) -> tuple[int, ...]:
+    """The levels that divide a vector of this size."""
+    return tuple(p for p in PYRAMID if size % p == 0 and p < size) or (1,)
+
+
+def _part_means(vec: str, size: int, parts: int) -> Column:
+    part = size // parts
+    return F.expr(f"transform(sequence(0, {parts - 1}), i -> aggregate(slice({vec}, i * {part} + 1, {part}), 0D, (s, x) -> s + x) / {part})")
+
+
+def _cells(means: Column, parts: int, spread: bool) -> Column:
+    """Grid cell of the means of the parts.  A mean deviation of at most MAX_MAD moves a part's mean by
+    at most that times the parts, so neighbours lie within one cell per part."""
+    step = MAX_MAD * parts
+    ids = [F.floor(F.get(means, F.lit(i)) / step) for i in range(parts)]
     if not spread:
         return F.array(F.concat_ws(",", *[i.cast("string") for i in ids]))
     out = F.array(F.lit(""))
@@ -268,13 +277,31 @@ def _append(prefixes: Column, around: Column) -> Column:
     return F.transform(prefixes, each)
 
 
+def _deviation(a: str, b: str) -> Column:
+    """Mean absolute deviation of two arrays of one size."""
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> abs(x - y)), 0D, (s, x) -> s + x) / size({a})")
+
+
 def _near(probe: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(fp, rep, mad) for representatives earlier than the probe and within both limits."""
-    r = reps.select(F.col("fp").alias("rep"), F.col("vec").alias("_rv"), F.col("std").alias("_rs"), F.explode(_cells("vec", size, True)).alias("_cell"))
-    p = probe.withColumn("_cell", F.explode(_cells("vec", size, False)))
-    mad = F.aggregate(F.zip_with("vec", "_rv", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / size
+    """(fp, rep, mad) for representatives earlier than the probe and within both limits.
+
+    Only ids, spreads and a few part means meet in the grid.  The deviation of part means never exceeds that of the vectors, so a pair goes
+    to the next finer level only where the coarser one allows it, and whole vectors are fetched for the pairs that are left.
+    """
+    levels = _levels(size)
+    sketch = levels[min(1, len(levels) - 1)]
     limit = F.least(F.lit(MAX_MAD), F.greatest(F.lit(MIN_MAD), F.least("std", "_rs") * REL_MAD))
-    return (p.join(r, "_cell").filter(F.col("rep") < F.col("fp")).withColumn("mad", mad).filter(F.col("mad") <= limit).select("fp", "rep", "mad"))
+    slack = limit + 1e-9                                            # rounding of the means
+    p = probe.select("fp", "std", _part_means("vec", size, levels[0]).alias("_g"), _part_means("vec", size, sketch).alias("_m"))
+    r = reps.select(F.col("fp").alias("rep"), F.col("std").alias("_rs"), _part_means("vec", size, levels[0]).alias("_rg"), _part_means("vec", size, sketch).alias("_rm"))
+    p = p.select("fp", "std", "_m", F.explode(_cells(F.col("_g"), levels[0], False)).alias("_cell"))
+    r = r.select("rep", "_rs", "_rm", F.explode(_cells(F.col("_rg"), levels[0], True)).alias("_cell"))
+    pairs = p.join(r, "_cell").filter((F.col("rep") < F.col("fp")) & (_deviation("_m", "_rm") <= slack)).select("fp", "rep", "std", "_rs")
+    for parts in levels[2:]:
+        fine = [t.select(F.col("fp").alias(n), _part_means("vec", size, parts).alias(m)) for t, n, m in ((probe, "fp", "_m"), (reps, "rep", "_rm"))]
+        pairs = pairs.join(fine[0], "fp").join(fine[1], "rep").filter(_deviation("_m", "_rm") <= slack).select("fp", "rep", "std", "_rs")
+    whole = pairs.join(probe.select("fp", "vec"), "fp").join(reps.select(F.col("fp").alias("rep"), F.col("vec").alias("_rv")), "rep")
+    return whole.withColumn("mad", _deviation("vec", "_rv")).filter(F.col("mad") <= limit).select("fp", "rep", "mad")
 
 
 def group_fingerprints(df: DataFrame, size: int, fp: str = "fp", vec: str = "vec", first_batch: int = 4096) -> DataFrame:

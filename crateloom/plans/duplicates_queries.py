@@ -84,11 +84,36 @@ def d6(spark, sf):
     return cl.rename_value(t, "genre", "ECONOMY", "Eco").unionByName(cl.rename_value(t, "album", "SMALL", "Little", group_artist="Brand#7"))
 
 
-@query("d7_group_fingerprints")
+def grouped(scale: str) -> str:
+    """The rule, one fingerprint after the other in sorted order."""
+    return f"""
+WITH RECURSIVE e AS (SELECT list_transform(embedding, lambda x: round_even((CAST(x AS DOUBLE) + 1) * {scale}, 0)) AS vec FROM embeddings),
+ f AS (SELECT DISTINCT array_to_string(list_transform(vec, lambda x: lpad(upper(to_hex(CAST(x AS BIGINT))), 2, '0')), '') AS fp, vec FROM e),
+ v AS (SELECT row_number() OVER (ORDER BY fp) AS i, fp, vec, list_stddev_pop(vec) AS std FROM f),
+ near AS (SELECT b.i, a.i AS r, list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: abs(p[1] - p[2]))) / 64 AS mad, least(5.0, greatest(1.0, 0.15 * least(a.std, b.std))) AS most
+          FROM v AS a JOIN v AS b ON a.i < b.i),
+ close AS (SELECT i, r, mad FROM near WHERE mad <= most),
+ told AS (SELECT v.i, coalesce(list(r) FILTER (WHERE r IS NOT NULL), []) AS rs FROM v LEFT JOIN close ON close.i = v.i GROUP BY v.i),
+ walk AS (SELECT CAST(1 AS BIGINT) AS i, [CAST(1 AS BIGINT)] AS reps
+          UNION ALL SELECT t.i, CASE WHEN len(list_intersect(t.rs, w.reps)) > 0 THEN w.reps ELSE list_append(w.reps, t.i) END FROM walk w JOIN told t ON t.i = w.i + 1),
+ reps AS (SELECT unnest(reps) AS i FROM (SELECT reps FROM walk ORDER BY i DESC LIMIT 1)),
+ best AS (SELECT c.i, arg_min(c.r, (mad, c.r)) AS r FROM close c JOIN reps ON reps.i = c.r WHERE c.i NOT IN (SELECT i FROM reps) GROUP BY c.i)
+SELECT v.fp, coalesce(o.fp, v.fp) AS representative FROM v LEFT JOIN best ON best.i = v.i LEFT JOIN v AS o ON o.i = best.r"""
+
+
+def fingerprints(spark, sf, scale):
+    e = table(spark, sf, "embeddings").select(F.transform("embedding", lambda x: F.bround((x.cast("double") + 1) * scale)).alias("vec"))
+    return e.withColumn("fp", F.array_join(F.transform("vec", lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
+
+
+@query("d7_group_fingerprints", grouped("127.5"))
 def d7(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.transform("embedding", lambda x: F.round((x.cast("double") + 1) * 127.5)).alias("vec"))
-    e = e.withColumn("fp", F.array_join(F.transform("vec", lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
-    return du.group_fingerprints(e, 64)
+    return du.group_fingerprints(fingerprints(spark, sf, 127.5), 64)
+
+
+@query("d7_group_similar", grouped("8"))
+def d7_similar(spark, sf):
+    return du.group_fingerprints(fingerprints(spark, sf, 8), 64)
 
 
 COVERS = """SELECT path, artist, CASE WHEN track_id % 40 = 0 THEN '' ELSE album END AS album, CASE WHEN track_id % 5 = 0 THEN '' ELSE album_artist END AS album_artist,

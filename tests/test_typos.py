@@ -1,6 +1,7 @@
-"""Typo pairs by segments against all pairs."""
+"""Typo pairs by segments and covers by their mean pyramid against all pairs."""
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,27 @@ def test_a_common_part_is_not_paired(spark):
     tails = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(22)) for _ in range(2000)}
     df = spark.createDataFrame([("the very long common beginning " + t,) for t in tails], "value string")
     assert du._typo_pairs(df, 5, 9).count() == 0
+
+
+@pytest.mark.parametrize("size", [64, 256, 30])
+def test_near_covers_by_all_pairs(spark, size):
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 256, (5, size))
+    vecs = {f"{i:03d}": np.clip(base[i % 5] + rng.integers(-9, 10, size) * rng.integers(0, 2), 0, 255).astype(float) for i in range(80)}
+    df = spark.createDataFrame([(k, [float(x) for x in v], float(v.std())) for k, v in vecs.items()], "fp string, vec array<double>, std double")
+    want = {(a, b) for a in vecs for b in vecs if b < a and np.abs(vecs[a] - vecs[b]).mean() <= np.clip(0.15 * min(vecs[a].std(), vecs[b].std()), 1, 5)}
+    assert want and {(r.fp, r.rep) for r in du._near(df, df, size).collect()} == want
+
+
+def test_covers_alike_in_the_mean_only(spark):
+    """One grid cell, but the finer means tell the covers apart before any vector is fetched."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(300):
+        half = rng.integers(0, 60, 32)
+        rows.append((f"{i:03d}", np.concatenate([half, 120 - half] * 4).astype(float)))      # every quarter has the mean 60
+    df = spark.createDataFrame([(k, [float(x) for x in v], float(v.std())) for k, v in rows], "fp string, vec array<double>, std double")
+    plan = du._near(df, df, 256)._jdf.queryExecution().optimizedPlan().toString()
+    first = [line for line in plan.split("\n") if "Join" in line][-1]
+    assert "_cell" in first and "_rv" not in first
+    assert du._near(df, df, 256).count() == 0
