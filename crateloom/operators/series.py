@@ -129,15 +129,41 @@ def neighbour_contrast(df: DataFrame, keys: Keys, idx: str, col: str, out: str,
     return halo_window(df, keys, idx, reach, reach, build)
 
 
-def composite_detectors(df: DataFrame, keys: Keys, idx: str, rms: str, onset: str, low: str) -> DataFrame:
-    """Impact (sudden level on an onset) and the bass switching on."""
+DETECTORS = ("riser_score", "impact_score", "impact_relative", "sustain_score", "bass_return")
+
+
+def composite_detectors(df: DataFrame, keys: Keys, idx: str, rms: str, onset: str, low: str, centroid: str, onset_relative: str) -> DataFrame:
+    """Six detectors of a drop: a riser before it, an impact on an onset (also against the onsets around), a level that holds, bass that
+    comes back from its low, and the bass switching on.
+
+    All but the last are scaled to 0..1 between the 5th and 95th percentile of the series; the percentiles of the five come from one order.
+    """
+    keys = list(keys)
     gated = hysteresis_gate(df, keys, idx, low, "_gate")
+    at = F.col(idx).cast("double")
 
     def build(w):
-        rise = F.greatest(F.lit(0.0), F.col(rms) - F.coalesce(F.lag(rms).over(w), F.col(rms)))
-        switch = F.greatest(F.lit(0.0), F.col("_gate") - F.coalesce(F.lag("_gate").over(w), F.col("_gate")))
-        return {"impact": rise * F.col(onset), "bass_switch_on": switch}
-    return halo_window(gated, keys, idx, 1, 0, build).drop("_gate")
+        before, after = w.rowsBetween(-RISER_BARS, -1), w.rowsBetween(0, SUSTAIN_BARS - 1)
+
+        def up(c: Column) -> Column:
+            return F.greatest(F.lit(0.0), c)
+
+        def slope(c: str) -> Column:
+            return up(F.coalesce(F.regr_slope(F.col(c), at).over(before), F.lit(0.0)))
+        rise = up(F.col(rms) - F.coalesce(F.lag(rms).over(w), F.col(rms)))
+        switch = up(F.col("_gate") - F.coalesce(F.lag("_gate").over(w), F.col("_gate")))
+        raw = (slope(centroid) + 0.5 * slope(rms), rise * F.col(onset), rise * up(F.col(onset_relative)), F.coalesce(F.avg(rms).over(after), F.lit(0.0)),
+               up(F.coalesce(F.col(low) - F.min(low).over(before), F.lit(0.0))))
+        return {**dict(zip(DETECTORS, raw)), "bass_switch_on": switch}
+    rows = halo_window(gated, keys, idx, RISER_BARS, SUSTAIN_BARS, build).drop("_gate")
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("v")) for d in DETECTORS])).alias("_x")).select(*keys, "_x.*")
+    bounds = exact_percentiles(long, [*keys, "d"], "v", {"_lo": 0.05, "_hi": 0.95}, at_most=df.select(*keys))
+    wide = bounds.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("d", F.struct("_lo", "_hi")))).alias("_b"))       # five entries
+
+    def scaled(d: str) -> Column:
+        lo, span = F.col("_b")[d]["_lo"], F.col("_b")[d]["_hi"] - F.col("_b")[d]["_lo"]
+        return F.when(span < EPS, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(d) - lo) / span)))
+    return rows.join(wide, keys, "left").withColumns({d: scaled(d) for d in DETECTORS}).drop("_b")
 
 
 # ── beat grids ───────────────────────────────────────────────────────────────────────────────

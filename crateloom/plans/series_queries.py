@@ -113,12 +113,20 @@ def w15(spark, sf):
 
 
 @query("w16_composite_detectors", with_ctes(SCALE + f"""
-, g AS (SELECT *, coalesce(last_value(CASE WHEN x > 0.45 THEN 1 WHEN x < 0.3 THEN 0 END IGNORE NULLS) {over('ROWS UNBOUNDED PRECEDING')}, 0) AS gate FROM s)
-SELECT track, idx, round(greatest(0, level - coalesce(lag(level) {over()}, level)) * x, 6) AS impact,
- CAST(greatest(0, gate - coalesce(lag(gate) {over()}, gate)) AS DOUBLE) AS bass_switch_on FROM g"""))
+, g AS (SELECT *, coalesce(last_value(CASE WHEN x > 0.45 THEN 1 WHEN x < 0.3 THEN 0 END IGNORE NULLS) {over('ROWS UNBOUNDED PRECEDING')}, 0) AS gate FROM s),
+ d AS (SELECT track, idx, greatest(0, coalesce(CASE WHEN count(*) {rows(-8, -1)} >= 2 THEN regr_slope(level, idx) {rows(-8, -1)} END, 0))
+    + 0.5::DOUBLE * greatest(0, coalesce(CASE WHEN count(*) {rows(-8, -1)} >= 2 THEN regr_slope(x, idx) {rows(-8, -1)} END, 0)) AS riser,
+   greatest(0, x - coalesce(lag(x) {over()}, x)) * x AS impact, greatest(0, x - coalesce(lag(x) {over()}, x)) * greatest(0, x - 0.5::DOUBLE) AS relative,
+   avg(x) {rows(0, 15)} AS holds, greatest(0, coalesce(x - min(x) {rows(-8, -1)}, 0)) AS back, CAST(greatest(0, gate - coalesce(lag(gate) {over()}, gate)) AS DOUBLE) AS switch FROM g),
+ l AS (UNPIVOT d ON riser, impact, relative, holds, back INTO NAME what VALUE v),
+ qs AS (SELECT track, what, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM l GROUP BY ALL),
+ z AS (SELECT l.track, idx, l.what, switch, CASE WHEN hi - lo < 1e-9 THEN 0 ELSE least(1, greatest(0, (v - lo) / (hi - lo))) END AS v FROM l JOIN qs ON qs.track = l.track AND qs.what = l.what)
+SELECT track, idx, any_value(switch) AS bass_switch_on, """ + ", ".join(
+    f"round(max(v) FILTER (WHERE what = '{a}'), 4) AS {b}" for a, b in zip(("riser", "impact", "relative", "holds", "back"), se.DETECTORS)) + " FROM z GROUP BY 1, 2"))
 def w16(spark, sf):
-    d = se.composite_detectors(scaled(spark, sf), K, "idx", "level", "x", "x")
-    return d.select("track", "idx", F.round("impact", 6).alias("impact"), "bass_switch_on")
+    d = scaled(spark, sf).withColumn("aside", F.col("x") - 0.5)
+    d = se.composite_detectors(d, K, "idx", rms="x", onset="x", low="x", centroid="level", onset_relative="aside")
+    return d.select("track", "idx", "bass_switch_on", *[F.round(c, 4).alias(c) for c in se.DETECTORS])
 
 
 GRID_COLS = ["track", "idx", "n", "100.0D + 20.0D * (floor(idx / 20) % 2) AS bpm", "idx * 500 + CASE WHEN track % 3 = 0 THEN (idx % 5) * 4 ELSE 0 END AS ms",
