@@ -6,9 +6,9 @@ suffix sums give the documents above a limit, prefix sums the tokens of those be
     truncated total(L) = tokens of documents with length <= L + L * documents with length > L
 
 and quantiles are looked up in the cumulative counts.  Lengths are summed in fixed stretches first, so the number
-of different lengths does not matter.
+of different lengths does not matter.  The counts by length, few rows, are stored, so that every text is encoded once.
 
-Defined results: null and empty texts have length 0; ties share one row; an empty table gives no rows (totals and
+Defined results: null and empty texts have length 0; texts of any length are encoded whole; ties and repeated rows share one row; an empty table gives no rows (totals and
 quantiles are then null).  Only the text is read.
 """
 from __future__ import annotations
@@ -19,8 +19,7 @@ from collections.abc import Callable, Sequence
 import tiktoken
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from crateloom.llm.common import per_batch
-
+from crateloom.llm.common import per_batch, stored
 
 
 def rank_encoder(path: str) -> Callable[[], Callable[[list[str]], list[int]]]:
@@ -42,7 +41,7 @@ def encoded_lengths(docs: DataFrame, encoder: Callable, id_col: str = "doc_id",
 
 def length_histogram(lengths: DataFrame, col: str = "n_tokens", stretch: int = 1024) -> DataFrame:
     """One row a length: n_tokens, docs, docs_upto, docs_above, tokens_upto, total_docs, total_tokens, truncated_total."""
-    hist = lengths.groupBy(F.col(col).alias("n_tokens")).agg(F.count("*").alias("docs"))
+    hist = stored(lengths.groupBy(F.col(col).alias("n_tokens")).agg(F.count("*").alias("docs")).coalesce(8), "lengths")
     hist = hist.withColumn("_part", F.expr(f"n_tokens div {stretch}"))
     parts = hist.groupBy("_part").agg(F.sum("docs").alias("_d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("_t"))
     whole = Window.partitionBy(F.lit(0))

@@ -10,7 +10,7 @@ The bytes are shuffled once on their way into the store, block-sorted and packed
 move again.  Chunks that many media borrow are one row in the store.
 
 Defined results: a null text is an empty text; the payload is the text's UTF-8 and zero bytes up to a positive multiple of 64;
-equal texts give equal rows and are stored once; repeated and null ids are ordinary; an empty table gives no rows.  Only id and
+equal texts give equal rows and are stored once, so ties need no rule; texts of any length are cut whole; repeated and null ids are ordinary; an empty table gives no rows.  Only id and
 text are read.  A medium that does not pass its check raises an error.
 """
 from __future__ import annotations

@@ -16,7 +16,7 @@ The line of a large source is split into fixed stretches of the hash and each st
 those before it end; the sources themselves are few (one row each) and are joined per stretch.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source; rows that
-are equal in id and text are interchangeable; an empty table gives no rows.  Other columns are not read
+are equal in id and text are interchangeable; equal quotients go to the source first by code point; a long text is many blocks; an empty table gives no rows.  Other columns are not read
 unless ``keep_row`` asks for the whole input row.  A source can have up to 2^31 blocks.
 """
 from __future__ import annotations

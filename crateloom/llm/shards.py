@@ -9,7 +9,8 @@ fixed stretches of the fraction.  Each stretch is numbered alone and starts wher
 before it end, so a source with a third of all rows is spread over thousands of stretches.
 
 Defined results: a null source is a source of its own; null ids and texts are ordinary values; rows that
-are equal in id, text and source are interchangeable; an empty table gives no rows.  Only the named
+are equal in id, text and source are interchangeable (other ties of the seeded order go to the smaller id); only the digest and
+length of a text are used, so it may be of any length; an empty table gives no rows.  Only the named
 columns are read unless ``keep_row`` asks for whole rows, so other columns can have any name.  There are no groups: equal
 texts may go to different shards.
 """

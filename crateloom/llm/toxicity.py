@@ -12,7 +12,8 @@ by the words of one text that has many copies.  The labelled sample is bounded b
 the vocabulary by ``max_words``; word counts are taken in Spark.  Scoring covers all rows and whole texts.
 
 Defined results: null texts and texts without a word have probability 0 in every category; labels of unknown or repeated ids
-count once each; a category without both classes in the sample gets probability 0; an empty table gives no rows.  Only the id and
+count once each; a category without both classes in the sample gets probability 0; rows of the sample follow their hash, then their id; texts of any length are read whole;
+equal texts get equal probabilities; an empty table gives no rows.  Only the id and
 the text are read from the documents.
 """
 from __future__ import annotations
