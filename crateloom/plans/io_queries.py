@@ -102,13 +102,40 @@ def snk2(spark, sf):
 
 @query("snk3_year_stats_doc", with_ctes("""
 , m AS (SELECT y, m, sum(seconds) AS s FROM year_plays GROUP BY 1, 2), y AS (SELECT y, CAST(round_even(sum(s)::DOUBLE, 0) AS BIGINT) AS s FROM m GROUP BY 1),
- t AS (SELECT y, arg_max(track_id, (plays, s, -epoch(f), -track_id)) AS t FROM (SELECT y, track_id, count(*) AS plays, sum(seconds) AS s, min(ts) AS f FROM year_plays GROUP BY 1, 2) GROUP BY 1)
-SELECT a.y, CAST(coalesce(y.s, 0) AS VARCHAR) AS listen_seconds, 12 AS months, CAST(t.t AS VARCHAR) AS top
-FROM (SELECT DISTINCT y FROM year_plays UNION SELECT DISTINCT y FROM plays) a LEFT JOIN y ON y.y = a.y LEFT JOIN t ON t.y = a.y"""))
+ p AS (SELECT yp.y, yp.track_id, yp.seconds, yp.ts, t.path, t.duration_s, trim(t.artist) AS artist, trim(t.genre) AS genre FROM year_plays yp LEFT JOIN tracks t ON t.track_id = yp.track_id),
+ t AS (SELECT y, arg_max(track_id, (plays, s, -epoch(f), -track_id)) AS t FROM (SELECT y, track_id, count(*) AS plays, sum(seconds) AS s, min(ts) AS f FROM p GROUP BY 1, 2) GROUP BY 1),
+ r AS (SELECT y, arg_max(track_id, (c, round(q, 9), -epoch(f), -track_id)) AS r FROM (SELECT y, track_id, sum(CASE WHEN seconds >= duration_s * 0.9 THEN 1 ELSE 0 END) AS c,
+       sum(CAST(seconds / duration_s AS DOUBLE)) AS q, min(ts) AS f FROM p WHERE duration_s > 0 GROUP BY 1, 2) WHERE c > 0 GROUP BY 1),
+ a AS (SELECT y, artist FROM (SELECT y, artist, sum(seconds) AS s FROM p WHERE artist <> '' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY y ORDER BY s DESC, artist) = 1),
+ g AS (SELECT y, genre FROM (SELECT y, genre, sum(seconds) AS s FROM p WHERE genre <> '' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY y ORDER BY s DESC, genre) = 1),
+ hist AS (SELECT y + 1 AS y, path, artist, genre FROM p WHERE path IS NOT NULL),
+ ht AS (SELECT y, path FROM (SELECT y, path, count(*) AS n FROM hist GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY y ORDER BY n DESC, path) = 1),
+ ha AS (SELECT y, artist FROM (SELECT y, artist, count(*) AS n FROM hist WHERE artist <> '' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY y ORDER BY n DESC, artist) = 1),
+ hg AS (SELECT y, genre FROM (SELECT y, genre, count(*) AS n FROM hist WHERE genre <> '' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY y ORDER BY n DESC, genre) = 1)
+SELECT n.y, CAST(coalesce(y.s, 0) AS VARCHAR) AS listen_seconds, 12 AS months, CAST(t.t AS VARCHAR) AS top, CAST(r.r AS VARCHAR) AS relative, a.artist, g.genre,
+ ht.path AS history_path, ha.artist AS history_artist, hg.genre AS history_genre
+FROM (SELECT DISTINCT y FROM year_plays UNION SELECT DISTINCT y FROM plays UNION SELECT DISTINCT y FROM hist) n
+LEFT JOIN y ON y.y = n.y LEFT JOIN t ON t.y = n.y LEFT JOIN r ON r.y = n.y LEFT JOIN a ON a.y = n.y LEFT JOIN g ON g.y = n.y
+LEFT JOIN ht ON ht.y = n.y LEFT JOIN ha ON ha.y = n.y LEFT JOIN hg ON hg.y = n.y"""))
 def snk3(spark, sf):
-    doc = sinks.build_year_stats_doc(year_plays(spark, sf), plays(spark, sf).withColumnRenamed("kind", "action"), tracks(spark, sf))
+    t = tracks(spark, sf)
+    history = year_plays(spark, sf).join(t.select("track_id", "path", "artist", "genre"), "track_id").withColumn("y", F.col("y") + 1)
+    doc = sinks.build_year_stats_doc(year_plays(spark, sf), plays(spark, sf).withColumnRenamed("kind", "action"), t, history)
     months = F.size(F.from_json(F.get_json_object("doc", "$.months"), "array<struct<m:int>>"))
-    return doc.select("y", F.get_json_object("doc", "$.listen_seconds").alias("listen_seconds"), months.alias("months"), F.get_json_object("doc", "$.top_tracks[0].track_id").alias("top"))
+    first = {"top": "top_tracks[0].track_id", "relative": "top_tracks_relative[0].track_id", "artist": "top_artists[0].artist", "genre": "top_genres[0].genre",
+             "history_path": "history_top_tracks[0].path", "history_artist": "history_top_artists[0].artist", "history_genre": "history_top_genres[0].genre"}
+    return doc.select("y", F.get_json_object("doc", "$.listen_seconds").alias("listen_seconds"), months.alias("months"),
+                      *[F.get_json_object("doc", f"$.{place}").alias(c) for c, place in first.items()])
+
+
+@query("snk3_stats_coverage", with_ctes("""
+SELECT list_reverse_sort(list(DISTINCT y)) AS years, (SELECT max(ts) FROM plays)::VARCHAR AS plays_through, (SELECT max(ts) FROM year_plays)::VARCHAR AS history_through
+FROM (SELECT y FROM year_plays UNION SELECT y FROM plays)""").replace("list_reverse_sort(list(DISTINCT y))", "array_to_string(list_reverse_sort(list(DISTINCT y)), ',')"))
+def snk3_coverage(spark, sf):
+    p, h = plays(spark, sf), year_plays(spark, sf)
+    out = sinks.stats_coverage(p, p.withColumnRenamed("kind", "action"), h)
+    return out.select(F.array_join("available_years", ",").alias("years"), F.col("plays_through").cast("string").alias("plays_through"),
+                      F.col("history_through").cast("string").alias("history_through"))
 
 
 @query("snk4_bar_dataset", "SELECT user_id AS track, event_id AS bar, value AS level FROM events")

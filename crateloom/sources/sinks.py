@@ -67,28 +67,53 @@ def write_m3u(df: DataFrame, out: str, hidden: DataFrame | None = None) -> None:
     playlist_lines(df, hidden).write.mode("overwrite").text(out)
 
 
-def build_year_stats_doc(plays: DataFrame, log: DataFrame, catalog: DataFrame, top: int = 50, track: str = "track_id", top_artists: int = 10) -> DataFrame:
-    """One JSON document per year: actions, seconds, twelve months and the top lists.
-
-    Only bounded lists (12 months, 50 tracks, action names) are collected per year."""
+def build_year_stats_doc(plays: DataFrame, log: DataFrame, catalog: DataFrame, history: DataFrame | None = None, top: int = 50, track: str = "track_id",
+                         top_values: int = 10, history_track: str = "path") -> DataFrame:
+    """One JSON document per year: actions, seconds, twelve months, and the top lists by plays, by complete plays, by artist and by genre, each also of the
+    ``history`` of another player (y, its track, artist, genre; it has no durations).
+
+    Only bounded lists (12 months, ``top`` tracks, ``top_values`` values, action names) are collected per year.  Every year of any source has a
+    document.
+    """
     u = stats.usable_plays(plays)
     months = stats.listen_seconds(u)
     acts = stats.action_counts(log)
-    years = u.select("y").union(log.select("y")).distinct()
+    years = u.select("y").union(log.select("y"))
+    if history is not None:
+        years = years.union(history.select("y"))
     # the spine holds every year of any source, so months exist for years without plays too
-    spine = years.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    spine = years.filter("y IS NOT NULL").distinct().withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12))))
     by_month = acts.filter("m IS NOT NULL").groupBy("y", "m").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "n")))).alias("actions"))
     month_rows = (spine.join(months, ["y", "m"], "left").join(by_month, ["y", "m"], "left").groupBy("y").agg(
         F.coalesce(F.max("year_seconds"), F.lit(0)).alias("listen_seconds"),
         F.array_sort(F.collect_list(F.struct("m", F.coalesce("month_seconds", F.lit(0)).alias("listen_seconds"), "actions")),
                      lambda x, y: x["m"] - y["m"]).alias("months")))
     by_year = acts.filter("m IS NULL").groupBy("y").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "n")))).alias("actions"))
-    ranked = stats.with_titles(stats.top_tracks(u, top), catalog)
-    tops = ranked.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("rank", track, "artist", "title", "plays", "seconds"))).alias("top_tracks"))
-    artists = stats.top_groups(u, catalog, "artist", track=track, n=top_artists)
-    groups = artists.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("rank", "artist", "seconds", "plays", "tracks"))).alias("top_artists"))
-    doc = month_rows.join(by_year, "y", "left").join(tops, "y", "left").join(groups, "y", "left")
-    return doc.select("y", F.to_json(F.struct("listen_seconds", "actions", "months", "top_tracks", "top_artists")).alias("doc")).orderBy(F.desc("y"))
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        cols = ["rank", *[c for c in df.columns if c not in ("y", "rank")]]
+        return df.groupBy("y").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    lists = [listed(stats.with_titles(stats.top_tracks(u, top), catalog, track), "top_tracks"),
+             listed(stats.with_titles(stats.top_tracks_relative(u, catalog, top, track=track), catalog, track), "top_tracks_relative"),
+             listed(stats.top_groups(u, catalog, "artist", track=track, n=top_values), "top_artists"),
+             listed(stats.top_groups(u, catalog, "genre", track=track, n=top_values), "top_genres")]
+    if history is not None:
+        lists += [listed(stats.top_history(history, top, track=history_track), "history_top_tracks"),
+                  listed(stats.top_history_groups(history, "artist", top_values, track=history_track), "history_top_artists"),
+                  listed(stats.top_history_groups(history, "genre", top_values, track=history_track), "history_top_genres")]
+    doc = month_rows.join(by_year, "y", "left")
+    for part in lists:
+        doc = doc.join(part, "y", "left")
+    return doc.select("y", F.to_json(F.struct(*[c for c in doc.columns if c != "y"])).alias("doc")).orderBy(F.desc("y"))
+
+
+def stats_coverage(plays: DataFrame, log: DataFrame, history: DataFrame, ts: str = "ts") -> DataFrame:
+    """One row: the years that have a document, latest first, and how far each source reaches (null for an empty one)."""
+    u = stats.usable_plays(plays)
+    years = u.select("y").union(log.select("y")).union(history.select("y")).filter("y IS NOT NULL").distinct()
+    return (years.agg(F.reverse(F.array_sort(F.collect_set("y"))).alias("available_years"))
+            .crossJoin(plays.agg(F.max(ts).alias("plays_through"))).crossJoin(log.agg(F.max(ts).alias("log_through")))
+            .crossJoin(history.agg(F.max(ts).alias("history_through"))))
 
 
 def write_bar_dataset(bars: DataFrame, out: str, buckets: int = 64, track: str = "track") -> None:
