@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from crateloom.llm.common import discard, stored
+from crateloom.llm.common import discard, parts_of, stored
 
 #: Tasks remember so many sets or bytes at most.
 MET, BLOCK = 400_000, 1 << 20
@@ -236,7 +236,7 @@ def node_table(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     """A row a document: _id, _text_key, _node (null without shingles), _n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
-        for b in batches:
+        for b in parts_of(batches, 2):
             sets = [(len(x), node_of(x)) for x in shingle.sets(b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s[1] for s in sets], pa.int64()), pa.array([s[0] for s in sets], pa.int64())],
                                              ["_id", "_text_key", "_node", "_n"])
@@ -250,7 +250,7 @@ def index_entries(docs: DataFrame, width: int, percent: int, text_col: str) -> D
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, met = Shingler(width), set()
-        for b in batches:
+        for b in parts_of(batches, 0):
             for at in range(0, b.num_rows, 400):
                 keys, members = [], []
                 for x in shingle.sets(b.column(0).slice(at, 400).to_pylist()):
@@ -275,7 +275,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
-        for b in batches:
+        for b in parts_of(batches, 1):
             for at in range(0, b.num_rows, 400):
                 sets = [x for x in shingle.sets(b.column(1).slice(at, 400).to_pylist()) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
