@@ -240,6 +240,20 @@ def t22(spark, sf):
     return cl.apply_rules(t, RULES, ignored="ign")
 
 
+TAG_RULES = [rp.Rule("a", (rp.Term("economy"), rp.Term("promo")), "low  price", ("tags", "title")), rp.Rule("b", (rp.Term("price"),), "", ("tags",)),
+             rp.Rule("c", (rp.Term("brushed"),), "X", ("title",))]
+
+
+@query("t22_apply_rules_tags", with_ctes("""
+, g AS (SELECT path, track_id, lower(album) || '  set' AS tag FROM tracks),
+ a AS (SELECT *, regexp_matches(tag, '^(economy|promo) ') AS hit FROM g)
+SELECT path, tag, 0 AS step, 'rule:a' AS code, 'tags' AS field, tag AS old, 'low price set' AS new FROM a WHERE hit
+UNION ALL SELECT path, tag, 1, 'rule:b', 'tags', 'low price set', 'low set' FROM a WHERE hit AND track_id % 5 <> 0"""))
+def t22_tags(spark, sf):
+    t = tracks(spark, sf).select("path", F.expr("concat(lower(album), '  set')").alias("tag"), F.expr("if(track_id % 5 = 0, array('rule:b'), null)").alias("ign"))
+    return cl.apply_rules_to_tags(t, TAG_RULES, ignored="ign")
+
+
 @query("t23_safe_replace", with_ctes("""
 , ch AS (SELECT path, 'title' AS field, CASE WHEN track_id % 3 = 0 THEN 'stale' ELSE title END AS old, CASE WHEN track_id % 5 = 0 THEN title ELSE title || '!' END AS new, track_id FROM tracks)
 SELECT path, field, old, trim(new) AS new, CASE WHEN track_id % 7 = 0 THEN 'unknown' WHEN track_id % 3 = 0 THEN 'changed'
