@@ -43,19 +43,19 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
         return out.withColumn(total, F.count("*").over(w)) if total else out
     facts = _cuts(df, keys, order, large, limit)
     placed = _in_parts(df, keys, order, facts)
-    w = Window.partitionBy(*keys, "_part")
-    out = placed.withColumn(idx, (F.coalesce(F.get("_before", F.col("_part")), F.lit(0)) + F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
+    w = Window.partitionBy(*keys, "_ix_part")
+    out = placed.withColumn(idx, (F.coalesce(F.get("_ix_before", F.col("_ix_part")), F.lit(0)) + F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
     if total:
-        out = out.withColumn(total, F.coalesce(F.col("_rows"), F.count("*").over(w)).cast("long"))
-    return out.drop("_part", "_before", "_rows")
+        out = out.withColumn(total, F.coalesce(F.col("_ix_rows"), F.count("*").over(w)).cast("long"))
+    return out.drop("_ix_part", "_ix_before", "_ix_rows")
 
 
 def _large_keys(df: DataFrame, keys: list[str], limit: int) -> tuple[int, DataFrame | None]:
     """The rows a key may have to be numbered by one window, and the keys with more (None if there are none)."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    rows, most = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_ix_rows"))
+    rows, most = sizes.agg(F.sum("_ix_rows"), F.max("_ix_rows")).first()
     limit = max(limit, (rows or 0) // PARTS)
-    return limit, None if (most or 0) <= limit else sizes.filter(F.col("_rows") > limit)
+    return limit, None if (most or 0) <= limit else sizes.filter(F.col("_ix_rows") > limit)
 
 
 def _cuts(df: DataFrame, keys: list[str], order: list[Column], large: DataFrame, limit: int) -> DataFrame:
@@ -64,22 +64,22 @@ def _cuts(df: DataFrame, keys: list[str], order: list[Column], large: DataFrame,
     There are at most ``PARTS`` large keys with 4 * ``PARTS`` parts in all, so this table is sent to the
     tasks whatever the size of ``df``.
     """
-    spark, names = df.sparkSession, [f"_k{i}" for i in range(len(keys))]
+    spark, names = df.sparkSession, [f"_ix_k{i}" for i in range(len(keys))]
     own = [F.col(k).alias(n) for k, n in zip(keys, names)]
-    big = large.select(*own, "_rows", F.ceil(F.col("_rows") * 2 / limit).alias("_parts"))
+    big = large.select(*own, "_ix_rows", F.ceil(F.col("_ix_rows") * 2 / limit).alias("_ix_parts"))
     big = F.broadcast(spark.createDataFrame(big.collect(), big.schema))
-    step = F.greatest(F.lit(1), F.expr("_rows div (_parts * 16)"))                    # about 16 sampled rows a part
+    step = F.greatest(F.lit(1), F.expr("_ix_rows div (_ix_parts * 16)"))                    # about 16 sampled rows a part
     point = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    rows = df.select(*own, point.alias("_o"))
-    seen = _meet(rows, big, names).filter(F.pmod(F.xxhash64("_o"), step) == 0)
-    cuts = seen.groupBy(*names, "_rows", "_parts").agg(F.array_sort(F.collect_set("_o")).alias("_s"))
-    cuts = cuts.select(*names, "_rows", F.expr("filter(_s, (x, i) -> i > 0 and i % greatest(1, size(_s) div cast(_parts as int)) = 0)").alias("_s"))
-    cuts = cuts.select(*names, "_rows", F.expr(f"transform(sequence(0, size(_s) div {STRETCH}), b -> slice(_s, b * {STRETCH} + 1, {STRETCH}))").alias("_cuts"))
+    rows = df.select(*own, point.alias("_ix_o"))
+    seen = _meet(rows, big, names).filter(F.pmod(F.xxhash64("_ix_o"), step) == 0)
+    cuts = seen.groupBy(*names, "_ix_rows", "_ix_parts").agg(F.array_sort(F.collect_set("_ix_o")).alias("_ix_s"))
+    cuts = cuts.select(*names, "_ix_rows", F.expr("filter(_ix_s, (x, i) -> i > 0 and i % greatest(1, size(_ix_s) div cast(_ix_parts as int)) = 0)").alias("_ix_s"))
+    cuts = cuts.select(*names, "_ix_rows", F.expr(f"transform(sequence(0, size(_ix_s) div {STRETCH}), b -> slice(_ix_s, b * {STRETCH} + 1, {STRETCH}))").alias("_ix_cuts"))
     table = F.broadcast(spark.createDataFrame(cuts.collect(), cuts.schema))
-    counts = _meet(rows, table, names).groupBy(*names, _part("_o").alias("_part")).agg(F.count("*").alias("_n"))
-    counts = counts.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("_part", "_n"))).alias("_m"))
-    before = F.expr("transform(sequence(0, cast(array_max(map_keys(_m)) as int)), p -> aggregate(map_keys(_m), 0L, (a, q) -> a + if(q < p, _m[q], 0L)))")
-    facts = _meet(counts, table, names).select(*names, "_rows", "_cuts", before.alias("_before"))
+    counts = _meet(rows, table, names).groupBy(*names, _part("_ix_o").alias("_ix_part")).agg(F.count("*").alias("_ix_n"))
+    counts = counts.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("_ix_part", "_ix_n"))).alias("_ix_m"))
+    before = F.expr("transform(sequence(0, cast(array_max(map_keys(_ix_m)) as int)), p -> aggregate(map_keys(_ix_m), 0L, (a, q) -> a + if(q < p, _ix_m[q], 0L)))")
+    facts = _meet(counts, table, names).select(*names, "_ix_rows", "_ix_cuts", before.alias("_ix_before"))
     return spark.createDataFrame(facts.collect(), facts.schema)
 
 
@@ -96,16 +96,16 @@ def _meet(rows: DataFrame, table: DataFrame, names: list[str], how: str = "inner
 
 def _part(point: str) -> Column:
     """The number of cuts at or before a point: the stretch by its first cuts, the place in it by the others."""
-    stretch = f"greatest(size(filter(_cuts, (s, i) -> i > 0 and size(s) > 0 and s[0] <= {point})), 0)"
-    return F.expr(f"cast({stretch} * {STRETCH} + size(filter(_cuts[{stretch}], c -> c <= {point})) as int)")
+    stretch = f"greatest(size(filter(_ix_cuts, (s, i) -> i > 0 and size(s) > 0 and s[0] <= {point})), 0)"
+    return F.expr(f"cast({stretch} * {STRETCH} + size(filter(_ix_cuts[{stretch}], c -> c <= {point})) as int)")
 
 
 def _in_parts(df: DataFrame, keys: list[str], order: list[Column], facts: DataFrame) -> DataFrame:
     """``df`` with the part of each row (0 for small keys), its key's rows and the rows before each part."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    work = df.withColumns({n: F.col(k) for k, n in zip(keys, names)} | {"_o": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])})
+    names = [f"_ix_k{i}" for i in range(len(keys))]
+    work = df.withColumns({n: F.col(k) for k, n in zip(keys, names)} | {"_ix_o": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])})
     work = _meet(work, F.broadcast(facts), names, "left")
-    return work.withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(_part("_o"))).drop("_cuts", "_o", *names)
+    return work.withColumn("_ix_part", F.when(F.col("_ix_cuts").isNull(), 0).otherwise(_part("_ix_o"))).drop("_ix_cuts", "_ix_o", *names)
 
 
 def halo_window(df: DataFrame, keys: Sequence[str], idx: str, before: int, after: int,
@@ -171,22 +171,22 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sum
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({o: F.sum(c).over(upto) for o, c in sums.items()} | {o: F.last(c, ignorenulls=True).over(upto) for o, c in lasts.items()})
     facts = _cuts(df, keys, order, large, limit)
-    placed = _in_parts(df, keys, order, facts).drop("_before", "_rows")
-    upto = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _in_parts(df, keys, order, facts).drop("_ix_before", "_ix_rows")
+    upto = Window.partitionBy(*keys, "_ix_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumns({o: F.sum(c).over(upto) for o, c in sums.items()} | {o: F.last(c, ignorenulls=True).over(upto) for o, c in lasts.items()})
     # what each part leaves: a row a part, so small that one window a key takes them
     point = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    left = placed.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())],
-                                              *[F.max_by(c, F.when(F.col(c).isNotNull(), point)).alias(f"_l{i}") for i, c in enumerate(lasts.values())])
-    prior = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    names = [f"_k{i}" for i in range(len(keys))]
-    carry = left.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_part").alias(f"_k{len(keys)}"),
-                        *[F.sum(f"_s{i}").over(prior).alias(f"_s{i}") for i in range(len(sums))],
-                        *[F.last(f"_l{i}", ignorenulls=True).over(prior).alias(f"_l{i}") for i in range(len(lasts))])
-    marked = out.withColumns({n: F.col(k) for k, n in zip([*keys, "_part"], [*names, f"_k{len(keys)}"])})
-    out = _meet(marked, carry, [*names, f"_k{len(keys)}"], "left")
-    out = out.withColumns({o: F.when(F.col(f"_s{i}").isNull(), F.col(o)).otherwise(F.col(f"_s{i}") + F.coalesce(o, F.lit(0))) for i, o in enumerate(sums)}
-                          | {o: F.coalesce(o, f"_l{i}") for i, o in enumerate(lasts)})
+    left = placed.groupBy(*keys, "_ix_part").agg(*[F.sum(c).alias(f"_ix_s{i}") for i, c in enumerate(sums.values())],
+                                              *[F.max_by(c, F.when(F.col(c).isNotNull(), point)).alias(f"_ix_l{i}") for i, c in enumerate(lasts.values())])
+    prior = Window.partitionBy(*keys).orderBy("_ix_part").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_ix_k{i}" for i in range(len(keys))]
+    carry = left.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_ix_part").alias(f"_ix_k{len(keys)}"),
+                        *[F.sum(f"_ix_s{i}").over(prior).alias(f"_ix_s{i}") for i in range(len(sums))],
+                        *[F.last(f"_ix_l{i}", ignorenulls=True).over(prior).alias(f"_ix_l{i}") for i in range(len(lasts))])
+    marked = out.withColumns({n: F.col(k) for k, n in zip([*keys, "_ix_part"], [*names, f"_ix_k{len(keys)}"])})
+    out = _meet(marked, carry, [*names, f"_ix_k{len(keys)}"], "left")
+    out = out.withColumns({o: F.when(F.col(f"_ix_s{i}").isNull(), F.col(o)).otherwise(F.col(f"_ix_s{i}") + F.coalesce(o, F.lit(0))) for i, o in enumerate(sums)}
+                          | {o: F.coalesce(o, f"_ix_l{i}") for i, o in enumerate(lasts)})
     return out.select(*df.columns, *sums, *lasts)
 
 
@@ -215,13 +215,13 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     keys = list(keys)
     # the other columns break ties, so that one frequent value can be split over partitions
     others = [f.name for f in df.schema if f.dataType.typeName() != "map"]
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, F.xxhash64(*others).alias("_tie"))
-    ranked = index_rows(rows, keys, [F.col(value), F.col("_tie")], "_i", "_n", at_most=at_most)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, F.xxhash64(*others).alias("_ix_tie"))
+    ranked = index_rows(rows, keys, [F.col(value), F.col("_ix_tie")], "_ix_i", "_ix_n", at_most=at_most)
     aggs = []
     for name, q in quantiles.items():
-        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        pos = F.lit(float(q)) * (F.col("_ix_n") - 1)
         lo, frac = F.floor(pos), pos - F.floor(pos)
-        low = F.max(F.when(F.col("_i") == lo, F.col(value)))
-        high = F.max(F.when(F.col("_i") == F.least(lo + 1, F.col("_n") - 1), F.col(value)))
+        low = F.max(F.when(F.col("_ix_i") == lo, F.col(value)))
+        high = F.max(F.when(F.col("_ix_i") == F.least(lo + 1, F.col("_ix_n") - 1), F.col(value)))
         aggs.append((low + (high - low) * F.max(frac)).alias(name))
     return ranked.groupBy(*keys).agg(*aggs)
