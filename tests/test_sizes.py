@@ -17,3 +17,9 @@ def test_columns_of_the_caller_keep_their_names_when_a_key_is_cut(spark):
 def test_learned_outro_over_more_rows_than_one_window_takes(spark):
     t = spark.range(40_000).selectExpr("id AS drop2", "id + 17 + id % 61 AS outro_start")
     assert ml.learned_outro(t).first()["outro_bars"] == 48
+
+
+def test_median_error_over_more_rows_than_one_window_takes(spark):
+    rows = spark.range(40_001).selectExpr("'drop2' AS role", "CAST(id - 20000 AS DOUBLE) AS off", "CAST(id AS DOUBLE) AS raw")
+    out = ml.oof_summary(rows, 40_001, raw="raw").first()
+    assert (out["n"], out["median_off"]) == (40_001, 10_000.0)
