@@ -1,8 +1,12 @@
 """Cases that show only on larger or odd tables."""
-from pyspark.sql import functions as F
+import os
 
+import pytest
+from check import compare, duck
+
+import __spark_entry__ as entry
 from crateloom.operators import learning as ml
-from crateloom.operators.ordering import along, exact_percentiles, index_rows
+from crateloom.operators.ordering import along, index_rows
 
 
 def test_columns_of_the_caller_keep_their_names_when_a_key_is_cut(spark):
@@ -23,3 +27,21 @@ def test_median_error_over_more_rows_than_one_window_takes(spark):
     rows = spark.range(40_001).selectExpr("'drop2' AS role", "CAST(id - 20000 AS DOUBLE) AS off", "CAST(id AS DOUBLE) AS raw")
     out = ml.oof_summary(rows, 40_001, raw="raw").first()
     assert (out["n"], out["median_off"]) == (40_001, 10_000.0)
+
+
+@pytest.fixture(scope="module")
+def halves(tmp_path_factory):
+    """The smallest tables with order prices whose thousandth ends on half a cent."""
+    import duckdb
+    here, small = tmp_path_factory.mktemp("halves"), "/root/testdata/sf0.001"
+    for f in os.listdir(small):
+        if f != "orders.parquet":
+            os.symlink(f"{small}/{f}", here / f)
+    duckdb.execute(f"COPY (SELECT * REPLACE (round(o_totalprice / 10) * 10 + 5.0 AS o_totalprice) FROM '{small}/orders.parquet') TO '{here}/orders.parquet' (FORMAT parquet)")
+    return str(here)
+
+
+@pytest.mark.parametrize("name", ["a2_listen_seconds"])
+def test_half_cents_go_where_the_sql_puts_them(spark, halves, name):
+    rows, err = compare(spark, duck(halves), entry.queries()[name], entry.oracle_sql()[name], halves)
+    assert err is None, err
