@@ -41,7 +41,7 @@ def halves(tmp_path_factory):
     return str(here)
 
 
-@pytest.mark.parametrize("name", ["a2_listen_seconds", "a5_top_groups"])
+@pytest.mark.parametrize("name", ["a2_listen_seconds", "a5_top_groups", "snk3_year_stats_doc"])
 def test_half_cents_go_where_the_sql_puts_them(spark, halves, name):
     rows, err = compare(spark, duck(halves), entry.queries()[name], entry.oracle_sql()[name], halves)
     assert err is None, err
