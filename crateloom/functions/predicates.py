@@ -135,9 +135,15 @@ def flag(col: str, wanted: bool = True) -> Column:
     return F.coalesce(F.col(col).cast("boolean"), F.lit(False)) == wanted
 
 
-def fuzzy_word(col: str, word: str, tolerance: float = 0.8, least_letters: int = 4) -> Column:
+def _octets(c: Column) -> Column:
+    """A character per UTF-8 byte."""
+    return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+
+
+def fuzzy_word(col: str, word: str, tolerance: float = 0.8, least_letters: int = 4, octets: bool = False) -> Column:
     """Some word within the allowed edits (a quarter of the length times the tolerance, none below
-    ``least_letters``), or the word as a part of the text."""
+    ``least_letters``), or the word as a part of the text.  With ``octets`` UTF-8 bytes are edited, not characters:
+    another letter outside ASCII is then two edits or more."""
     needle = fold_py(word)
     k = int(len(needle) * tolerance / 4) if len(needle) >= least_letters else 0
     text = fold(F.col(col))
@@ -145,7 +151,8 @@ def fuzzy_word(col: str, word: str, tolerance: float = 0.8, least_letters: int =
     if k == 0:
         return whole
     words = F.split(text, "[^\\p{L}\\p{N}]+")
-    return whole | F.exists(words, lambda w: F.levenshtein(w, F.lit(needle), k) >= 0)
+    unit = _octets if octets else (lambda c: c)
+    return whole | F.exists(words, lambda w: F.levenshtein(unit(w), unit(F.lit(needle)), k) >= 0)
 
 
 def has_hot_cue(edits: Column, snapshot: Column, live: Column) -> Column:

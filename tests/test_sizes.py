@@ -5,6 +5,7 @@ import pytest
 from check import compare, duck
 
 import __spark_entry__ as entry
+from crateloom.functions import predicates as pr
 from crateloom.operators import learning as ml
 from crateloom.operators.ordering import along, index_rows
 
@@ -45,3 +46,10 @@ def halves(tmp_path_factory):
 def test_half_cents_go_where_the_sql_puts_them(spark, halves, name):
     rows, err = compare(spark, duck(halves), entry.queries()[name], entry.oracle_sql()[name], halves)
     assert err is None, err
+
+
+def test_edits_in_bytes_count_another_letter_twice(spark):
+    words = spark.createDataFrame([("verßst",), ("verast",), ("an everest",), ("veres",), ("verßßt",)], "t string")
+    near = {o: [r.t for r in words.filter(pr.fuzzy_word("t", "Vérest", octets=o)).collect()] for o in (False, True)}
+    assert near[False] == ["verßst", "verast", "an everest", "veres"]
+    assert near[True] == ["verast", "an everest", "veres"]
