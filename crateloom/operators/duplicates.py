@@ -1,17 +1,23 @@
 """Duplicates, near-equal fingerprints and values that should be one.
 
 Blocks are never paired row by row: equal keys are aggregated, near durations are chained through
-fixed-width buckets, and typo candidates meet only on whole segments of distinct values.
+fixed-width buckets, typo candidates meet only on whole segments of distinct values, and vectors in pairs
+of bounded blocks.
 """
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crateloom.functions.text import blank, fold
 from crateloom.session import cut
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])        # executors need no copy of this package
 TOLERANCE_S = 3.0
 COLLAB = "(?U)\\s*(?:,|&|\\band\\b|\\bund\\b|\\bx\\b|\\bvs\\b\\.?)\\s*"
 FEAT = "(?U)\\s*[(\\[]?\\s*\\b(?:feat|ft|featuring)\\b\\.?\\s+[^)\\]]*[)\\]]?"
@@ -286,7 +292,8 @@ def _near(probe: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """(fp, rep, mad) for representatives earlier than the probe and within both limits.
 
     Only ids, spreads and a few part means meet in the grid.  The deviation of part means never exceeds that of the vectors, so a pair goes
-    to the next finer level only where the coarser one allows it, and whole vectors are fetched for the pairs that are left.
+    to the next finer level only where the coarser one allows it, and whole vectors are fetched for the pairs that are left.  Where all vectors
+    share a few grid cells this pairs rows in a join; :func:`_near_blocks` has the same result.
     """
     levels = _levels(size)
     sketch = levels[min(1, len(levels) - 1)]
@@ -304,6 +311,93 @@ def _near(probe: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return whole.withColumn("mad", _deviation("vec", "_rv")).filter(F.col("mad") <= limit).select("fp", "rep", "mad")
 
 
+#: Rows of a block of vectors at most and at least, blocks wanted, pairs settled at once, sign patterns that bound a pair from below.
+BLOCK, SMALL_BLOCK, BLOCKS, AT_ONCE, PATTERNS = 16384, 512, 8, 1 << 20, 12
+_EDGE = "fp string, rep string, mad double"
+
+
+def _patterns(size: int) -> np.ndarray:
+    """Columns of Walsh signs.  A sum of differences under any signs never exceeds the sum of their absolute values."""
+    at = np.arange(size)[:, None] & ((np.arange(PATTERNS) * 37 + 1) % max(2, 1 << (size - 1).bit_length()))[None, :]
+    return 1.0 - 2.0 * (np.array([bin(x).count("1") for x in at.ravel()]).reshape(at.shape) & 1)
+
+
+def _close(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a``, rows of ``b`` and mean absolute deviation of the pairs within both limits.
+
+    Pairs that the patterns rule out are not looked at; the others are summed component by component.
+    """
+    size, signs = a.shape[1], _patterns(a.shape[1])
+    pa_, pb = (a @ signs / size).T, (b @ signs / size).T
+    slack = 1e-9 * (1.0 + max(np.abs(x).max(initial=0.0, where=np.isfinite(x)) for x in (a, b)))
+    found = []
+    for i in range(0, len(a), step := max(1, AT_ONCE // max(1, len(b)))):
+        own = slice(i, i + step)
+        most = (np.clip(sa[own] * REL_MAD, MIN_MAD, MAX_MAD) + slack)[:, None]
+        left = np.ones((len(a[own]), len(b)), bool)
+        for x, y in zip(pa_, pb):
+            left &= np.abs(x[own, None] - y) <= most
+        x, y = np.nonzero(left)
+        if len(x) * 4 > left.size:
+            mad = np.zeros(left.shape)
+            for j in range(size):
+                mad += np.abs(a[own, j, None] - b[:, j])
+            mad = mad[x, y] / size
+        else:
+            mad = np.zeros(len(x))
+            for j in range(size):
+                mad += np.abs(a[x + i, j] - b[y, j])
+            mad /= size
+        ok = mad <= np.clip(np.minimum(sa[x + i], sb[y]) * REL_MAD, MIN_MAD, MAX_MAD)
+        found.append((x[ok] + i, y[ok], mad[ok]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _near_blocks(probe: DataFrame, reps: DataFrame | None, size: int) -> DataFrame:
+    """(fp, rep, mad) for representatives earlier than the probe and within both limits; without ``reps`` the probes among themselves.
+
+    Both sides are dealt into blocks and a task settles one pair of blocks, so memory is bounded and the work is spread however alike the
+    vectors are.  Vectors of another size are near to none.
+    """
+    itself = reps is None
+
+    def blocks(df: DataFrame) -> int:
+        n = df.count()
+        return max(1, -(-n // min(BLOCK, max(SMALL_BLOCK, n // BLOCKS))))
+
+    def dealt(df: DataFrame, n: int, b: str, c: str, copies: str) -> DataFrame:
+        """The rows with their block ``b``, once for each block ``c`` of the other side."""
+        home = F.pmod(F.xxhash64("fp"), F.lit(n)).cast("int")
+        rows = df.filter(F.size("vec") == size).select(F.col("fp").alias("fp"), F.col("std").alias("std"), F.col("vec").alias("vec"), home.alias(b))
+        return rows.withColumn(c, F.explode(F.expr(copies)))
+
+    n = blocks(probe)
+    m = n if itself else blocks(reps)
+    left = dealt(probe, n, "_b", "_c", f"sequence({'_b' if itself else 0}, {m - 1})")
+    right = dealt(probe if itself else reps, m, "_c", "_b", "sequence(0, _c)" if itself else f"sequence(0, {n - 1})")
+    # other column ids than the left side's, which may be the same table
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns]).toDF(*right.columns)
+
+    def settle(x: pa.Table, y: pa.Table) -> pa.Table:
+        empty = pa.table({"fp": pa.array([], pa.string()), "rep": pa.array([], pa.string()), "mad": pa.array([], pa.float64())})
+        if not len(x) or not len(y):
+            return empty
+        arrays = []
+        for t in (x, y):
+            vec = t.column("vec").combine_chunks()
+            arrays += [np.asarray(vec.flatten().to_numpy(zero_copy_only=False), float).reshape(len(t), size), np.asarray(t.column("std").to_numpy(), float), np.array(t.column("fp").to_pylist(), object)]
+        a, sa, fa, b, sb, fb = arrays
+        i, j, mad = _close(a, b, sa, sb)
+        fp, rep = fa[i], fb[j]
+        if itself and x.column("_b")[0].as_py() != x.column("_c")[0].as_py():
+            turn = (rep > fp).astype(bool)                          # each pair of blocks is settled once, so either side may come first
+            fp, rep = np.where(turn, rep, fp), np.where(turn, fp, rep)
+        ok = (rep < fp).astype(bool)
+        return pa.table({"fp": pa.array(fp[ok], pa.string()), "rep": pa.array(rep[ok], pa.string()), "mad": pa.array(mad[ok], pa.float64())})
+
+    return left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(settle, _EDGE)
+
+
 def group_fingerprints(df: DataFrame, size: int, fp: str = "fp", vec: str = "vec", first_batch: int = 4096) -> DataFrame:
     """Each distinct fingerprint -> the representative of its group.
 
@@ -320,7 +414,7 @@ def group_fingerprints(df: DataFrame, size: int, fp: str = "fp", vec: str = "vec
     rest, reps, batch = items, None, first_batch
     while not rest.isEmpty():
         part = cut(rest.orderBy("fp").limit(batch))
-        edges = cut(_near(part, part, size))
+        edges = cut(_near_blocks(part, None, size))
         open_ids, new = part.select("fp"), None
         while True:
             blocked = edges.join(open_ids.select(F.col("fp").alias("rep")), "rep", "left_semi").select("fp").distinct()
@@ -334,9 +428,9 @@ def group_fingerprints(df: DataFrame, size: int, fp: str = "fp", vec: str = "vec
         fresh = cut(part.join(new, "fp", "left_semi"))
         reps = fresh if reps is None else reps.unionByName(fresh)
         rest = rest.join(part.select("fp"), "fp", "left_anti")
-        rest = cut(rest.join(_near(rest, fresh, size).select("fp").distinct(), "fp", "left_anti"))
+        rest = cut(rest.join(_near_blocks(rest, fresh, size).select("fp").distinct(), "fp", "left_anti"))
         batch *= 4
     if reps is None:
         return items.select("fp", F.col("fp").alias("representative"))
-    nearest = _near(items.join(reps.select("fp"), "fp", "left_anti"), reps, size).groupBy("fp").agg(F.min_by("rep", F.struct("mad", "rep")).alias("representative"))
+    nearest = _near_blocks(items.join(reps.select("fp"), "fp", "left_anti"), reps, size).groupBy("fp").agg(F.min_by("rep", F.struct("mad", "rep")).alias("representative"))
     return reps.select("fp", F.col("fp").alias("representative")).unionByName(nearest)

@@ -1,12 +1,13 @@
 """Cases that show only on larger or odd tables."""
 import os
 
+import numpy as np
 import pytest
 from check import compare, duck
 
 import __spark_entry__ as entry
 from crateloom.functions import predicates as pr
-from crateloom.operators import learning as ml
+from crateloom.operators import duplicates as du, learning as ml
 from crateloom.operators.ordering import along, index_rows
 
 
@@ -53,3 +54,21 @@ def test_edits_in_bytes_count_another_letter_twice(spark):
     near = {o: [r.t for r in words.filter(pr.fuzzy_word("t", "Vérest", octets=o)).collect()] for o in (False, True)}
     assert near[False] == ["verßst", "verast", "an everest", "veres"]
     assert near[True] == ["verast", "an everest", "veres"]
+
+
+@pytest.mark.parametrize("size", [64, 30])
+def test_near_vectors_in_pairs_of_blocks(spark, size, monkeypatch):
+    monkeypatch.setattr(du, "SMALL_BLOCK", 16)
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 256, (5, size))
+    vecs = {f"{i:03d}": np.clip(base[i % 5] + rng.integers(-9, 10, size) * rng.integers(0, 2), 0, 255).astype(float) for i in range(120)}
+    df = spark.createDataFrame([(k, [float(x) for x in v], float(v.std())) for k, v in vecs.items()], "fp string, vec array<double>, std double")
+    want = {(a, b) for a in vecs for b in vecs if b < a and np.abs(vecs[a] - vecs[b]).mean() <= np.clip(0.15 * min(vecs[a].std(), vecs[b].std()), 1, 5)}
+    assert want and {(r.fp, r.rep) for r in du._near_blocks(df, None, size).collect()} == want
+    assert {(r.fp, r.rep) for r in du._near_blocks(df, df, size).collect()} == want
+
+
+def test_vectors_of_one_grid_cell_are_not_paired_in_a_join(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(f"{i:04d}", [float(x) for x in rng.integers(118, 138, 64)], 5.8) for i in range(50)], "fp string, vec array<double>, std double")
+    assert "Join" not in du._near_blocks(df, None, 64)._jdf.queryExecution().optimizedPlan().toString()
