@@ -5,8 +5,8 @@ with the band of its length: below the lower limit the text repeats itself, abov
 texts compress badly by nature, so the limits are given per length; between two given lengths they are
 interpolated over the logarithm of the length.  A text is rejected when its whole ratio is outside its band or when more
 than ``bad_share`` of its chunks are outside theirs.  :func:`fit_bands` takes the limits from texts labelled good: for each power of two of
-the length the ``share`` and 1 - ``share`` quantiles of their ratios with a margin.  It reads at most ``sample`` labelled texts, lowest seeded
-hash first; lengths with fewer than ``least`` of them keep the wide limits of ``BANDS``.
+the length the ``share`` and 1 - ``share`` quantiles of their ratios with a margin.  It takes every text
+that is labelled so; lengths with fewer than ``least`` of them keep the wide limits of ``BANDS``.
 
 Before the bands, the base rules count words, symbols, repeated lines and words in repeated 5-word windows.
 
@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from crateloom.llm.common import per_batch
+from crateloom.operators.ordering import exact_percentiles
+from crateloom.session import cut
 
 #: (bytes, least ratio, most ratio) where no labels tell more; the ratio of ordinary prose falls with the length.
 BANDS = ((64, 0.42, 1.16), (128, 0.36, 1.04), (256, 0.30, 0.92), (512, 0.26, 0.84), (1024, 0.23, 0.76), (2048, 0.20, 0.70),
@@ -85,20 +87,23 @@ def band_verdict(data: bytes, pack: zstandard.ZstdCompressor, chunk: int, bad_sh
     return ratio, len(sides), bad, ("repetitive", "ok", "incompressible")[side + 1]
 
 
-def fit_bands(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 3, sample: int = 20_000, share: float = 0.005,
-              margins: tuple[float, float] = (0.004, 0.03), least: int = 40, seed: int = 13) -> tuple[tuple[float, float, float], ...]:
-    """Limits per length from the documents whose ids are in ``good`` and which pass the base rules."""
+def fit_bands(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 3, share: float = 0.005,
+              margins: tuple[float, float] = (0.004, 0.03), least: int = 40) -> tuple[tuple[float, float, float], ...]:
+    """Limits per length from all documents whose ids are in ``good`` and which pass the base rules.
+
+    Texts are measured where they lie; only ids, lengths and ratios are joined with the labels and put in order.
+    """
     ids = good.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(sample)
-    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(ids), "_id", "left_semi")
+    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
 
     def measure(cols: dict[str, list], pack: zstandard.ZstdCompressor) -> dict[str, object]:
-        texts = [t for t in cols["_text"] if t and len(t) >= 256 and not failed(base_counts(t))]
-        return {"n": [len(t) for t in texts], "ratio": [len(pack.compress(t)) / len(t) for t in texts]}
+        rows = [(i, t) for i, t in zip(cols["_id"], cols["_text"]) if i is not None and t and len(t) >= 256 and not failed(base_counts(t))]
+        return {"_id": [i for i, _ in rows], "n": [len(t) for _, t in rows], "ratio": [len(pack.compress(t)) / len(t) for _, t in rows]}
 
-    seen = per_batch(slim, measure, "n bigint, ratio double", setup=lambda: zstandard.ZstdCompressor(level=level))
-    rows = (seen.groupBy(F.floor(F.log2("n")).cast("int").alias("power"))
-            .agg(F.count("*").alias("n"), F.expr(f"percentile(ratio, array({share}, {1 - share}))").alias("q")).where(F.col("n") >= least).collect())
+    seen = per_batch(slim, measure, "_id bigint, n bigint, ratio double", setup=lambda: zstandard.ZstdCompressor(level=level))
+    seen = cut(seen.join(ids, "_id", "left_semi").select("_id", F.floor(F.log2("n")).cast("int").alias("power"), "ratio"))
+    enough = seen.groupBy("power").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rows = exact_percentiles(seen, ["power"], "ratio", {"low": share, "high": 1 - share}).join(enough, "power").select("power", F.array("low", "high").alias("q")).collect()
     found = {r["power"]: r["q"] for r in rows}
     if not found:
         return BANDS
