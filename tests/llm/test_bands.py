@@ -8,8 +8,10 @@ from crateloom.llm import bands
 
 def test_every_labelled_text_counts(spark):
     """More good texts than the former sample of 20,000; the quantiles are those of all of them."""
-    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.substring(F.md5(F.concat("doc_id", F.lit("/"), i).cast("binary")), 1, 5)))
-    docs = spark.range(20_400).select(F.col("id").alias("doc_id")).select("doc_id", text.alias("text"))
+    late = [r.id for r in spark.range(20_400).orderBy(F.xxhash64(F.lit(13), "id"), "id").collect()[20_000:]]       # those the sample left out
+    digest = lambda i: F.md5(F.concat("id", F.lit("/"), i).cast("binary"))
+    words = F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.when(F.col("late"), F.concat(F.substring(digest(i), 1, 1), F.lit("aaaa"))).otherwise(F.substring(digest(i), 1, 5)))
+    docs = spark.range(20_400).withColumn("late", F.array_contains(F.lit(late), F.col("id"))).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words).alias("text"))
     rows = docs.collect()
     pack = zstandard.ZstdCompressor(level=3)
     ratios = [len(pack.compress(t.text.encode())) / len(t.text) for t in rows]
