@@ -45,3 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and forget how it was made."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` dealt over four tasks a core by ``cols``, if it is read in fewer parts than two a core.
+
+    A file of few bytes may hold millions of rows and is one or two tasks; work that is dear per row would run in these alone.
+    The number of tasks is named, since otherwise they would be merged again for their few bytes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores, *cols)
+
+
+def by_key(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` in the shuffle's own number of parts (four a core at least) by ``cols``, for sorts and joins of many small rows.
+
+    Left alone, parts are merged by their packed bytes up to a fixed size, and what a task has to sort grows with the table.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *cols)

@@ -7,8 +7,10 @@ from check import compare, duck
 
 import __spark_entry__ as entry
 from crateloom.functions import predicates as pr
-from crateloom.operators import duplicates as du, learning as ml
+from crateloom.operators import cleanup as cl, duplicates as du, learning as ml, linkage as lk
 from crateloom.operators.ordering import along, index_rows
+from crateloom.plans.bindings import tracks
+from crateloom.session import spread
 
 
 def test_columns_of_the_caller_keep_their_names_when_a_key_is_cut(spark):
@@ -72,3 +74,16 @@ def test_vectors_of_one_grid_cell_are_not_paired_in_a_join(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(f"{i:04d}", [float(x) for x in rng.integers(118, 138, 64)], 5.8) for i in range(50)], "fp string, vec array<double>, std double")
     assert "Join" not in du._near_blocks(df, None, 64)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plan_of(df, which="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), which)().toString()
+
+
+def test_a_small_file_of_many_rows_is_dealt_over_the_tasks(spark, tmp_path):
+    spark.range(5000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    t, cores = spark.read.parquet(str(tmp_path / "t")), spark.sparkContext.defaultParallelism
+    dealt = spread(t, "id")
+    assert dealt.rdd.getNumPartitions() == 4 * cores and dealt.distinct().count() == 5000
+    assert spread(dealt, "id") is dealt
+    assert tracks(spark, entry.SMOKE).select("title").rdd.getNumPartitions() == 4 * cores
