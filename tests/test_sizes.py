@@ -87,3 +87,9 @@ def test_a_small_file_of_many_rows_is_dealt_over_the_tasks(spark, tmp_path):
     assert dealt.rdd.getNumPartitions() == 4 * cores and dealt.distinct().count() == 5000
     assert spread(dealt, "id") is dealt
     assert tracks(spark, entry.SMOKE).select("title").rdd.getNumPartitions() == 4 * cores
+
+
+def test_the_chain_of_rules_runs_once_a_title(spark):
+    plan = plan_of(entry.queries()["t19_cleanup_issues"](spark, entry.SMOKE))
+    chain = plan_of(cl.cleanup_issues(tracks(spark, entry.SMOKE), ["title"]).select("cleanup"))
+    assert plan.count("web_junk") == chain.count("web_junk") > 0
