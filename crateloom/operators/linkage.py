@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from crateloom.functions.text import basename, collapse, extension, nfc, nfd, norm_key, stem
 from crateloom.operators.ordering import along, index_rows
 from crateloom.operators.stats import mark_flags
-from crateloom.session import cut
+from crateloom.session import by_key, cut
 
 PRUNE_MIN, GUARD_SHARE = 25, 0.25
 DURATION_TOLERANCE = 1.0
@@ -280,10 +280,11 @@ def resolve_paths(ext: DataFrame, catalog: DataFrame, path: str = "path") -> Dat
     loose = (catalog.select(p.alias("_hit"), F.explode(F.array_distinct(F.array(
         norm_key(p), F.lower(nfd(p))))).alias("_l"))
         .groupBy(F.concat(F.lit("~"), F.col("_l")).alias("_k")).agg(F.min("_hit").alias("_hit")))
-    tried = F.array(F.concat(F.lit("="), p), F.concat(F.lit("~"), norm_key(p)),
-                    F.concat(F.lit("~"), F.lower(nfd(p))), F.concat(F.lit("~"), F.lower(p)))
+    # a key met again under a later way finds the same; it is asked once
+    tried = F.array_distinct(F.array(F.concat(F.lit("="), p), F.concat(F.lit("~"), norm_key(p)),
+                                     F.concat(F.lit("~"), F.lower(nfd(p))), F.concat(F.lit("~"), F.lower(p))))
     asked = ext.filter(F.coalesce(p, F.lit("")) != "").select(p.alias("ext_path"), F.posexplode(tried).alias("_tier", "_k"))
-    hits = (asked.join(exact.unionByName(loose), "_k")
+    hits = (by_key(asked, "_k").join(by_key(exact.unionByName(loose), "_k"), "_k")
             .groupBy("ext_path").agg(F.min_by("_hit", "_tier").alias("path")))
     return ext.select(p.alias("ext_path")).distinct().join(hits, "ext_path", "left")
 
@@ -326,7 +327,7 @@ def sync_added(ext_dates: DataFrame, catalog: DataFrame, path: str = "path", ts:
         catalog.groupBy(F.concat(F.lit("~"), norm_key(p)).alias("_k")).agg(F.max(path).alias("_hit")))
     asked = ext_dates.select(p.alias("_ext"), ts, F.posexplode(F.array(
         F.concat(F.lit("="), p), F.concat(F.lit("~"), norm_key(p)))).alias("_tier", "_k"))
-    hits = asked.join(table, "_k").groupBy("_ext", ts).agg(F.min_by("_hit", "_tier").alias(path))
+    hits = by_key(asked, "_k").join(by_key(table, "_k"), "_k").groupBy("_ext", ts).agg(F.min_by("_hit", "_tier").alias(path))
     return hits.groupBy(path).agg(F.min(ts).alias(ts))
 
 

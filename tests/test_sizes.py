@@ -97,3 +97,12 @@ def test_the_chain_of_rules_runs_once_a_title(spark):
 
 def test_names_of_a_rename_are_made_once(spark):
     assert "[^a-z0-9]+" not in plan_of(cl.rename_plan(tracks(spark, entry.SMOKE)))
+
+
+def test_keys_of_paths_keep_the_parts_of_the_shuffle(spark):
+    t = spark.createDataFrame([("/A/é.mp3", 5), ("/a/b.mp3", 7)], "path string, added_ts long")
+    found, added = lk.resolve_paths(t.selectExpr("upper(path) AS path"), t), lk.sync_added(t.selectExpr("upper(path) AS path", "added_ts"), t)
+    assert {tuple(r) for r in found.collect()} == {("/A/É.MP3", "/A/é.mp3"), ("/A/B.MP3", "/a/b.mp3")}
+    assert {tuple(r) for r in added.collect()} == {("/A/é.mp3", 5), ("/a/b.mp3", 7)}
+    for df in (found, added):
+        assert plan_of(df, "executedPlan").count("REPARTITION_BY_NUM") >= 2
