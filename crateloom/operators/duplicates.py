@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crateloom.functions.text import blank, fold
-from crateloom.session import cut
+from crateloom.session import by_key, cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])        # executors need no copy of this package
 TOLERANCE_S = 3.0
@@ -395,6 +395,8 @@ def _near_blocks(probe: DataFrame, reps: DataFrame | None, size: int) -> DataFra
         ok = (rep < fp).astype(bool)
         return pa.table({"fp": pa.array(fp[ok], pa.string()), "rep": pa.array(rep[ok], pa.string()), "mad": pa.array(mad[ok], pa.float64())})
 
+    # by their bytes many pairs of blocks would be merged into one task
+    left, right = by_key(left, "_b", "_c"), by_key(right, "_b", "_c")
     return left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(settle, _EDGE)
 
 

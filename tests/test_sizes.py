@@ -106,3 +106,8 @@ def test_keys_of_paths_keep_the_parts_of_the_shuffle(spark):
     assert {tuple(r) for r in added.collect()} == {("/A/é.mp3", 5), ("/a/b.mp3", 7)}
     for df in (found, added):
         assert plan_of(df, "executedPlan").count("REPARTITION_BY_NUM") >= 2
+
+
+def test_pairs_of_blocks_are_not_merged_into_one_task(spark):
+    df = spark.createDataFrame([(f"{i:03d}", [float(i)] * 64, 1.0) for i in range(9)], "fp string, vec array<double>, std double")
+    assert plan_of(du._near_blocks(df, None, 64), "executedPlan").count("REPARTITION_BY_NUM") >= 2
