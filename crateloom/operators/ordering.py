@@ -16,7 +16,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from crateloom.session import by_key
+
 CHUNK = 16384
+#: More rows than these are numbered in the shuffle's own number of parts.
+MANY = 1 << 20
 #: A key with this share of all rows is always cut; cuts are looked up in stretches of this many.
 PARTS, STRETCH = 32768, 64
 
@@ -35,14 +39,15 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     count; where it shows that all keys are small, ``df`` is not counted.
     """
     keys, order = list(keys), [F.col(c) if isinstance(c, str) else c for c in order]
-    small = _large_keys(at_most, [k for k in keys if k in at_most.columns], limit)[1] is None if at_most is not None else False
-    limit, large = (limit, None) if small else _large_keys(df, keys, limit)
+    rows, _, large = _large_keys(at_most, [k for k in keys if k in at_most.columns], limit) if at_most is not None else (0, limit, df)
+    if large is not None:
+        rows, limit, large = _large_keys(df, keys, limit)
     if large is None:
         w = Window.partitionBy(*keys)
-        out = df.withColumn(idx, (F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
+        out = _dealt(df, rows, *keys).withColumn(idx, (F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
         return out.withColumn(total, F.count("*").over(w)) if total else out
     facts = _cuts(df, keys, order, large, limit)
-    placed = _in_parts(df, keys, order, facts)
+    placed = _dealt(_in_parts(df, keys, order, facts), rows, *keys, "_ix_part")
     w = Window.partitionBy(*keys, "_ix_part")
     out = placed.withColumn(idx, (F.coalesce(F.get("_ix_before", F.col("_ix_part")), F.lit(0)) + F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
     if total:
@@ -50,12 +55,17 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return out.drop("_ix_part", "_ix_before", "_ix_rows")
 
 
-def _large_keys(df: DataFrame, keys: list[str], limit: int) -> tuple[int, DataFrame | None]:
-    """The rows a key may have to be numbered by one window, and the keys with more (None if there are none)."""
+def _dealt(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """``df``, which has about ``rows`` rows, by ``cols``: narrow rows pack so well that few tasks would be left to sort millions of them."""
+    return by_key(df, *cols) if rows > MANY and cols else df
+
+
+def _large_keys(df: DataFrame, keys: list[str], limit: int) -> tuple[int, int, DataFrame | None]:
+    """All rows, the rows a key may have to be numbered by one window, and the keys with more (None if there are none)."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_ix_rows"))
     rows, most = sizes.agg(F.sum("_ix_rows"), F.max("_ix_rows")).first()
     limit = max(limit, (rows or 0) // PARTS)
-    return limit, None if (most or 0) <= limit else sizes.filter(F.col("_ix_rows") > limit)
+    return rows or 0, limit, None if (most or 0) <= limit else sizes.filter(F.col("_ix_rows") > limit)
 
 
 def _cuts(df: DataFrame, keys: list[str], order: list[Column], large: DataFrame, limit: int) -> DataFrame:
@@ -166,12 +176,13 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sum
     """
     keys, order = list(keys), [F.col(c) if isinstance(c, str) else c for c in order]
     sums, lasts = sums or {}, lasts or {}
-    limit, large = _large_keys(df, keys, limit)
+    rows, limit, large = _large_keys(df, keys, limit)
     if large is None:
+        df = _dealt(df, rows, *keys)
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({o: F.sum(c).over(upto) for o, c in sums.items()} | {o: F.last(c, ignorenulls=True).over(upto) for o, c in lasts.items()})
     facts = _cuts(df, keys, order, large, limit)
-    placed = _in_parts(df, keys, order, facts).drop("_ix_before", "_ix_rows")
+    placed = _dealt(_in_parts(df, keys, order, facts).drop("_ix_before", "_ix_rows"), rows, *keys, "_ix_part")
     upto = Window.partitionBy(*keys, "_ix_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumns({o: F.sum(c).over(upto) for o, c in sums.items()} | {o: F.last(c, ignorenulls=True).over(upto) for o, c in lasts.items()})
     # what each part leaves: a row a part, so small that one window a key takes them

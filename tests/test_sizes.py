@@ -111,3 +111,13 @@ def test_keys_of_paths_keep_the_parts_of_the_shuffle(spark):
 def test_pairs_of_blocks_are_not_merged_into_one_task(spark):
     df = spark.createDataFrame([(f"{i:03d}", [float(i)] * 64, 1.0) for i in range(9)], "fp string, vec array<double>, std double")
     assert plan_of(du._near_blocks(df, None, 64), "executedPlan").count("REPARTITION_BY_NUM") >= 2
+
+
+def test_many_narrow_rows_are_numbered_in_all_parts(spark, monkeypatch):
+    from crateloom.operators import ordering
+    monkeypatch.setattr(ordering, "MANY", 1000, raising=False)
+    rows = spark.range(1200).selectExpr("id % 40 AS track", "id AS o")
+    for got in (ordering.index_rows(rows, ["track"], ["o"], "i", "n"), ordering.index_rows(rows, ["track"], ["o"], "i", "n", limit=16), along(rows, ["track"], ["o"], {"i": "o"})):
+        assert "REPARTITION_BY_NUM" in plan_of(got, "executedPlan")
+    assert ordering.index_rows(rows, ["track"], ["o"], "i", "n").filter("i = o div 40 AND n = 30").count() == 1200
+    assert ordering.index_rows(rows, ["track"], ["o"], "i", "n", limit=16).filter("i = o div 40 AND n = 30").count() == 1200
