@@ -78,6 +78,9 @@ class _Columns:
         a, b = self._at(x, 0), self._at(x, 1)
         return np.where(self.keys[0, a] == x, self.cols[0, a], np.where(self.keys[1, b] == x, self.cols[1, b], self.none))
 
+    def __getitem__(self, number: int) -> int:
+        return int(self(np.array([number], np.int64))[0])
+
 
 class KernelModel:
     """The fitted maps; small enough to be sent with the tasks (``features`` x ``landmarks`` single-precision numbers)."""
@@ -86,13 +89,13 @@ class KernelModel:
         self.parts = letters, features, marks, weights, langs       # plain values, which is what tasks are sent
         self.letters, self.features, self.marks, self.weights, self.langs = self.parts
         self.base = len(letters) + 2
-        self.grams = _Columns(features)
+        self.column = _Columns(features)
         self.place = np.full(0x110000, self.base - 1, np.int64)
         self.place[letters] = np.arange(1, len(letters) + 1)
 
     def presence(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.features) + 1), np.float32)
-        b, size, column = self.base, self.base ** ORDERS, self.grams
+        b, size, column = self.base, self.base ** ORDERS, self.column
         for row, text in zip(out, texts):
             for at in range(0, len(text), SLICE):
                 x = self.place[_codes(text[at:at + SLICE + ORDERS - 1].lower())]
