@@ -407,9 +407,11 @@ def linked_nodes(entries: DataFrame, sets: DataFrame, percent: int, seed: int =
     """_node, _c: components of the links between all sets that share an entry (_key, _node, _n, _small)."""
     comp = stored(sets.select("_node", F.col("_node").alias("_c")), "components")
     sketches = sets.select("_node", "_sketch")
-    open_, centres, done, rows, every = entries.select("_key", "_node", "_n", "_small").distinct(), 4, None, None, []
+    # every set is its own component yet; rows dealt by key once are made different, grouped and joined where they lie
+    first = entries.select("_key", "_node", "_n", "_small").repartition("_key").distinct().withColumn("_c", F.col("_node"))
+    open_, centres, done, rows, every = None, 4, None, None, []
     while True:
-        last, rows = rows, open_.join(comp, "_node")
+        last, rows = rows, first if open_ is None else open_.join(comp, "_node").repartition("_key")
         mixed_keys = rows.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.min("_small").alias("_large"))
         rows = stored(rows.join(mixed_keys.where("_lo < _hi and _large = 0").select("_key"), "_key"), "open")
         discard(last)

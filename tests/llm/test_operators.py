@@ -656,3 +656,15 @@ def test_empty_tables(spark, nothing):
     assert lines.drop_recurring(nothing, counts=True).count() == 0 and mixing.mix(nothing).count() == 0
     assert lengths.length_histogram(lengths.encoded_lengths(nothing, lengths.rank_encoder(RANKS))).count() == 0
     assert langid.identify(nothing, F.lit(True), keep="_seen").count() == 0
+
+
+def test_entries_are_dealt_by_key_once_before_the_first_round(spark, monkeypatch):
+    plans, keep = [], setjoin.stored
+    monkeypatch.setattr(setjoin, "stored", lambda df, label, **o: (plans.append((label, df._jdf.queryExecution())), keep(df, label, **o))[1])
+    entries = spark.createDataFrame([(1, 1, 3, 0), (1, 2, 3, 0), (1, 2, 3, 0), (2, 3, 3, 0)], "_key long, _node long, _n long, _small long")
+    sets = spark.createDataFrame([(i, 3, [i, 8, 9], [0] * 16) for i in (1, 2, 3)], "_node long, _n long, _set array<bigint>, _sketch array<bigint>")
+    got = {r["_node"]: r["_c"] for r in setjoin.linked_nodes(entries, sets, 50).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    opened = next(q for label, q in plans if label == "open")
+    assert opened.optimizedPlan().toString().count("Join ") == 1
+    assert opened.sparkPlan().toString().count("Exchange") + opened.executedPlan().toString().count("Exchange hashpartitioning") <= 4
