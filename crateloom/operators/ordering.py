@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from crateloom.session import by_key
+from crateloom.session import by_key, cut
 
 CHUNK = 16384
 #: More rows than these are numbered in the shuffle's own number of parts.
@@ -39,9 +39,7 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     count; where it shows that all keys are small, ``df`` is not counted.
     """
     keys, order = list(keys), [F.col(c) if isinstance(c, str) else c for c in order]
-    rows, _, large = _large_keys(at_most, [k for k in keys if k in at_most.columns], limit) if at_most is not None else (0, limit, df)
-    if large is not None:
-        rows, limit, large = _large_keys(df, keys, limit)
+    rows, limit, large = _counted(df, keys, limit, at_most)
     if large is None:
         w = Window.partitionBy(*keys)
         out = _dealt(df, rows, *keys).withColumn(idx, (F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
@@ -60,6 +58,15 @@ def _dealt(df: DataFrame, rows: int, *cols: str) -> DataFrame:
     return by_key(df, *cols) if rows > MANY and cols else df
 
 
+def _counted(df: DataFrame, keys: list[str], limit: int, at_most: DataFrame | None) -> tuple[int, int, DataFrame | None]:
+    """As :func:`_large_keys`; ``df`` is not counted where ``at_most`` shows that all its keys are small."""
+    if at_most is not None:
+        rows, limit_there, large = _large_keys(at_most, [k for k in keys if k in at_most.columns], limit)
+        if large is None:
+            return rows, limit_there, None
+    return _large_keys(df, keys, limit)
+
+
 def _large_keys(df: DataFrame, keys: list[str], limit: int) -> tuple[int, int, DataFrame | None]:
     """All rows, the rows a key may have to be numbered by one window, and the keys with more (None if there are none)."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_ix_rows"))
@@ -221,18 +228,41 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
                       quantiles: dict[str, float], at_most: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated percentiles per key from the global order, one row per key.
 
-    Unlike the built-in ``percentile`` aggregate no task has to hold all values of a key.
+    Unlike the built-in ``percentile`` aggregate no task has to hold all values of a key.  Where a key is large, equal
+    values are counted first and places come from running totals of the counts, so that a frequent value is one row.
     """
     keys = list(keys)
-    # the other columns break ties, so that one frequent value can be split over partitions
-    others = [f.name for f in df.schema if f.dataType.typeName() != "map"]
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, F.xxhash64(*others).alias("_ix_tie"))
-    ranked = index_rows(rows, keys, [F.col(value), F.col("_ix_tie")], "_ix_i", "_ix_n", at_most=at_most)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    size, _, large = _counted(rows, keys, CHUNK, at_most)
+    if large is None:
+        return _placed(_small_places(rows, keys, value, size), keys, value, quantiles)
+    spark, names = df.sparkSession, [f"_ix_k{i}" for i in range(len(keys))]
+    big = large.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_ix_rows").alias("_ix_all"))
+    big = F.broadcast(spark.createDataFrame(big.collect(), big.schema))
+    rows = _meet(rows.withColumns({n: F.col(k) for k, n in zip(keys, names)}), big, names, "left").drop(*names)
+    counts = cut(rows.filter("_ix_all IS NOT NULL").groupBy(*keys, value, "_ix_all").agg(F.count("*").alias("_ix_c")))
+    many = _placed(along(counts, keys, [value], {"_ix_to": "_ix_c"}), keys, value, quantiles)
+    if not keys:
+        return many
+    few = _small_places(rows.filter("_ix_all IS NULL").drop("_ix_all"), keys, value, size)
+    return many.unionByName(_placed(few, keys, value, quantiles))
+
+
+def _small_places(rows: DataFrame, keys: list[str], value: str, size: int) -> DataFrame:
+    """``rows``, about ``size`` in all, with their number from 1 inside their key and the key's size, by one window a key."""
+    w = Window.partitionBy(*keys)
+    return _dealt(rows, size, *keys).withColumns({"_ix_to": F.row_number().over(w.orderBy(value)).cast("long"), "_ix_all": F.count("*").over(w), "_ix_c": F.lit(1)})
+
+
+def _placed(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Percentiles of rows that stand for ``_ix_c`` equal values each, the last of which is number ``_ix_to`` of ``_ix_all``."""
     aggs = []
     for name, q in quantiles.items():
-        pos = F.lit(float(q)) * (F.col("_ix_n") - 1)
+        pos = F.lit(float(q)) * (F.col("_ix_all") - 1)
         lo, frac = F.floor(pos), pos - F.floor(pos)
-        low = F.max(F.when(F.col("_ix_i") == lo, F.col(value)))
-        high = F.max(F.when(F.col("_ix_i") == F.least(lo + 1, F.col("_ix_n") - 1), F.col(value)))
+
+        def at(place: Column) -> Column:
+            return F.max(F.when((F.col("_ix_to") > place) & (F.col("_ix_to") - F.col("_ix_c") <= place), F.col(value)))
+        low, high = at(lo), at(F.least(lo + 1, F.col("_ix_all") - 1))
         aggs.append((low + (high - low) * F.max(frac)).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs)
+    return rows.groupBy(*keys).agg(*aggs)

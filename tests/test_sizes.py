@@ -8,7 +8,7 @@ from check import compare, duck
 import __spark_entry__ as entry
 from crateloom.functions import predicates as pr
 from crateloom.operators import cleanup as cl, duplicates as du, learning as ml, linkage as lk
-from crateloom.operators.ordering import along, index_rows
+from crateloom.operators.ordering import along, exact_percentiles, index_rows
 from crateloom.plans.bindings import tracks
 from crateloom.session import spread
 
@@ -33,6 +33,35 @@ def test_median_error_over_more_rows_than_one_window_takes(spark):
     assert (out["n"], out["median_off"]) == (40_001, 10_000.0)
 
 
+def most_rows_shuffled(spark, run):
+    """Rows that the largest stage of ``run`` reads from a shuffle."""
+    sc, store = spark.sparkContext._jsc.sc(), spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        got = store.stageList(None, False, False, store.__getattr__("stageList$default$4")(), None)
+        return {got.apply(i).stageId(): got.apply(i).shuffleReadRecords() for i in range(got.size())}
+    before = stages()
+    run()
+    return max(n for stage, n in stages().items() if stage not in before)
+
+
+def test_equal_errors_meet_as_counts(spark):
+    rows = spark.range(60_000).selectExpr("IF(id < 50000, 'drop2', concat('r', id % 9)) AS role", "CAST(id % 4 AS DOUBLE) AS off", "1D AS raw")
+    medians = {}
+    most = most_rows_shuffled(spark, lambda: medians.update({r.role: r.median_off for r in ml.oof_summary(rows, 60_000, raw="raw").collect()}))
+    assert medians == {"drop2": 1.5, **{f"r{i}": float(np.median([j % 4 for j in range(50_000, 60_000) if j % 9 == i])) for i in range(9)}}
+    assert most <= 10_200
+
+
+def test_percentiles_of_large_and_small_keys(spark):
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=40_000), "b": rng.integers(0, 3, 30_000).astype(float), "c": np.array([2.5]), None: rng.normal(size=17_000).round(2), "d": rng.normal(size=50)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k string, v double").union(spark.sql("SELECT 'c', CAST(NULL AS DOUBLE)"))
+    got = {r.k: (r.lo, r.hi) for r in exact_percentiles(df, ["k"], "v", {"lo": 0.3, "hi": 0.999}).collect()}
+    assert got == {k: pytest.approx(tuple(np.percentile(v, (30, 99.9)))) for k, v in groups.items()}
+
+
 @pytest.fixture(scope="module")
 def halves(tmp_path_factory):
     """The smallest tables with order prices whose thousandth ends on half a cent, stored a little below it."""
