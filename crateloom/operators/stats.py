@@ -45,6 +45,14 @@ def listen_seconds(plays: DataFrame, year: str = "y", month: str = "m",
                     F.bround("_y", 0).cast("long").alias("year_seconds")))
 
 
+def of_tracks(rows: DataFrame, catalog: DataFrame, track: str = "track_id", how: str = "inner") -> DataFrame:
+    """``rows`` beside the catalog's, sorted and merged.
+
+    A catalog of a few MB in its file is hundreds as rows; left to the size of its file it would be broadcast, which the driver has to hold whole.
+    """
+    return rows.join(catalog.hint("merge"), track, how)
+
+
 def _top(df: DataFrame, part: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     w = Window.partitionBy(*part).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
@@ -64,7 +72,7 @@ def with_titles(df: DataFrame, catalog: DataFrame, track: str = "track_id") -> D
     """Artist and title of ranked tracks; an empty title falls back to the file stem."""
     meta = catalog.select(track, "path", "artist", "title")
     title = F.when(F.coalesce(F.col("title"), F.lit("")) != "", F.col("title")).otherwise(stem(F.col("path")))
-    return (df.join(meta, track, "left")
+    return (of_tracks(df, meta, track, "left")
             .withColumn("title", F.coalesce(title, F.col(track).cast("string")))
             .withColumn("artist", F.coalesce("artist", F.lit(""))).drop("path"))
 
@@ -72,14 +80,18 @@ def with_titles(df: DataFrame, catalog: DataFrame, track: str = "track_id") -> D
 def top_tracks_relative(plays: DataFrame, lengths: DataFrame, n: int = 50, year: str = "y",
                         track: str = "track_id", seconds: str = "seconds",
                         length: str = "duration_s", ts: str = "ts") -> DataFrame:
-    """Ranking by (nearly) complete plays; tracks of unknown length do not take part."""
+    """Ranking by (nearly) complete plays; tracks of unknown length do not take part.
+
+    Plays of equal length shrink to one row per year and track before the lengths are joined, since all rows of a track meet in one task there.
+    """
+    equal = plays.groupBy(year, track, seconds).agg(F.count("*").alias("_n"), F.min(ts).alias("_ts"))
     known = lengths.filter(F.col(length) > 0).select(track, F.col(length).alias("_len"))
     ratio = F.col(seconds) / F.col("_len")
-    agg = (plays.join(known, track)
+    agg = (of_tracks(equal, known, track)
            .groupBy(year, track)
-           .agg(F.count("*").alias("plays"), F.sum(ratio.cast("double")).alias("_ratio"),
-                F.sum((F.col(seconds) >= F.col("_len") * COMPLETE_RATIO).cast("int")).alias("complete"),
-                F.min(ts).alias("_first"))
+           .agg(F.sum("_n").alias("plays"), F.sum(ratio.cast("double") * F.col("_n")).alias("_ratio"),
+                F.sum(F.when(F.col(seconds) >= F.col("_len") * COMPLETE_RATIO, F.col("_n")).otherwise(0)).alias("complete"),
+                F.min("_ts").alias("_first"))
            .filter("complete > 0"))
     order = [F.desc("complete"), F.desc(F.round("_ratio", 9)), F.asc("_first"), F.asc(track)]
     return (_top(agg, [year], order, n)
@@ -96,7 +108,7 @@ def top_groups(plays: DataFrame, catalog: DataFrame, field: str, n: int = 10, ye
     """
     per_track = plays.groupBy(year, track).agg(F.sum(seconds).alias("_s"), F.count("*").alias("_n"))
     named = catalog.filter(~blank(F.col(field))).select(track, F.trim(field).alias("_v"))
-    agg = (per_track.join(named, track).groupBy(year, "_v")
+    agg = (of_tracks(per_track, named, track).groupBy(year, "_v")
            .agg(F.sum("_s").alias("_s"), F.sum("_n").alias("plays"), F.count("*").alias("tracks")))
     return (_top(agg, [year], [F.desc("_s"), F.asc("_v")], n)
             .select(year, "rank", F.col("_v").alias(field),

@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from crateloom.operators import linkage as lk
+from crateloom.operators import linkage as lk, stats
 from crateloom.plans.bindings import catalog, inventory, on_tracks, plays, table, tracks, with_ctes, year_plays
 from crateloom.plans.registry import query
 from crateloom.session import ensure_checkpoint_dir
@@ -119,7 +119,7 @@ LEFT JOIN y ON y.y = n.y LEFT JOIN t ON t.y = n.y LEFT JOIN r ON r.y = n.y LEFT
 LEFT JOIN ht ON ht.y = n.y LEFT JOIN ha ON ha.y = n.y LEFT JOIN hg ON hg.y = n.y"""))
 def snk3(spark, sf):
     t = tracks(spark, sf)
-    history = year_plays(spark, sf).join(t.select("track_id", "path", "artist", "genre"), "track_id").withColumn("y", F.col("y") + 1)
+    history = stats.of_tracks(year_plays(spark, sf), t.select("track_id", "path", "artist", "genre")).withColumn("y", F.col("y") + 1)
     doc = sinks.build_year_stats_doc(year_plays(spark, sf), plays(spark, sf).withColumnRenamed("kind", "action"), t, history)
     months = F.size(F.from_json(F.get_json_object("doc", "$.months"), "array<struct<m:int>>"))
     first = {"top": "top_tracks[0].track_id", "relative": "top_tracks_relative[0].track_id", "artist": "top_artists[0].artist", "genre": "top_genres[0].genre",

@@ -73,7 +73,7 @@ def a5(spark, sf):
   (SELECT y, path, count(*) AS plays FROM year_plays p JOIN tracks t ON t.track_id = p.track_id GROUP BY 1, 2))
 SELECT y, path, plays, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50"""))
 def a6(spark, sf):
-    h = year_plays(spark, sf).join(tracks(spark, sf).select("track_id", "path"), "track_id")
+    h = stats.of_tracks(year_plays(spark, sf), tracks(spark, sf).select("track_id", "path"))
     return stats.top_history(h)
 
 
@@ -83,7 +83,7 @@ def a6(spark, sf):
    FROM year_plays p JOIN tracks t ON t.track_id = p.track_id WHERE trim(genre) <> '' GROUP BY 1, 2))
 SELECT y, genre, plays, tracks, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""))
 def a6g(spark, sf):
-    h = year_plays(spark, sf).join(tracks(spark, sf).select("track_id", "path", "genre"), "track_id")
+    h = stats.of_tracks(year_plays(spark, sf), tracks(spark, sf).select("track_id", "path", "genre"))
     return stats.top_history_groups(h, "genre")
 
 

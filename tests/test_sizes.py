@@ -7,7 +7,7 @@ from check import compare, duck
 
 import __spark_entry__ as entry
 from crateloom.functions import predicates as pr
-from crateloom.operators import cleanup as cl, duplicates as du, learning as ml, linkage as lk
+from crateloom.operators import cleanup as cl, duplicates as du, learning as ml, linkage as lk, stats as st
 from crateloom.operators.ordering import along, exact_percentiles, index_rows
 from crateloom.plans.bindings import tracks
 from crateloom.session import spread
@@ -150,3 +150,17 @@ def test_many_narrow_rows_are_numbered_in_all_parts(spark, monkeypatch):
         assert "REPARTITION_BY_NUM" in plan_of(got, "executedPlan")
     assert ordering.index_rows(rows, ["track"], ["o"], "i", "n").filter("i = o div 40 AND n = 30").count() == 1200
     assert ordering.index_rows(rows, ["track"], ["o"], "i", "n", limit=16).filter("i = o div 40 AND n = 30").count() == 1200
+
+
+@pytest.mark.parametrize("name", ["a3_top_tracks", "a4_top_tracks_relative", "a5_top_groups", "a6_top_history", "a6_top_history_groups", "snk3_year_stats_doc"])
+def test_no_catalog_is_broadcast_to_its_plays(spark, name):
+    joins = [x for x in plan_of(entry.queries()[name](spark, entry.SMOKE)).splitlines() if "Join" in x and "track_id" in x.split("Join", 1)[1]]
+    assert joins and all("strategy=merge" in x for x in joins), joins
+
+
+def test_plays_of_equal_length_count_each(spark):
+    lengths = spark.createDataFrame([(1, 100.0), (2, 100.0), (3, 0.0)], "track_id long, duration_s double")
+    heard = [(1, 95, 5)] * 3 + [(1, 95, 2), (1, 50, 1)] + [(2, 90, 4), (2, 90, 3), (2, 89, 9), (2, 100, 9)] + [(3, 10, 1)]
+    plays = spark.createDataFrame([(2024, *h) for h in heard], "y int, track_id long, seconds int, ts int")
+    rows = st.top_tracks_relative(plays, lengths).orderBy("rank").collect()
+    assert [tuple(r) for r in rows] == [(2024, 1, 1, 5, 4, 0.86), (2024, 2, 2, 4, 3, 0.922)]
