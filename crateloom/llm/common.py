@@ -19,11 +19,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: With this setting Spark removes the shuffles of a query that is done.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back; this cuts the lineage."""
+    """Write ``df`` as a table in the shared folder and read it back; this cuts the lineage.
+
+    The shuffles of the write go with it.  Else they would lie on the disks until the driver happens to collect its garbage, several times the input.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    was = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -269,20 +269,23 @@ def index_entries(docs: DataFrame, width: int, percent: int, text_col: str) -> D
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
-    """The whole sets of the nodes in ``wanted``: _node, _n, _set, _sketch; each from one text that has it."""
-    texts = nodes.join(wanted, "_node").groupBy("_node").agg(F.min("_text_key").alias("_text_key")).select("_text_key").distinct()
+    """The whole sets of the nodes in ``wanted``: _node, _n, _set, _sketch; each from one text that has it.
+
+    A text is read with the node it was chosen for, so sets of other texts of the same key are told apart in the task and the sets need not be dealt by node.
+    """
+    texts = nodes.join(wanted, "_node").groupBy(F.col("_node").alias("_for")).agg(F.min("_text_key").alias("_text_key"))
     read = docs.select(F.xxhash64(text_col).alias("_text_key"), F.col(text_col).cast("binary").alias("_text")).where("_text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for b in parts_of(batches, 1):
             for at in range(0, b.num_rows, 400):
-                sets = [x for x in shingle.sets(b.column(1).slice(at, 400).to_pylist()) if len(x)]
+                part = b.slice(at, 400)
+                sets = [x for x, node in zip(shingle.sets(part.column(1).to_pylist()), part.column(2).to_pylist()) if node_of(x) == node]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
                                                   _lists([x.view(np.int64) for x in sets]), _lists([sketch(x) for x in sets])], ["_node", "_n", "_set", "_sketch"])
-    one = read.join(texts, "_text_key").groupBy("_text_key").agg(F.first("_text").alias("_text"))
-    found = one.mapInArrow(run, "_node bigint, _n bigint, _set array<bigint>, _sketch array<bigint>")
-    return found.join(wanted, "_node", "left_semi").dropDuplicates(["_node"])
+    one = read.join(texts, "_text_key").groupBy("_text_key", "_for").agg(F.first("_text").alias("_text")).select("_text_key", "_text", "_for")
+    return one.mapInArrow(run, "_node bigint, _n bigint, _set array<bigint>, _sketch array<bigint>")
 
 
 def placed_entries(sets: DataFrame, percent: int) -> DataFrame:
@@ -453,15 +456,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, swaps
     live = stored(index.join(shared, "_key").distinct(), "live")
     wanted = live.select(F.expr("shiftrightunsigned(_member, 1)").alias("_node")).distinct()
     sets = stored(shingle_sets(docs, nodes, wanted, width, text_col), "sets")
-    entries = placed_entries(sets, percent).join(live.select("_key").distinct(), "_key", "left_semi")
+    # stored, since both the costs and the rounds read them and dealing all placed keys takes more room than the few rows that stay
+    entries = stored(placed_entries(sets, percent).join(live.select("_key").distinct(), "_key", "left_semi"), "entries")
     shared_by = entries.groupBy("_group", "_segment", "_key").agg(F.countDistinct("_node").alias("_sets"))
-    swap = allocate(shared_by, group_rows(nodes, percent), swaps).collect()            # at most ``swaps`` a group
+    swaps_made = stored(allocate(shared_by, group_rows(nodes, percent), swaps), "swaps")
+    swap = swaps_made.collect()                                                        # at most ``swaps`` a group
     if swap:
-        entries = stored(_swapped(entries, docs, swap, width, percent, text_col), "swapped")
+        before, entries = entries, stored(_swapped(entries, docs, swap, width, percent, text_col), "swapped")
+        discard(before)
         before, sets = sets, stored(shingle_sets(docs, nodes, entries.select("_node").distinct(), width, text_col), "sets")
         discard(before)
-    else:
-        entries = stored(entries, "entries")
+    discard(swaps_made)
     discard(live)
     comp = linked_nodes(entries, sets, percent)
     discard(entries, sets)

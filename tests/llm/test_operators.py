@@ -5,6 +5,7 @@ import heapq
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crateloom.llm import bands, langid, lengths, lines, media, mixing, pieces, setjoin, shards, toxicity
+from crateloom.llm import bands, common, langid, lengths, lines, media, mixing, pieces, setjoin, shards, toxicity
 from crateloom.llm.queries import QUERIES, TOKENIZERS
 
 SF = "/root/testdata/sf0.001"
@@ -668,3 +669,26 @@ def test_entries_are_dealt_by_key_once_before_the_first_round(spark, monkeypatch
     opened = next(q for label, q in plans if label == "open")
     assert opened.optimizedPlan().toString().count("Join ") == 1
     assert opened.sparkPlan().toString().count("Exchange") + opened.executedPlan().toString().count("Exchange hashpartitioning") <= 4
+
+
+def test_a_stored_table_leaves_no_shuffle(spark, tmp_path):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b for b in files.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before, was = shuffles(), spark.conf.get(common.TIDY, None)
+    rows = spark.range(1000).repartition(7, "id").groupBy(F.col("id") % 10).count()
+    out = common.stored(rows, "tidy")
+    deadline = time.monotonic() + 5                     # files go in the background
+    while (left := shuffles() - before) and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.TIDY, None) == was
+    assert out.count() == 10 and rows.count() == 10     # the query can be run again
+
+
+def test_sets_are_read_and_entries_placed_once(spark, monkeypatch):
+    plans, keep = {}, setjoin.stored
+    monkeypatch.setattr(setjoin, "stored", lambda df, label, **o: (plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()), keep(df, label, **o))[1])
+    texts = [" ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(61)), "quite another text"]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0], None])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(docs).collect()}
+    assert got == {0: (56, 0), 1: (57, 0), 2: (1, 2), 3: (56, 0), 4: (0, 4)}
+    assert plans["sets"].startswith("MapInArrow") and "MapInArrow" in plans["entries"] and "MapInArrow" not in plans["swaps"]
