@@ -412,6 +412,8 @@ def linked_nodes(entries: DataFrame, sets: DataFrame, percent: int, seed: int =
     sketches = sets.select("_node", "_sketch")
     # every set is its own component yet; rows dealt by key once are made different, grouped and joined where they lie
     first = entries.select("_key", "_node", "_n", "_small").repartition("_key").distinct().withColumn("_c", F.col("_node"))
+    # entries stay or go whole, so the nodes of one are put in order once; _at is the place among those that were no centre yet
+    first = first.withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(F.lit(seed), "_node"), "_node")))
     open_, centres, done, rows, every = None, 4, None, None, []
     while True:
         last, rows = rows, first if open_ is None else open_.join(comp, "_node").repartition("_key")
@@ -421,8 +423,7 @@ def linked_nodes(entries: DataFrame, sets: DataFrame, percent: int, seed: int =
         if rows.isEmpty():
             discard(rows, *every)
             return comp
-        rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(F.lit(seed), "_node"), "_node"))
-        picked = rows.withColumn("_at", rank).where(F.col("_at") <= centres)
+        picked = rows.where(F.col("_at") <= centres)
         mid = picked.select("_key", F.col("_node").alias("_node2"), F.col("_n").alias("_n2"), F.col("_small").alias("_small2"), F.col("_c").alias("_c2")).join(
             sketches.select(F.col("_node").alias("_node2"), F.col("_sketch").alias("_sketch2")), "_node2")
         apart = " + ".join(f"bit_count(_sketch[{i}] ^ _sketch2[{i}])" for i in range(SKETCH // 64))
@@ -442,7 +443,7 @@ def linked_nodes(entries: DataFrame, sets: DataFrame, percent: int, seed: int =
             before, comp = comp, stored(comp.join(merged.select(F.col("_v").alias("_c"), F.col("_c").alias("_new")), "_c", "left").select("_node", F.coalesce("_new", "_c").alias("_c")), "components")
             discard(before, merged)
         discard(links)
-        open_ = rows.join(picked.select("_key", "_node"), ["_key", "_node"], "left_anti").select("_key", "_node", "_n", "_small")
+        open_ = rows.where(F.col("_at") > centres).select("_key", "_node", "_n", "_small", (F.col("_at") - centres).alias("_at"))
         centres *= 4
 
 

@@ -692,3 +692,15 @@ def test_sets_are_read_and_entries_placed_once(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(docs).collect()}
     assert got == {0: (56, 0), 1: (57, 0), 2: (1, 2), 3: (56, 0), 4: (0, 4)}
     assert plans["sets"].startswith("MapInArrow") and "MapInArrow" in plans["entries"] and "MapInArrow" not in plans["swaps"]
+
+
+def test_nodes_that_were_no_centre_are_not_found_by_a_join(spark, monkeypatch):
+    plans, keep = [], setjoin.stored
+    monkeypatch.setattr(setjoin, "stored", lambda df, label, **o: (plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())), keep(df, label, **o))[1])
+    entries = spark.createDataFrame([(1, i, 3, 0) for i in range(30)], "_key long, _node long, _n long, _small long")
+    whole = lambda i: [100 + i // 2, 200 + i // 2, 300 + i]                 # each even set has a link to the next only
+    sets = spark.createDataFrame([(i, 3, whole(i), [0] * 16) for i in range(30)], "_node long, _n long, _set array<bigint>, _sketch array<bigint>")
+    got = {r["_node"]: r["_c"] for r in setjoin.linked_nodes(entries, sets, 50).collect()}
+    assert got == {i: i // 2 * 2 for i in range(30)}
+    opened = [plan for label, plan in plans if label == "open"]
+    assert len(opened) > 2 and not any("LeftAnti" in plan for plan in opened)
